@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import bpe, quality, token_count
 
 _OPERATORS = {
     "op2_line_quality": quality,
+    "op4_tree_bpe": bpe,
+    "op7_token_count": token_count,
 }
 
 
