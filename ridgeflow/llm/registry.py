@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, quality, token_count, warc
+from . import bpe, jaccard, quality, token_count, warc
 
 _OPERATORS = {
     "op2_line_quality": quality,
     "op4_tree_bpe": bpe,
     "op7_token_count": token_count,
+    "op8_jaccard_join": jaccard,
     "op10_warc_segments": warc,
 }
 
