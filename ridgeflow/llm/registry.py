@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard, quality, token_count, warc
+from . import bpe, jaccard, quality, token_count, warc, winnow
 
 _OPERATORS = {
     "op2_line_quality": quality,
     "op4_tree_bpe": bpe,
+    "op6_winnowing": winnow,
     "op7_token_count": token_count,
     "op8_jaccard_join": jaccard,
     "op10_warc_segments": warc,
