@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard, quality, token_count, warc, winnow
+from . import bpe, chat, jaccard, quality, token_count, warc, winnow
 
 _OPERATORS = {
     "op2_line_quality": quality,
@@ -10,6 +10,7 @@ _OPERATORS = {
     "op6_winnowing": winnow,
     "op7_token_count": token_count,
     "op8_jaccard_join": jaccard,
+    "op9_chat_windows": chat,
     "op10_warc_segments": warc,
 }
 
