@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, jaccard, quality, token_count, warc, winnow
+from . import bpe, chat, jaccard, quality, shards, token_count, warc, winnow
 
 _OPERATORS = {
     "op2_line_quality": quality,
     "op4_tree_bpe": bpe,
+    "op5_two_pass_shuffle": shards,
     "op6_winnowing": winnow,
     "op7_token_count": token_count,
     "op8_jaccard_join": jaccard,
