@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, jaccard, quality, shards, token_count, warc, winnow
+from . import bpe, chat, jaccard, language, quality, shards, token_count, warc, winnow
 
 _OPERATORS = {
     "op2_line_quality": quality,
+    "op3_cross_parsing": language,
     "op4_tree_bpe": bpe,
     "op5_two_pass_shuffle": shards,
     "op6_winnowing": winnow,
