@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, jaccard, language, quality, shards, token_count, warc, winnow
+from . import bpe, chat, jaccard, language, pii, quality, shards, token_count, warc, winnow
 
 _OPERATORS = {
+    "op1_skip_chain_pii": pii,
     "op2_line_quality": quality,
     "op3_cross_parsing": language,
     "op4_tree_bpe": bpe,
