@@ -1,0 +1 @@
+"""Terrain and network analytics as Spark DataFrame programs."""
