@@ -59,10 +59,10 @@ def w1_window_starts(spark, sf_dir):
     return ends.select("stroke_id", F.explode(starts).alias("start"))
 
 
-@query("w2_sliding_windows", f"{_CTE}, {_win(_N)} SELECT stroke_id, \"start\", \"end\", round(mean_grade, 6) AS mean_grade, round(max_grade, 6) AS max_grade FROM w{_N}")
+@query("w2_sliding_windows", f"{_CTE}, {_win(_N)} SELECT stroke_id, \"start\", \"end\", round(mean_grade, 9) AS mean_grade, round(max_grade, 9) AS max_grade FROM w{_N}")
 def w2_sliding_windows(spark, sf_dir):
     rows = P.sliding_windows(graded(spark, sf_dir), _N)
-    return rows.select("stroke_id", "start", "end", F.round("mean_grade", 6).alias("mean_grade"), F.round("max_grade", 6).alias("max_grade"))
+    return rows.select("stroke_id", "start", "end", F.round("mean_grade", 9).alias("mean_grade"), F.round("max_grade", 9).alias("max_grade"))
 
 
 @query("w3_flat_mask", f"{_CTE}, {_win(_N)}, {_STRIDED}, {_FLAT} SELECT * FROM fm")
@@ -108,7 +108,7 @@ def w10_fits_targets(spark, sf_dir):
         100 * (arg_max(g.z, g.i) - arg_min(g.z, g.i)) / (max(g.d) - min(g.d)) AS gm, max(abs(grade)) AS gx
         FROM flats f LEFT JOIN nf ON nf.stroke_id = f.stroke_id AND nf."start" = f."start" AND nf."end" = f."end"
         JOIN g ON g.stroke_id = f.stroke_id AND g.i BETWEEN f."start" AND f."end" GROUP BY f.stroke_id, f."start", f."end")
-    SELECT stroke_id, "start", "end", length_m, n_fits, round(gm, 6) AS grade_mean_pct, round(gx, 6) AS grade_max_pct,
+    SELECT stroke_id, "start", "end", length_m, n_fits, round(gm, 9) AS grade_mean_pct, round(gx, 9) AS grade_max_pct,
         round(100 * (0.35 * least(1, greatest(0, 1 - 0.5 * abs(gm) - 0.25 * gx)) + 0.20 + 0.25 + 0.10 * 0.5 + 0.05 * 0.3 + 0.05 * n_fits / 3.0::DOUBLE), 4) AS score FROM a""",
 )
 def c1_detect_flats(spark, sf_dir):
@@ -122,7 +122,7 @@ def c1_detect_flats(spark, sf_dir):
         F.max(F.abs("grade")).alias("gx"),
     )
     score = score_flat(F.col("gm"), F.col("gx"), F.lit(1.0), F.lit(0), F.col("length_m"), F.lit("unknown"), F.lit("unknown"), F.col("n_fits"), _P.flat)
-    return rows.select("stroke_id", "start", "end", "length_m", "n_fits", F.round("gm", 6).alias("grade_mean_pct"), F.round("gx", 6).alias("grade_max_pct"), F.round(score, 4).alias("score"))
+    return rows.select("stroke_id", "start", "end", "length_m", "n_fits", F.round("gm", 9).alias("grade_mean_pct"), F.round("gx", 9).alias("grade_max_pct"), F.round(score, 4).alias("score"))
 
 
 _CN = samples_for(_P.climb.target_lengths_m[0], 5.0)
@@ -198,7 +198,7 @@ def w9_trim(spark, sf_dir):
     f"{_CTEC}, {_win(_CN)}, {_SIGNS}, {_CW}, {_CM}, {_CUT}, {_TRIM}, "
     """a AS (SELECT tr.stroke_id, tr.sign, tr."start", tr."end", max(d) - min(d) AS length_m, tr.sign * 100 * (arg_max(z, i) - arg_min(z, i)) / (max(d) - min(d)) AS gm, stddev_pop(g) AS sd
         FROM tr JOIN sg ON sg.stroke_id = tr.stroke_id AND sg.sign = tr.sign AND i BETWEEN tr."start" AND tr."end" GROUP BY tr.stroke_id, tr.sign, tr."start", tr."end")
-    SELECT stroke_id, sign, "start", "end", length_m, round(gm, 6) AS grade_mean_pct, round(sd, 6) AS grade_std_pct,
+    SELECT stroke_id, sign, "start", "end", length_m, round(gm, 9) AS grade_mean_pct, round(sd, 9) AS grade_std_pct,
         round(100 * (0.35 * CASE WHEN gm > 0 THEN least(1, greatest(0, 1 - sd / gm)) ELSE 0 END + 0.30 + 0.10 + 0.15 * 0.5 + 0.05 * 0.3 + 0.05 * 0.25), 4) AS score FROM a""",
 )
 def c2_detect_climbs(spark, sf_dir):
@@ -212,7 +212,7 @@ def c2_detect_climbs(spark, sf_dir):
         F.stddev_pop("g").alias("sd"),
     )
     score = score_climb(F.col("gm"), F.col("sd"), F.lit(1.0), F.lit(0), F.col("length_m"), F.lit("unknown"), F.lit("unknown"), F.lit(1), _P.climb)
-    return rows.select("stroke_id", "sign", "start", "end", "length_m", F.round("gm", 6).alias("grade_mean_pct"), F.round("sd", 6).alias("grade_std_pct"), F.round(score, 4).alias("score"))
+    return rows.select("stroke_id", "sign", "start", "end", "length_m", F.round("gm", 9).alias("grade_mean_pct"), F.round("sd", 9).alias("grade_std_pct"), F.round(score, 4).alias("score"))
 
 
 @query(

@@ -17,9 +17,9 @@ pad AS (SELECT stroke_id, n, i, z AS v FROM n UNION ALL SELECT stroke_id, n, -i,
     UNION ALL SELECT stroke_id, n, 2 * n - i, 2 * z1 - z FROM n WHERE i BETWEEN n - {p} AND n - 1)"""
 
 
-@query("c4_samples", f"WITH {_CTE} SELECT stroke_id, i, d, round(z, 6) AS z FROM samples")
+@query("c4_samples", f"WITH {_CTE} SELECT stroke_id, i, d, round(z, 9) AS z FROM samples")
 def c4_samples(spark, sf_dir):
-    return samples(spark, sf_dir).select("stroke_id", "i", "d", F.round("z", 6).alias("z"))
+    return samples(spark, sf_dir).select("stroke_id", "i", "d", F.round("z", 9).alias("z"))
 
 
 _FILL = f"""WITH {_CTE}, g AS (SELECT stroke_id, i, d, CASE WHEN event_type != 'error' THEN z END AS z,
@@ -31,7 +31,7 @@ o AS (SELECT *, bool_or(structure IS NOT NULL) OVER (PARTITION BY stroke_id, li,
 f AS (SELECT o.*, l.d AS ld, r.d AS rd, l.zi AS lz, r.zi AS rz FROM o
     LEFT JOIN m l ON l.stroke_id = o.stroke_id AND l.i = o.li LEFT JOIN m r ON r.stroke_id = o.stroke_id AND r.i = o.ri),
 v AS (SELECT *, CASE WHEN zi IS NULL AND (on_s OR rd - ld <= 20) THEN lz + (rz - lz) * ((d - ld) / (rd - ld)) ELSE zi END AS zf FROM f)
-SELECT stroke_id, i, round(zf, 4) AS z_filled, zi IS NULL AND zf IS NOT NULL AND coalesce(structure = 'bridge', false) AS bridge_mask,
+SELECT stroke_id, i, round(zf, 9) AS z_filled, zi IS NULL AND zf IS NOT NULL AND coalesce(structure = 'bridge', false) AS bridge_mask,
     zi IS NULL AND zf IS NOT NULL AND coalesce(structure = 'tunnel', false) AS tunnel_mask,
     zi IS NULL AND zf IS NOT NULL AND structure IS NULL AS gap_mask FROM v"""
 
@@ -39,16 +39,16 @@ SELECT stroke_id, i, round(zf, 4) AS z_filled, zi IS NULL AND zf IS NOT NULL AND
 @query("w11_fill_profile", _FILL)
 def w11_fill_profile(spark, sf_dir):
     filled = P.fill_profile(gapped(spark, sf_dir))
-    return filled.select("stroke_id", "i", F.round("z_filled", 4).alias("z_filled"), "bridge_mask", "tunnel_mask", "gap_mask")
+    return filled.select("stroke_id", "i", F.round("z_filled", 9).alias("z_filled"), "bridge_mask", "tunnel_mask", "gap_mask")
 
 
 @query(
     "w12_rolling_median",
     f"WITH {_CTE}, {_PAD.format(p=1)}, q AS (SELECT *, median(v) OVER (PARTITION BY stroke_id ORDER BY i ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS m FROM pad) "
-    "SELECT stroke_id, i, round(m, 6) AS z_median FROM q WHERE i BETWEEN 0 AND n",
+    "SELECT stroke_id, i, round(m, 9) AS z_median FROM q WHERE i BETWEEN 0 AND n",
 )
 def w12_rolling_median(spark, sf_dir):
-    return P.rolling_median(samples(spark, sf_dir), 3).select("stroke_id", "i", F.round("z_median", 6).alias("z_median"))
+    return P.rolling_median(samples(spark, sf_dir), 3).select("stroke_id", "i", F.round("z_median", 9).alias("z_median"))
 
 
 _KERNEL = ", ".join(f"({k}, {math.exp(-0.5 * (k / 2.0) ** 2)!r}::DOUBLE)" for k in range(-6, 7))
@@ -57,11 +57,11 @@ _KERNEL = ", ".join(f"({k}, {math.exp(-0.5 * (k / 2.0) ** 2)!r}::DOUBLE)" for k
 @query(
     "w13_gaussian",
     f"WITH {_CTE}, {_PAD.format(p=6)}, k(o, w) AS (VALUES {_KERNEL}) "
-    "SELECT a.stroke_id, a.i, round(sum(w * b.v) / sum(w), 6) AS z_smooth FROM pad a, k, pad b "
+    "SELECT a.stroke_id, a.i, round(sum(w * b.v) / sum(w), 9) AS z_smooth FROM pad a, k, pad b "
     "WHERE a.i BETWEEN 0 AND a.n AND b.stroke_id = a.stroke_id AND b.i = a.i + k.o AND b.v IS NOT NULL GROUP BY a.stroke_id, a.i",
 )
 def w13_gaussian(spark, sf_dir):
-    return P.gaussian_smooth(samples(spark, sf_dir), 2.0).select("stroke_id", "i", F.round("z_smooth", 6).alias("z_smooth"))
+    return P.gaussian_smooth(samples(spark, sf_dir), 2.0).select("stroke_id", "i", F.round("z_smooth", 9).alias("z_smooth"))
 
 
 _GRADE = """g AS (SELECT a.stroke_id, a.i, a.d, a.z, 100 * (h.z - l.z) / (h.d - l.d) AS grade FROM
@@ -70,9 +70,9 @@ _GRADE = """g AS (SELECT a.stroke_id, a.i, a.d, a.z, 100 * (h.z - l.z) / (h.d -
     JOIN samples h ON h.stroke_id = a.stroke_id AND h.i = least(a.i + 2, a.n))"""
 
 
-@query("w14_local_grade", f"WITH {_CTE}, {_GRADE} SELECT stroke_id, i, round(grade, 6) AS grade FROM g")
+@query("w14_local_grade", f"WITH {_CTE}, {_GRADE} SELECT stroke_id, i, round(grade, 9) AS grade FROM g")
 def w14_local_grade(spark, sf_dir):
-    return P.local_grade(samples(spark, sf_dir)).select("stroke_id", "i", F.round("grade", 6).alias("grade"))
+    return P.local_grade(samples(spark, sf_dir)).select("stroke_id", "i", F.round("grade", 9).alias("grade"))
 
 
 _GAIN = f"""WITH RECURSIVE {_CTE}, m AS (SELECT stroke_id, max(i) AS n FROM samples GROUP BY stroke_id),
@@ -80,7 +80,7 @@ r AS (SELECT stroke_id, i, z AS ref, 0.0::DOUBLE AS gain, 0.0::DOUBLE AS loss FR
   UNION ALL SELECT s.stroke_id, s.i, CASE WHEN abs(s.z - r.ref) >= 0.5 THEN s.z ELSE r.ref END,
     r.gain + CASE WHEN s.z - r.ref >= 0.5 THEN s.z - r.ref ELSE 0 END, r.loss + CASE WHEN s.z - r.ref <= -0.5 THEN r.ref - s.z ELSE 0 END
   FROM r JOIN samples s ON s.stroke_id = r.stroke_id AND s.i = r.i + 1)
-SELECT r.stroke_id, round(gain + greatest(s.z - ref, 0), 6) AS gain, round(loss + greatest(ref - s.z, 0), 6) AS loss
+SELECT r.stroke_id, round(gain + greatest(s.z - ref, 0), 9) AS gain, round(loss + greatest(ref - s.z, 0), 9) AS loss
 FROM r JOIN m ON m.stroke_id = r.stroke_id AND m.n = r.i JOIN samples s ON s.stroke_id = r.stroke_id AND s.i = r.i"""
 
 
@@ -88,28 +88,28 @@ FROM r JOIN m ON m.stroke_id = r.stroke_id AND m.n = r.i JOIN samples s ON s.str
 def a3_gain_loss(spark, sf_dir):
     rows = samples(spark, sf_dir).groupBy("stroke_id").agg(F.array_sort(F.collect_list(F.struct("i", "z"))).alias("s"))
     rows = rows.select("stroke_id", P.gain_loss(F.col("s.z"), 0.5).alias("x"))
-    return rows.select("stroke_id", F.round("x.gain", 6).alias("gain"), F.round("x.loss", 6).alias("loss"))
+    return rows.select("stroke_id", F.round("x.gain", 9).alias("gain"), F.round("x.loss", 9).alias("loss"))
 
 
 @query(
     "a4_steepest",
-    f"WITH {_CTE} SELECT a.stroke_id, " + ", ".join(f"round(max((SELECT max((b.z - c.z) * 100.0 / {n * 5}.0) FROM samples b JOIN samples c ON c.stroke_id = b.stroke_id AND c.i = b.i - {n} WHERE b.stroke_id = a.stroke_id)), 4) AS steep_{n * 5}_pct" for n in (20, 40, 80)) + " FROM samples a GROUP BY a.stroke_id",
+    f"WITH {_CTE} SELECT a.stroke_id, " + ", ".join(f"round(max((SELECT max((b.z - c.z) * 100.0 / {n * 5}.0) FROM samples b JOIN samples c ON c.stroke_id = b.stroke_id AND c.i = b.i - {n} WHERE b.stroke_id = a.stroke_id)), 9) AS steep_{n * 5}_pct" for n in (20, 40, 80)) + " FROM samples a GROUP BY a.stroke_id",
 )
 def a4_steepest(spark, sf_dir):
     rows = P.steepest(samples(spark, sf_dir), (100, 200, 400))
-    return rows.select("stroke_id", *(F.round(c, 4).alias(c) for c in rows.columns[1:]))
+    return rows.select("stroke_id", *(F.round(c, 9).alias(c) for c in rows.columns[1:]))
 
 
 @query(
     "a5_grade_stats",
-    f"WITH {_CTE}, {_GRADE} SELECT stroke_id, round(avg(grade), 6) AS grade_mean, round(max(abs(grade)), 6) AS grade_max, round(stddev_pop(grade), 6) AS grade_std FROM g GROUP BY stroke_id",
+    f"WITH {_CTE}, {_GRADE} SELECT stroke_id, round(avg(grade), 9) AS grade_mean, round(max(abs(grade)), 9) AS grade_max, round(stddev_pop(grade), 9) AS grade_std FROM g GROUP BY stroke_id",
 )
 def a5_grade_stats(spark, sf_dir):
     rows = P.local_grade(samples(spark, sf_dir))
     return rows.groupBy("stroke_id").agg(
-        F.round(F.avg("grade"), 6).alias("grade_mean"),
-        F.round(F.max(F.abs("grade")), 6).alias("grade_max"),
-        F.round(F.stddev_pop("grade"), 6).alias("grade_std"),
+        F.round(F.avg("grade"), 9).alias("grade_mean"),
+        F.round(F.max(F.abs("grade")), 9).alias("grade_max"),
+        F.round(F.stddev_pop("grade"), 9).alias("grade_std"),
     )
 
 
@@ -117,7 +117,7 @@ def a5_grade_stats(spark, sf_dir):
     "j12_nearest_sample",
     f"WITH {_CTE}, t AS (SELECT stroke_id, max(d) * 0.37::DOUBLE AS x FROM samples GROUP BY stroke_id), "
     "b AS (SELECT t.stroke_id, x, max(d) FILTER (d <= x) AS lo, min(d) FILTER (d >= x) AS hi FROM t JOIN samples USING (stroke_id) GROUP BY ALL) "
-    "SELECT b.stroke_id, round(x, 6) AS x, round(CASE WHEN hi = lo THEN l.z ELSE l.z + (h.z - l.z) * (x - lo) / (hi - lo) END, 6) AS z_at "
+    "SELECT b.stroke_id, round(x, 9) AS x, round(CASE WHEN hi = lo THEN l.z ELSE l.z + (h.z - l.z) * (x - lo) / (hi - lo) END, 9) AS z_at "
     "FROM b JOIN samples l ON l.stroke_id = b.stroke_id AND l.d = lo JOIN samples h ON h.stroke_id = b.stroke_id AND h.d = hi",
 )
 def j12_nearest_sample(spark, sf_dir):
@@ -129,18 +129,18 @@ def j12_nearest_sample(spark, sf_dir):
     )
     slope = (F.col("h.z") - F.col("l.z")) * (F.col("x") - F.col("l.d")) / (F.col("h.d") - F.col("l.d"))
     z = F.when(F.col("h.d") == F.col("l.d"), F.col("l.z")).otherwise(F.col("l.z") + slope)
-    return both.select("stroke_id", F.round("x", 6).alias("x"), F.round(z, 6).alias("z_at"))
+    return both.select("stroke_id", F.round("x", 9).alias("x"), F.round(z, 9).alias("z_at"))
 
 
 @query(
     "w17_profile_bands",
     f"WITH {_CTE}, b AS (SELECT stroke_id, floor(d / 50)::BIGINT AS band, min(d) AS d0, max(d) AS d1, arg_min(z, d) AS z0, arg_max(z, d) AS z1 FROM samples GROUP BY ALL), "
     "c AS (SELECT *, CASE WHEN d1 > d0 THEN 100 * (z1 - z0) / (d1 - d0) ELSE 0 END AS g FROM b) "
-    "SELECT stroke_id, band, round(g, 6) AS band_grade, CASE WHEN abs(g) < 1 THEN 0 WHEN abs(g) < 3 THEN 1 WHEN abs(g) < 6 THEN 2 ELSE 3 END AS grade_class FROM c",
+    "SELECT stroke_id, band, round(g, 9) AS band_grade, CASE WHEN abs(g) < 1 THEN 0 WHEN abs(g) < 3 THEN 1 WHEN abs(g) < 6 THEN 2 ELSE 3 END AS grade_class FROM c",
 )
 def w17_profile_bands(spark, sf_dir):
     rows = samples(spark, sf_dir).groupBy("stroke_id", F.floor(F.col("d") / 50).alias("band"))
     rows = rows.agg(F.min("d").alias("d0"), F.max("d").alias("d1"), F.min_by("z", "d").alias("z0"), F.max_by("z", "d").alias("z1"))
     g = F.when(F.col("d1") > F.col("d0"), 100 * (F.col("z1") - F.col("z0")) / (F.col("d1") - F.col("d0"))).otherwise(0.0)
     kind = F.when(F.abs(F.col("g")) < 1, 0).when(F.abs(F.col("g")) < 3, 1).when(F.abs(F.col("g")) < 6, 2).otherwise(3)
-    return rows.withColumn("g", g).select("stroke_id", "band", F.round("g", 6).alias("band_grade"), kind.alias("grade_class"))
+    return rows.withColumn("g", g).select("stroke_id", "band", F.round("g", 9).alias("band_grade"), kind.alias("grade_class"))
