@@ -21,8 +21,9 @@ Which tokens are frequent is decided by a count over all documents and affects
 speed alone.  At most ``MAX_FREQUENT`` of them are broadcast (8 bytes each).
 
 Defined results: a text without words or null is linked with nothing and is
-its own component; fewer words than a shingle are one token.  Rows that share
-an identifier are one vertex.  An empty table gives an empty table.  Only the
+its own component; fewer words than a shingle are one token.  Identifiers are
+integers; rows that share one are one vertex, rows without one are linked with
+nothing and have a null component.  An empty table gives an empty table.  Only the
 named columns are read, so others never clash.
 """
 
@@ -107,6 +108,31 @@ def parity(sets: Sets) -> np.ndarray:
     return np.packbits(odd.reshape(n, 256), axis=1).view(np.int64)
 
 
+def sketches(sets: Sets) -> list[bytes]:
+    """For each set a parity sketch of a power of two of bits, 256 at least and no fewer than tokens."""
+    found = []
+    for i, j in zip(sets.first, sets.first[1:], strict=False):
+        bits = 1 << max(8, int(j - i - 1).bit_length())
+        cells = (sets.token[i:j] & np.uint64(bits - 1)).astype(np.int64)
+        found.append(np.packbits((np.bincount(cells, minlength=bits) & 1).astype(np.uint8)).tobytes())
+    return found
+
+
+def sketch_distance(x: bytes, y: bytes) -> int:
+    """A lower bound of the symmetric difference; the longer sketch is folded to the other's length."""
+    x, y = np.frombuffer(x, dtype=np.uint8), np.frombuffer(y, dtype=np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def most_different(m: int, n: int, percent: int) -> int:
+    """The largest symmetric difference of linked sets of these sizes."""
+    return m + n - 2 * -(-percent * (m + n) // (100 + percent))
+
+
 def _levels(size: int, percent: int) -> range:
     """Size classes, by powers of two, of all possible partners."""
     low, high = -(-size * percent // 100), size * 100 // percent
@@ -258,47 +284,74 @@ class JaccardJoin:
         differ = " + ".join(f"bit_count({a}.s{i} ^ {b}.s{i})" for i in range(4))
         return f"100 * least({a}.size, {b}.size) >= {t} * greatest({a}.size, {b}.size) AND {differ} <= {sums} - 2 * (({t} * {sums} + {99 + t}) div {100 + t})"
 
-    def _verified(self, pairs: DataFrame, reps: DataFrame, label: str) -> DataFrame:
-        """The linked ones of ``pairs(a1, a2, b1, b2)`` as ``(a, b)`` identifiers."""
-        spark, percent = self.spark, self.percent
-        pairs = pairs.join(reps.toDF("a1", "a2", "a"), ["a1", "a2"]).join(reps.toDF("b1", "b2", "b"), ["b1", "b2"])
-        pairs = self._kept(pairs.select("a", "a1", "a2", "b", "b1", "b2"), "pairs")
-        ids = pairs.select(F.col("a").alias("id"), F.col("a1").alias("n1"), F.col("a2").alias("n2")).union(pairs.select("b", "b1", "b2")).distinct()
+    def _of_pairs(self, pairs: DataFrame, columns: str, make) -> DataFrame:
+        """``(id, n1, n2)`` and the ``columns`` that ``make(sets)`` gives, of the nodes in ``pairs``."""
+        ids = pairs.selectExpr("a AS id", "a1 AS n1", "a2 AS n2").union(pairs.select("b", "b1", "b2")).distinct()
         ids = self._kept(ids, "ids")
         wanted = ids.select("id").distinct()
         wanted = F.broadcast(wanted) if ids.count() <= MAX_BROADCAST_IDS else wanted
+        names = ["id", "n1", "n2", *(x.split()[0] for x in columns.split(", "))]
 
-        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, "text"):
                 sets = token_sets(batch.column(1))
-                n1, n2 = node_ids(sets)
-                data = [sets.token[i:j].tobytes() for i, j in zip(sets.first, sets.first[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n1), pa.array(n2), pa.array(data, pa.binary())], ["id", "n1", "n2", "tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, node_ids(sets)), *make(sets)], names)
+
+        found = self.source.join(wanted, "id", "left_semi").mapInArrow(run, f"id long, n1 long, n2 long, {columns}")
+        return self._kept(found.join(ids, ["id", "n1", "n2"], "left_semi").dropDuplicates(["id", "n1", "n2"]), "of_pairs")
 
-        packed = self.source.join(wanted, "id", "left_semi").mapInArrow(pack, "id long, n1 long, n2 long, tokens binary")
-        packed = self._kept(packed.join(ids, ["id", "n1", "n2"], "left_semi").dropDuplicates(["id", "n1", "n2"]), "sets")
+    def _filtered(self, pairs: DataFrame, columns: str, make, test, label: str) -> DataFrame:
+        """The pairs for which ``test`` holds on the columns of both sides."""
+        own = self._of_pairs(pairs, columns, make)
+        keys, more = ["a", "a1", "a2", "b", "b1", "b2"], own.columns[3:]
+        left = own.toDF("a", "a1", "a2", *(f"x_{c}" for c in more))
+        right = own.toDF("b", "b1", "b2", *(f"y_{c}" for c in more))
+        both = pairs.join(right, ["b", "b1", "b2"]).join(left, ["a", "a1", "a2"])
+        both = both.select(*keys, *(f"{side}_{c}" for c in more for side in "xy"))
 
-        def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                keep = []
-                for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                    x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-                    both = len(x) + len(y) - len(np.unique(np.concatenate((x, y))))
-                    keep.append(100 * both >= percent * (len(x) + len(y) - both))
-                yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-        left = packed.toDF("a", "a1", "a2", "x")
-        right = packed.toDF("b", "b1", "b2", "y")
-        both = pairs.join(right, ["b", "b1", "b2"]).join(left, ["a", "a1", "a2"]).select("a", "b", "x", "y")
-        links = self._kept(both.mapInArrow(test, "a long, b long"), label)
-        self._drop("pairs", "ids", "sets")
+                keep = [test(*row) for row in zip(*batch.columns[len(keys) :], strict=True)]
+                yield batch.select(list(range(len(keys)))).filter(pa.array(keep, pa.bool_()))
+
+        found = self._kept(both.mapInArrow(run, ", ".join(f"{k} long" for k in keys)), label)
+        self._drop("ids", "of_pairs")
+        return found
+
+    def _verified(self, pairs: DataFrame, reps: DataFrame, label: str) -> DataFrame:
+        """The linked ones of ``pairs(a1, a2, b1, b2)`` as ``(a, b)`` identifiers.
+
+        A sketch of about a bit for each token leaves few pairs that aren't
+        linked; only for those that pass are the token sets brought together.
+        """
+        percent = self.percent
+        pairs = pairs.join(reps.toDF("a1", "a2", "a"), ["a1", "a2"]).join(reps.toDF("b1", "b2", "b"), ["b1", "b2"])
+        pairs = self._kept(pairs.select("a", "a1", "a2", "b", "b1", "b2"), "pairs")
+
+        def sketched(sets: Sets) -> list[pa.Array]:
+            return [pa.array(sets.size), pa.array(sketches(sets), pa.binary())]
+
+        def packed(sets: Sets) -> list[pa.Array]:
+            return [pa.array([sets.token[i:j].tobytes() for i, j in zip(sets.first, sets.first[1:], strict=False)], pa.binary())]
+
+        def near(nx: pa.Scalar, ny: pa.Scalar, x: pa.Scalar, y: pa.Scalar) -> bool:
+            return sketch_distance(x.as_py(), y.as_py()) <= most_different(nx.as_py(), ny.as_py(), percent)
+
+        def linked(x: pa.Scalar, y: pa.Scalar) -> bool:
+            x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
+            both = len(x) + len(y) - len(np.unique(np.concatenate((x, y))))
+            return 100 * both >= percent * (len(x) + len(y) - both)
+
+        close = self._filtered(pairs, "size long, sketch binary", sketched, near, "close")
+        links = self._filtered(close, "tokens binary", packed, linked, label).select("a", "b")
+        self._drop("pairs", "close")
         return links
 
     def components(self) -> DataFrame:
         """``(id, n_shingles, component)`` of every row."""
         spark = self.spark
         nodes = self._kept(self.nodes(), "nodes")
-        reps = self._kept(nodes.where("size > 0").groupBy("n1", "n2").agg(F.min("id").alias("rep")), "reps")
+        reps = self._kept(nodes.where("size > 0 AND id IS NOT NULL").groupBy("n1", "n2").agg(F.min("id").alias("rep")), "reps")
         index = self._kept(self.index(), "index")
         
         # Round one: every node against the most typical node of each of its signatures.
@@ -321,8 +374,9 @@ class JaccardJoin:
         labels = connected_components(spark, links.union(more)) if not more.isEmpty() else labels
 
         of_node = reps.join(labels, reps["rep"] == labels["vertex"], "left").select("n1", "n2", F.coalesce("component", "rep").alias("component"))
-        out = nodes.where("size > 0").join(of_node, ["n1", "n2"]).select("id", F.col("size").alias("n_shingles"), "component")
-        return out.union(nodes.where("size = 0").select("id", "size", "id"))
+        alone = "size = 0 OR id IS NULL"
+        out = nodes.where(f"NOT ({alone})").join(of_node, ["n1", "n2"]).select("id", F.col("size").alias("n_shingles"), "component")
+        return out.union(nodes.where(alone).select("id", "size", "id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
