@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("profiles", "detection", "tags", "geometry", "search", "reports")
+MODULES = ("profiles", "detection", "tags", "geometry", "search", "reports", "versions")
 
 
 def load() -> None:
