@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 SEGMENT_ID = r"^(flat|climb|long_climb|loop)-[0-9a-f]{12}(-[0-9]+)?$"
 KINDS = ("flat", "climb", "long_climb", "loop")
@@ -16,7 +17,7 @@ def is_segment_id(value: Column) -> Column:
     return value.rlike(SEGMENT_ID)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(values: pd.Series) -> pd.Series:
     """Unicode composition, which Spark has no function for."""
     return values.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")

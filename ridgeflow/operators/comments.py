@@ -16,13 +16,15 @@ LIST_MAX, REPORTS_TO_HIDE = 200, 3
 AUTHOR_MAX, BODY_MIN, BODY_MAX, LINKS_MAX = 40, 3, 1000, 2
 STATUSES = ("visible", "hidden", "approved")
 
-_NEWEST = (F.desc("created_at"), F.desc("id"))
+
+def _newest() -> tuple[Column, Column]:
+    return F.desc("created_at"), F.desc("id")
 
 
 def list_visible(df: DataFrame, spot: str, most: int = LIST_MAX) -> DataFrame:
     """The newest comments of a spot that aren't hidden."""
     rows = df.where((F.col("spot_id") == spot) & (F.col("status") != "hidden"))
-    return rows.orderBy(*_NEWEST).limit(most).select("id", "author", "body", "created_at")
+    return rows.orderBy(*_newest()).limit(most).select("id", "author", "body", "created_at")
 
 
 def insert(df: DataFrame, new: DataFrame) -> DataFrame:
@@ -43,7 +45,7 @@ def view(df: DataFrame, name: str, most: int = LIST_MAX) -> DataFrame:
     tests = {"recent": F.lit(True), "reported": (F.col("reports") > 0) & (F.col("status") != "approved"), "hidden": F.col("status") == "hidden"}
     if name not in tests:
         raise ValueError(f"unknown view {name!r}")
-    return df.where(tests[name]).orderBy(*_NEWEST).limit(most)
+    return df.where(tests[name]).orderBy(*_newest()).limit(most)
 
 
 def set_status(df: DataFrame, changes: DataFrame) -> DataFrame:

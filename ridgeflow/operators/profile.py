@@ -8,17 +8,23 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-STROKE = Window.partitionBy("stroke_id").orderBy("i")
-WHOLE = Window.partitionBy("stroke_id")
+
+def along() -> WindowSpec:
+    """The samples of a stroke in order."""
+    return Window.partitionBy("stroke_id").orderBy("i")
+
+
+def whole() -> WindowSpec:
+    return Window.partitionBy("stroke_id")
 
 
 def runs(df: DataFrame, flag: Column, name: str = "run") -> DataFrame:
     """Number the maximal runs of rows with equal ``flag`` along each stroke."""
-    changed = F.coalesce((flag != F.lag(flag).over(STROKE)).cast("int"), F.lit(0))
-    return df.withColumn("_changed", changed).withColumn(name, F.sum("_changed").over(STROKE)).drop("_changed")
+    changed = F.coalesce((flag != F.lag(flag).over(along())).cast("int"), F.lit(0))
+    return df.withColumn("_changed", changed).withColumn(name, F.sum("_changed").over(along())).drop("_changed")
 
 
 def fill_profile(df: DataFrame, max_gap_m: float = 20.0) -> DataFrame:
@@ -30,8 +36,8 @@ def fill_profile(df: DataFrame, max_gap_m: float = 20.0) -> DataFrame:
     masked = df.withColumn("z_in", F.when(F.col("structure").isNull(), F.col("z")))
     masked = runs(masked, F.col("z_in").isNull())
     run = Window.partitionBy("stroke_id", "run")
-    before = STROKE.rowsBetween(Window.unboundedPreceding, 0)
-    after = STROKE.rowsBetween(0, Window.unboundedFollowing)
+    before = along().rowsBetween(Window.unboundedPreceding, 0)
+    after = along().rowsBetween(0, Window.unboundedFollowing)
     known = F.when(F.col("z_in").isNotNull(), F.struct("d", "z_in"))
     masked = masked.withColumn("_l", F.last(known, True).over(before)).withColumn("_r", F.first(known, True).over(after))
     masked = masked.withColumn("_on", F.max(F.col("structure").isNotNull()).over(run))
@@ -51,8 +57,8 @@ def reflected(df: DataFrame, pad: int, value: str = "z") -> DataFrame:
 
     A stroke shorter than the pad is reflected as far as it reaches.
     """
-    ends = df.withColumn("_n", F.max("i").over(WHOLE)).withColumn("_first", F.first(value).over(STROKE.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    ends = ends.withColumn("_last", F.last(value).over(STROKE.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    ends = df.withColumn("_n", F.max("i").over(whole())).withColumn("_first", F.first(value).over(along().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    ends = ends.withColumn("_last", F.last(value).over(along().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     own = F.struct(F.col("i").alias("i"), F.col(value).alias("v"))
     low = F.struct((-F.col("i")).alias("i"), (2 * F.col("_first") - F.col(value)).alias("v"))
     high = F.struct((2 * F.col("_n") - F.col("i")).alias("i"), (2 * F.col("_last") - F.col(value)).alias("v"))
@@ -67,7 +73,7 @@ def reflected(df: DataFrame, pad: int, value: str = "z") -> DataFrame:
 def rolling_median(df: DataFrame, window: int) -> DataFrame:
     """``(stroke_id, i, z_median)``: median of an odd window of samples, missing ones left out."""
     half = (window | 1) // 2
-    frame = STROKE.rowsBetween(-half, half)
+    frame = along().rowsBetween(-half, half)
     out = reflected(df, half).withColumn("z_median", F.percentile("v", F.lit(0.5)).over(frame))
     return out.where("i BETWEEN 0 AND n").select("stroke_id", "i", "z_median")
 
@@ -79,7 +85,7 @@ def gaussian_smooth(df: DataFrame, sigma: float) -> DataFrame:
     value = weight = F.lit(0.0)
     for k in range(-radius, radius + 1):
         w = math.exp(-0.5 * (k / sigma) ** 2)
-        v = F.col("v") if k == 0 else F.lead("v", k).over(STROKE) if k > 0 else F.lag("v", -k).over(STROKE)
+        v = F.col("v") if k == 0 else F.lead("v", k).over(along()) if k > 0 else F.lag("v", -k).over(along())
         value = value + F.coalesce(v, F.lit(0.0)) * w
         weight = weight + F.when(v.isNotNull(), w).otherwise(0.0)
     out = padded.withColumn("_v", value).withColumn("_w", weight)
@@ -88,7 +94,7 @@ def gaussian_smooth(df: DataFrame, sigma: float) -> DataFrame:
 
 def local_grade(df: DataFrame, half: int = 2, value: str = "z") -> DataFrame:
     """Add ``grade``: centred difference in percent, clipped at the ends."""
-    frame = STROKE.rowsBetween(-half, half)
+    frame = along().rowsBetween(-half, half)
     rise = F.last(value).over(frame) - F.first(value).over(frame)
     run = F.last("d").over(frame) - F.first("d").over(frame)
     return df.withColumn("grade", F.when(run > 0, 100 * rise / run))
@@ -96,7 +102,7 @@ def local_grade(df: DataFrame, half: int = 2, value: str = "z") -> DataFrame:
 
 def sliding_windows(df: DataFrame, n: int, value: str = "z") -> DataFrame:
     """``(stroke_id, start, end, mean_grade, max_grade)`` of all full windows of n intervals without missing samples."""
-    frame = STROKE.rowsBetween(0, n)
+    frame = along().rowsBetween(0, n)
     rows = df.select(
         "stroke_id",
         F.col("i").alias("start"),
@@ -110,7 +116,7 @@ def sliding_windows(df: DataFrame, n: int, value: str = "z") -> DataFrame:
 
 def strided(df: DataFrame, stride: int) -> DataFrame:
     """Windows at every ``stride``-th start; the last window of a stroke always counts."""
-    last = F.max("start").over(WHOLE)
+    last = F.max("start").over(whole())
     return df.withColumn("_last", last).where((F.col("start") % stride == 0) | (F.col("start") == F.col("_last"))).drop("_last")
 
 
@@ -194,5 +200,5 @@ def steepest(df: DataFrame, lengths: tuple[int, ...], step_m: float = 5.0) -> Da
     rows = df
     for length in lengths:
         n = max(1, round(length / step_m))
-        rows = rows.withColumn(f"_s{length}", (F.lead("z", n).over(STROKE) - F.col("z")) * 100.0 / (n * step_m))
+        rows = rows.withColumn(f"_s{length}", (F.lead("z", n).over(along()) - F.col("z")) * 100.0 / (n * step_m))
     return rows.groupBy("stroke_id").agg(*(F.max(f"_s{length}").alias(f"steep_{length}_pct") for length in lengths))

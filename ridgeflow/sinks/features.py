@@ -7,6 +7,7 @@ import struct
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 
 def rounded(x: Column, digits: int) -> Column:
@@ -67,7 +68,7 @@ def mismatches(expected: DataFrame, found: DataFrame, key: str = "id", tolerance
     return rows.select(F.coalesce(F.col(f"a.{key}"), F.col(f"b.{key}")).alias(key), problem.alias("problem")).where("problem IS NOT NULL")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def wkb_line(lines: pd.Series) -> pd.Series:
     """Well-known binary of lines, arrays of ``(x, y)``."""
 
