@@ -12,9 +12,9 @@ the symmetric difference, inside the join.  What passes is verified on whole
 texts.
 
 Equal token sets are one node; the smallest identifier stands for it, so
-copies never become pairs.  Nodes are first compared with one leader of each
-signature, the most typical one; components form; then only pairs from
-different components are compared.  No link between different sets is lost
+copies never become pairs.  Nodes are first compared with a few leaders of each
+signature; components form; then only pairs from different components are
+compared.  No link between different sets is lost
 for the components, and a family of near copies isn't expanded into its pairs.
 
 Which tokens are frequent is decided by a count over all documents and affects
@@ -44,13 +44,15 @@ from .components import connected_components
 #: A token in more lists than this is frequent.
 FREQUENT = 24
 MAX_FREQUENT = 400_000
+#: Nodes of a signature that all others of it are compared with first.
+LEADERS = 4
 #: Bits of the table of shared signatures, a power of two (16 MB).
 SIGNATURE_BITS = 1 << 27
 #: Up to so many identifiers (8 bytes each) a filter is broadcast; beyond, it is a shuffled join.
 MAX_BROADCAST_IDS = 1_000_000
 _SINGLE, _PAIR, _SHORT = (np.uint64(x) for x in (0x1B873593CC9E2D51, 0x85EBCA6BC2B2AE35, 0x27D4EB2F165667C5))
 _N1, _N2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))
-_SIGNATURE = "sig long, n1 long, n2 long, size int, odd int, s0 long, s1 long, s2 long, s3 long"
+_SIGNATURE = "sig long, n1 long, n2 long, size int, s0 long, s1 long, s2 long, s3 long"
 
 
 @dataclass(frozen=True)
@@ -174,8 +176,8 @@ def _is_in(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
     return sorted_values[at] == x
 
 
-def signatures(sets: Sets, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Signatures, the text of each, and for each text how many looked-at tokens are rare."""
+def signatures(sets: Sets, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures and the text of each."""
     need = sets.size * (100 - percent) // 100 + 1
     looked = np.flatnonzero(sets.rank < (2 * need + 16)[sets.text_of])
     rare = looked[~_is_in(frequent, sets.token[looked])]
@@ -190,7 +192,7 @@ def signatures(sets: Sets, frequent: np.ndarray, percent: int) -> tuple[np.ndarr
         own = prefix_signatures(tokens, _is_in(frequent, tokens), percent)
         sig.append(own)
         text.append(np.full(len(own), i))
-    return np.concatenate(sig), np.concatenate(text), n_rare
+    return np.concatenate(sig), np.concatenate(text)
 
 
 class JaccardJoin:
@@ -247,7 +249,7 @@ class JaccardJoin:
             frequent, bits = shared.value
             for batch in slices(batches, "text"):
                 sets = token_sets(batch.column(1))
-                sig, text, n_rare = signatures(sets, frequent, percent)
+                sig, text = signatures(sets, frequent, percent)
                 n1, n2 = node_ids(sets)
                 if slim:
                     yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(n1[text])], names[:2])
@@ -255,7 +257,7 @@ class JaccardJoin:
                 hit = sig & np.uint64(SIGNATURE_BITS - 1)
                 hit = np.flatnonzero((bits[(hit >> np.uint64(6)).astype(np.int64)] >> (hit & np.uint64(63))) & np.uint64(1))
                 text = text[hit]
-                columns = [n1, n2, sets.size.astype(np.int32), n_rare.astype(np.int32), *parity(sets).T]
+                columns = [n1, n2, sets.size.astype(np.int32), *parity(sets).T]
                 yield pa.RecordBatch.from_arrays([pa.array(sig[hit].view(np.int64)), *(pa.array(np.ascontiguousarray(c)[text]) for c in columns)], names)
 
         return self.source.mapInArrow(run, _SIGNATURE.split(", n2")[0] if slim else _SIGNATURE)
@@ -354,9 +356,12 @@ class JaccardJoin:
         reps = self._kept(nodes.where("size > 0 AND id IS NOT NULL").groupBy("n1", "n2").agg(F.min("id").alias("rep")), "reps")
         index = self._kept(self.index(), "index")
         
-        # Round one: every node against the most typical node of each of its signatures.
-        typical = F.expr("min_by(struct(n1, n2, size, s0, s1, s2, s3), struct(odd, n1, n2))")
-        leaders = index.groupBy("sig").agg(typical.alias("x"), F.count("*").alias("n")).where("n > 1").select("sig", "x.*")
+        # Round one: every node against a few nodes of each of its signatures, drawn by hash.  The signatures of a
+        # family of near copies draw different ones, so most of its core is found to be one component.
+        row = "n1, n2, size, s0, s1, s2, s3"
+        drawn = [F.expr(f"min(struct(xxhash64({i}, sig, n1, n2) AS h, {row}))").alias(f"x{i}") for i in range(LEADERS)]
+        leaders = index.groupBy("sig").agg(*drawn, F.count("*").alias("n")).where("n > 1")
+        leaders = leaders.select("sig", F.explode(F.array_distinct(F.array(*(F.expr(f"struct({', '.join(f'x{i}.{c}' for c in row.split(', '))})") for i in range(LEADERS))))).alias("x")).select("sig", "x.*")
         near = leaders.alias("a").join(index.alias("b"), F.expr(f"a.sig = b.sig AND (a.n1 <> b.n1 OR a.n2 <> b.n2) AND {self._alike('a', 'b')}"))
         order = "a.n1 < b.n1 OR (a.n1 = b.n1 AND a.n2 < b.n2)"
         first = near.selectExpr(*(f"IF({order}, a.{x}, b.{x}) AS a{i}" for i, x in ((1, "n1"), (2, "n2"))), *(f"IF({order}, b.{x}, a.{x}) AS b{i}" for i, x in ((1, "n1"), (2, "n2")))).distinct()
