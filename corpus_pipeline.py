@@ -1,11 +1,61 @@
-"""A training-corpus pipeline over ``documents``."""
+"""A training-corpus pipeline over ``documents``.
 
-STAGES = []
+Each stage calls one operator of ``ridgeflow.llm`` on all that the stage before
+kept.  The driver of a run writes each stage's rows and reads them again, so a
+lost executor costs part of one stage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ridgeflow.llm import bpe, jaccard, pii, quality, winnow
+from ridgeflow.llm.common import scratch, table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Failing lines are cut out, rejected documents go."""
+    return quality.clean(docs, length_column="n_chars")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of similar ones stays."""
+    return jaccard.deduplicate(spark, docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of a benchmark item go."""
+    return winnow.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by the name of its kind."""
+    return pii.redact(spark, docs, pii.learn(docs), length_column="n_chars")
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token identifiers are added."""
+    return bpe.encode_onto(docs, bpe.default_path())
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("personal data", personal_data),
+    ("BPE encoding and decoding", tokens),
+]
+
+#: SQL can express neither the random field nor the encoder; a test compares the rows with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        path = scratch(spark, name.replace(" ", "-"))
+        docs.write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs

@@ -26,6 +26,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -198,6 +199,31 @@ def encode(df: DataFrame, path: str, id_column: str = "doc_id", text_column: str
     return df.select(df[id_column].alias("id"), df[text_column].alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_column)
 
 
+def encode_onto(df: DataFrame, path: str, text_column: str = "text") -> DataFrame:
+    """All rows and columns of ``df`` with ``n_tokens``, ``token_ids`` (integers) and ``decoded_sha256``."""
+    more = T._parse_datatype_string("n_tokens long, token_ids array<int>, decoded_sha256 string").fields
+    if taken := {f.name for f in more} & {c.lower() for c in df.columns}:
+        raise ValueError(f"columns {sorted(taken)} are taken")
+    where = df.columns.index(text_column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = coder(path)
+        for batch in slices(batches, f"c{where}"):
+            found = [own.words(x) for x in batch.column(where).to_pylist()]
+            counts = [sum(x[0] for x in words) for words in found]
+            flat = np.frombuffer(b"".join(x[1] for words in found for x in words), dtype="<u4").astype(np.int32)
+            starts = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
+            decoded = [hashlib.sha256(" ".join(x[2] for x in words if x[0]).encode()).hexdigest() for words in found]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(counts, pa.int64()), pa.ListArray.from_arrays(starts, pa.array(flat)), pa.array(decoded, pa.string())],
+                [*batch.schema.names, *(f.name for f in more)],
+            )
+
+    names = [f"c{i}" for i in range(len(df.columns))]
+    fields = [T.StructField(n, f.dataType) for n, f in zip(names, df.schema.fields, strict=True)]
+    return df.toDF(*names).mapInArrow(run, T.StructType([*fields, *more])).toDF(*df.columns, *(f.name for f in more))
+
+
 def digest(df: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """As ``encode``, with SHA-256 of identifiers and decoded text in place of both."""
 

@@ -384,6 +384,26 @@ class JaccardJoin:
         return out.union(nodes.where(alone).select("id", "size", "id"))
 
 
+def deduplicate(spark: SparkSession, df: DataFrame, percent: int = 90, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``df``, with all columns, of which one of each component stays: that with the smallest identifier.
+
+    Of rows that share an identifier one stays; rows without one all stay.
+    """
+    found = JaccardJoin(spark, df, percent, id_column, text_column).components()
+    path = scratch(spark, "kept-ids")
+    found.where("id IS NOT NULL").groupBy("id").agg(F.min("component").alias("component"), F.count("*").alias("n")).where("id = component").select("id", "n").write.parquet(path)
+    ids = spark.read.parquet(path)
+    small, own = ids.count() <= MAX_BROADCAST_IDS, df[id_column].cast("long")
+
+    def of(wanted: DataFrame) -> DataFrame:
+        wanted = wanted.select(F.col("id").alias("ridgeflow_kept_id"))
+        return df.join(F.broadcast(wanted) if small else wanted, own == F.col("ridgeflow_kept_id"), "left_semi")
+
+    kept = of(ids.where("n = 1")).union(df.where(df[id_column].isNull()))
+    again = ids.where("n > 1")
+    return kept if again.isEmpty() else kept.union(of(again).dropDuplicates([id_column]))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``op8_jaccard_join``: the component of every document at 90 percent of three-word shingles."""
     found = JaccardJoin(spark, table(spark, sf_dir, "documents")).components()

@@ -13,7 +13,7 @@ label is a kind, with probability ``MIN_PROBABILITY``, is added.  Base spans
 always stay.
 
 The weights are learned here, from a sample of texts of bounded size whose
-base spans serve as labels: node weights by logistic regression, edge weights
+base spans serve as labels, and from a few fixed numbers that are none: node weights by logistic regression, edge weights
 as log odds of agreement.  With no sample every candidate stays none.
 
 Defined results: a null text is empty and has no span.  Spans count code
@@ -78,6 +78,7 @@ class Node:
     kind: int  #: 1 to 4 for a base span, 0 for a candidate
     digits: str
     key: str
+    groups: tuple[str, ...] = ()
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -142,7 +143,7 @@ def _candidates(text: str, low: int, high: int) -> Iterator[Node]:
             b -= 1
         digits = _NOT_DIGIT.sub("", text[a:b])
         if 7 <= len(digits) <= 19:
-            yield Node(a, b, 0, digits, "")
+            yield Node(a, b, 0, digits, "", tuple(g for g in _NOT_DIGIT.split(text[a:b]) if g))
 
 
 N_FEATURES = 22
@@ -202,11 +203,28 @@ def untrained() -> Weights:
     return Weights(node, np.zeros((3, 5, 5)))
 
 
+#: Numbers that are no personal data, learned along with every sample.
+BACKGROUND = (
+    "order 1234567 of 20240101, then 12345678 and 123456789",
+    "id 1234567890 or 12345678901 or 123456789012 or 1234567890123",
+    "from 2024-01-01 to 2024-12-31, and 1 234 567 of 12 345 678",
+    "book 978-3-16-148410-0, part 1234-5678-90, lot 12.34.5678",
+    "code 12345678901234567 and 1234567890123456789",
+)
+
+
+def domain(node: Node) -> np.ndarray:
+    """Log potential of the labels that a candidate can have at all."""
+    n, groups = len(node.digits), node.groups
+    possible = (True, "@" in node.key, len(groups) == 4 and all(int(g) <= 255 for g in groups), 14 <= n <= 19 and luhn(node.digits), 7 <= n <= 15)
+    return np.where(possible, 0.0, -50.0)
+
+
 def train(texts: list[str], steps: int = 300, rate: float = 0.5, decay: float = 1e-3) -> Weights:
     """Weights from texts whose base spans are the labels."""
     rows, labels, agree = [], [], np.ones((3, 2))
     pairs = np.ones((5, 5))
-    for text in texts:
+    for text in (*texts, *BACKGROUND):
         found = nodes(text)
         rows += [features(text, x) for x in found]
         labels += [x.kind for x in found]
@@ -217,7 +235,7 @@ def train(texts: list[str], steps: int = 300, rate: float = 0.5, decay: float =
                     agree[kind, int(a == b)] += 1
             else:
                 pairs[a, b] += 1
-    if not rows:
+    if not any(labels):
         return untrained()
     x, y = np.array(rows), np.array(labels)
     target = np.eye(5)[y]
@@ -281,6 +299,9 @@ def label(texts: list[str | None], weights: Weights) -> list[tuple[list[Span], l
         unary = np.array(rows) @ weights.node
         base = np.array([x.kind for i in open_texts for x in found[i]])
         fixed = np.flatnonzero(base)
+        for j, x in enumerate(x for i in open_texts for x in found[i]):
+            if not x.kind:
+                unary[j] += domain(x)
         unary[fixed] -= 50.0
         unary[fixed, base[fixed]] += 50.0
         p = marginals(unary, np.array(links, dtype=np.int64).reshape(-1, 3), weights.edge)

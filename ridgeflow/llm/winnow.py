@@ -24,13 +24,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import scratch, table
 
 #: Words of a window (t) and of a k-gram (k).
 SPAN = 10
 GRAM = 5
 #: Rows of the benchmark's fingerprints up to which they are broadcast; beyond, the join is shuffled.
 MAX_BROADCAST_ROWS = 200_000
+#: Identifiers of contaminated rows up to which they are broadcast; beyond, the join is shuffled.
+MAX_BROADCAST_IDS = 1_000_000
 _CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -129,6 +131,20 @@ def contamination(df: DataFrame, benchmark: DataFrame, id_column: str = "doc_id"
     )
 
 
+def decontaminate(df: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", **names: str) -> DataFrame:
+    """The rows of ``df``, with all columns, that no benchmark item contaminates.
+
+    Rows without an identifier can't be told apart and go if one of them is contaminated.
+    """
+    found = contamination(df, benchmark, id_column, text_column, **names).where("contaminated")
+    found = found.select(F.col(id_column).alias("ridgeflow_hit_id")).distinct()
+    path = scratch(df.sparkSession, "contaminated")
+    found.write.parquet(path)
+    found = df.sparkSession.read.parquet(path)
+    found = F.broadcast(found) if found.count() <= MAX_BROADCAST_IDS else found
+    return df.join(found, df[id_column].eqNullSafe(F.col("ridgeflow_hit_id")), "left_anti")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``op6_winnowing``: contamination of every document by all benchmark items."""
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
