@@ -13,7 +13,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step takes; a longer text is a step of its own.
 STEP_BYTES = 2 << 20
@@ -94,6 +95,11 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def hash_share(key: Column, share: Column | float) -> Column:
+    """Whether a 64-bit hash lies in the lowest share of its range."""
+    return F.shiftrightunsigned(key, 11) < (share if isinstance(share, Column) else F.lit(share)) * float(1 << 53)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of all batches in order, in pieces of at most ``limit`` bytes of ``column``."""
     for batch in batches:
