@@ -211,3 +211,25 @@ def test_params():
         load_params("[flat]\nnope = 1\n")
     assert Params().long_climb.min_mean_grade_pct == 2.5
     assert [samples_for(x, 5.0) for x in (1, 12.5, 17.5, 200)] == [1, 2, 4, 40]
+
+
+def test_assembled_parts_tile_each_stroke(spark):
+    from ridgeflow.operators import lines
+
+    chain = spark.createDataFrame([(0, 0, 0, True), (1, 0, 1, False), (2, 0, 2, True)], "e bigint, stroke bigint, pos bigint, forward boolean")
+    edges = spark.createDataFrame([(0, 7, 1, 2, 10.0), (1, 7, 3, 2, 5.0), (2, 8, 3, 4, 20.0)], "e bigint, way_id bigint, start_node bigint, end_node bigint, length double")
+    degrees = spark.createDataFrame([(2, 2), (3, 4)], "node_id bigint, degree bigint")
+    minor = spark.createDataFrame([(3,)], "node_id bigint")
+    parts, events = lines.assemble(chain, edges, degrees, minor)
+    assert sorted((r.way_id, r.start_m, r.end_m) for r in parts.collect()) == [(7, 0.0, 15.0), (8, 15.0, 35.0)]
+    assert [(r.offset_m, r.node_id, r.kind) for r in events.collect()] == [(15.0, 3, "crossing")]
+
+
+def test_resample_and_substring(spark):
+    from ridgeflow.operators import lines
+
+    df = spark.createDataFrame([("a", [(0.0, 0.0), (30.0, 0.0), (30.0, 40.0)])], "id string, line array<struct<x: double, y: double>>")
+    points = sorted((r.k, r.x, r.y) for r in lines.resample(df, 10.0, "id").collect())
+    assert points == [(0, 0, 0), (1, 10, 0), (2, 20, 0), (3, 30, 0), (4, 30, 10), (5, 30, 20), (6, 30, 30), (7, 30, 40)]
+    cut = lines.substring(df, F.lit(20.0), F.lit(45.0), "id").first().line
+    assert [(p.x, p.y) for p in cut] == [(20, 0), (30, 0), (30, 15)]
