@@ -33,11 +33,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, table
+from .common import bounded_batches, hash_share, slices, table
 
 BLOCK = 2048
 #: Letters that the table tells apart; further ones are unknown symbols.
 MAX_LETTERS = 250
+#: Languages that are learned, the most frequent first.
+MAX_LANGUAGES = 100
 BREAK, UNKNOWN = 0, 1
 UNDETERMINED = "und"
 
@@ -180,12 +182,15 @@ def learn(df: DataFrame, sample: Sample = Sample(), id_column: str = "doc_id", t
     rows = df.select(df[id_column].alias("id"), df[text_column].alias("text"), df[label_column].alias("label"))
     rows = rows.where(F.col("id").isNotNull() & F.col("label").isNotNull() & ~held_out(F.col("id")))
     rows = rows.where(F.char_length("text").between(sample.min_chars, sample.max_chars))
-    # The limit within each group is applied before the shuffle as well.
+    counts = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MAX_LANGUAGES).collect()
+    if not counts:
+        return {}
+    # A share of each label's rows by hash first, so that the ranking sees few rows at any size.
+    shares = F.create_map(*(F.lit(x) for r in counts for x in (r.label, min(1.0, 4 * sample.texts / r["count"]))))
+    rows = rows.where(hash_share(F.xxhash64("id"), F.coalesce(F.try_element_at(shares, F.col("label")), F.lit(0.0))))
     rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "id"))
-    chosen = rows.select("id", "label").withColumn("rank", rank).where(F.col("rank") <= sample.texts)
-    ids = sorted({r.id for r in chosen.select("id").collect()})
     found: dict[str, list[tuple[object, str]]] = {}
-    for r in rows.where(F.col("id").isin(ids)).collect() if ids else []:
+    for r in rows.withColumn("rank", rank).where(F.col("rank") <= sample.texts).collect():
         found.setdefault(r.label, []).append((r.id, r.text))
     references = {}
     for label, texts in found.items():
@@ -210,7 +215,7 @@ def identify(spark: SparkSession, df: DataFrame, references: dict[str, str], id_
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["id", "lang_pred", "score"])
 
     schema = T.StructType([T.StructField("id", df.schema[id_column].dataType), *T._parse_datatype_string("lang_pred string, score double").fields])
-    return df.select(df[id_column].alias("id"), df[text_column].alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_column)
+    return bounded_batches(df).select(df[id_column].alias("id"), df[text_column].alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_column)
 
 
 _MODELS: dict[int, Model] = {}
