@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import slices, table
+from .common import bounded_batches, slices, table
 
 #: Symbols that are encoded at once, without a join.
 LEAF = 64
@@ -196,7 +196,7 @@ def encode(df: DataFrame, path: str, id_column: str = "doc_id", text_column: str
             )
 
     schema = T.StructType([T.StructField("id", df.schema[id_column].dataType), *T._parse_datatype_string("n_tokens long, ids binary, decoded string").fields])
-    return df.select(df[id_column].alias("id"), df[text_column].alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_column)
+    return bounded_batches(df).select(df[id_column].alias("id"), df[text_column].alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_column)
 
 
 def encode_onto(df: DataFrame, path: str, text_column: str = "text") -> DataFrame:
@@ -221,7 +221,7 @@ def encode_onto(df: DataFrame, path: str, text_column: str = "text") -> DataFram
 
     names = [f"c{i}" for i in range(len(df.columns))]
     fields = [T.StructField(n, f.dataType) for n, f in zip(names, df.schema.fields, strict=True)]
-    return df.toDF(*names).mapInArrow(run, T.StructType([*fields, *more])).toDF(*df.columns, *(f.name for f in more))
+    return bounded_batches(df).toDF(*names).mapInArrow(run, T.StructType([*fields, *more])).toDF(*df.columns, *(f.name for f in more))
 
 
 def digest(df: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -239,7 +239,7 @@ def digest(df: DataFrame, path: str, id_column: str = "doc_id", text_column: str
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     schema = T.StructType([T.StructField("id", df.schema[id_column].dataType), *T._parse_datatype_string("n_tokens long, ids_sha256 string, decoded_sha256 string").fields])
-    return df.select(df[id_column].alias("id"), df[text_column].alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_column)
+    return bounded_batches(df).select(df[id_column].alias("id"), df[text_column].alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_column)
 
 
 def default_path() -> str:

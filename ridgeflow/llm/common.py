@@ -17,7 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step takes; a longer text is a step of its own.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
+#: Bytes of a batch between Spark and Python; the default of 64 MB costs several times that on both sides.
+BATCH_BYTES = 8 << 20
 
 #: Word separators: blank, and tab to carriage return.
 _SPACE = np.zeros(256, dtype=bool)
@@ -67,6 +69,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """The same rows; from now on the session hands them to Python in small batches."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder of ``spark.checkpoint.dir``.
 

@@ -38,7 +38,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, mix, remove, scratch, slices, table
+from .common import Words, bounded_batches, mix, remove, scratch, slices, table
 from .components import connected_components
 
 #: A token in more lists than this is frequent.
@@ -201,7 +201,7 @@ class JaccardJoin:
     def __init__(self, spark: SparkSession, df: DataFrame, percent: int = 90, id_column: str = "doc_id", text_column: str = "text"):
         self.spark, self.percent = spark, percent
         self._paths: dict[str, str] = {}
-        self.source = df.select(df[id_column].cast("long").alias("id"), df[text_column].alias("text"))
+        self.source = bounded_batches(df).select(df[id_column].cast("long").alias("id"), df[text_column].alias("text"))
 
     def _kept(self, df: DataFrame, label: str) -> DataFrame:
         path = self._paths[label] = scratch(self.spark, label)
@@ -237,8 +237,17 @@ class JaccardJoin:
                 yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n.astype(np.int32))], ["token", "n"])
 
         counts = self.source.mapInArrow(run, "token long, n int").groupBy("token").agg(F.sum("n").alias("n"))
-        top = counts.where(F.col("n") > FREQUENT).orderBy(F.desc("n"), "token").limit(MAX_FREQUENT).select("token").toArrow()
-        return np.sort(top.column(0).to_numpy().view(np.uint64))
+        counts = self._kept(counts.where(F.col("n") > FREQUENT).select("token", F.floor(8 * F.log2("n")).alias("level")), "frequent")
+        # Whole levels of frequency, the highest first, as far as they fit: no global order is needed.
+        least, room = None, MAX_FREQUENT
+        for level, n in sorted(map(tuple, counts.groupBy("level").count().collect()), reverse=True):
+            room -= n
+            if room < 0:
+                break
+            least = level
+        top = counts.where(F.col("level") >= least).select("token").toArrow() if least is not None else None
+        self._drop("frequent")
+        return np.sort(top.column(0).to_numpy().view(np.uint64)) if top is not None else np.zeros(0, dtype=np.uint64)
 
     def _emitted(self, shared: Broadcast, slim: bool) -> DataFrame:
         """Signatures of all rows; ``shared`` has the frequent tokens and the bits of the signatures to emit."""

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hash_share, slices, table
+from .common import bounded_batches, hash_share, slices, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: Texts of the training sample, and code points of each at most.
@@ -344,7 +344,7 @@ def detect(spark: SparkSession, df: DataFrame, weights: Weights, id_column: str
             yield pa.RecordBatch.from_arrays([batch.column(0), *counts, digest, pa.array([spelled(x) for _, x in found], pa.string())], ["id", *names])
 
     schema = T.StructType([T.StructField("id", df.schema[id_column].dataType), *T._parse_datatype_string(", ".join(f"{n} {'long' if n.startswith('n_') else 'string'}" for n in names)).fields])
-    return df.select(df[id_column].alias("id"), df[text_column].alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_column)
+    return bounded_batches(df).select(df[id_column].alias("id"), df[text_column].alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_column)
 
 
 def masked(text: str, spans: list[Span]) -> str:
@@ -374,7 +374,7 @@ def redact(spark: SparkSession, df: DataFrame, weights: Weights, text_column: st
 
     names = [f"c{i}" for i in range(len(df.columns))]
     fields = [T.StructField(n, f.dataType) for n, f in zip(names, df.schema.fields, strict=True)]
-    return df.toDF(*names).mapInArrow(run, T.StructType(fields)).toDF(*df.columns)
+    return bounded_batches(df).toDF(*names).mapInArrow(run, T.StructType(fields)).toDF(*df.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import Words, per_text, slices, table
+from .common import Words, bounded_batches, per_text, slices, table
 
 #: Phrases of boilerplate lines, lower case.
 BOILERPLATE = (
@@ -176,7 +176,7 @@ def judge(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", r
             arrays = [pa.array(getattr(found, n), pa.int64() if kind == "long" else pa.bool_()) for n, kind in fields]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["id", *(n for n, _ in fields)])
 
-    source = df.select(df[id_column].alias("id"), df[text_column].alias("text"))
+    source = bounded_batches(df).select(df[id_column].alias("id"), df[text_column].alias("text"))
     schema = T.StructType([T.StructField("id", df.schema[id_column].dataType), *T._parse_datatype_string(DIGEST).fields])
     return source.mapInArrow(run, schema).withColumnRenamed("id", id_column)
 
@@ -209,7 +209,7 @@ def clean(df: DataFrame, text_column: str = "text", rules: LineRules = LineRules
 
     names = [f"c{i}" for i in range(len(df.columns))]  # repeated names do no harm
     fields = [T.StructField(n, f.dataType) for n, f in zip(names, df.schema.fields, strict=True)]
-    return df.toDF(*names).mapInArrow(run, T.StructType(fields)).toDF(*df.columns)
+    return bounded_batches(df).toDF(*names).mapInArrow(run, T.StructType(fields)).toDF(*df.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

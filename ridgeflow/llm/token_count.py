@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import lengths, slices, table
+from .common import bounded_batches, lengths, slices, table
 
 #: Remembered units in each of two generations.
 CACHE = 250_000
@@ -120,7 +120,7 @@ def count_tokens(df: DataFrame, model_path: str, limit: int = 4096, id_column: s
             )
 
     schema = T.StructType([T.StructField("id", df.schema[id_column].dataType), *T._parse_datatype_string("n_bytes long, n_tokens long, over_limit boolean").fields])
-    return df.select(df[id_column].alias("id"), df[text_column].alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_column)
+    return bounded_batches(df).select(df[id_column].alias("id"), df[text_column].alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_column)
 
 
 def query(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:

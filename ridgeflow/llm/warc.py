@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import scratch, slices, table
+from .common import bounded_batches, scratch, slices, table
 
 #: Characters of a record's block at most; with the next value it bounds a file.
 SEGMENT = 16_384
@@ -118,7 +118,7 @@ def revisits(df: DataFrame, id_column: str, payload_column: str, min_bytes: int
 
 def write_archives(df: DataFrame, path: str, id_column: str = "page_id", url_column: str = "url", payload_column: str = "html", min_bytes: int = 0) -> None:
     """Write the archives as gzip files below ``path``."""
-    pages = df.select(df[id_column].alias("page"), df[url_column].alias("url"), df[payload_column].alias("payload"))
+    pages = bounded_batches(df).select(df[id_column].alias("page"), df[url_column].alias("url"), df[payload_column].alias("payload"))
     pages = pages.withColumn("salt", F.monotonically_increasing_id())
     pages = pages.join(revisits(df, id_column, payload_column, min_bytes), "page", "left")
 
