@@ -163,6 +163,10 @@ class TreeBpe:
             self._young, self._old = {}, young
         return found
 
+    def forget(self) -> None:
+        """Give back what was remembered: a worker process outlives its task."""
+        self._young, self._old, self._stretches = {}, {}, {}
+
     def encode(self, text: str | None) -> list[int]:
         data = b"".join(x[1] for x in self.words(text))
         return [int.from_bytes(data[i : i + 4], "little") for i in range(0, len(data), 4)]
@@ -194,6 +198,7 @@ def encode(df: DataFrame, path: str, id_column: str = "doc_id", text_column: str
                 ],
                 ["id", "n_tokens", "ids", "decoded"],
             )
+        own.forget()
 
     schema = T.StructType([T.StructField("id", df.schema[id_column].dataType), *T._parse_datatype_string("n_tokens long, ids binary, decoded string").fields])
     return bounded_batches(df).select(df[id_column].alias("id"), df[text_column].alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_column)
@@ -218,6 +223,7 @@ def encode_onto(df: DataFrame, path: str, text_column: str = "text") -> DataFram
                 [*batch.columns, pa.array(counts, pa.int64()), pa.ListArray.from_arrays(starts, pa.array(flat)), pa.array(decoded, pa.string())],
                 [*batch.schema.names, *(f.name for f in more)],
             )
+        own.forget()
 
     names = [f"c{i}" for i in range(len(df.columns))]
     fields = [T.StructField(n, f.dataType) for n, f in zip(names, df.schema.fields, strict=True)]
@@ -237,6 +243,7 @@ def digest(df: DataFrame, path: str, id_column: str = "doc_id", text_column: str
                 ids.append(hashlib.sha256(b"".join(x[1] for x in words)).hexdigest())
                 decoded.append(hashlib.sha256(" ".join(x[2] for x in words if x[0]).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        own.forget()
 
     schema = T.StructType([T.StructField("id", df.schema[id_column].dataType), *T._parse_datatype_string("n_tokens long, ids_sha256 string, decoded_sha256 string").fields])
     return bounded_batches(df).select(df[id_column].alias("id"), df[text_column].alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_column)

@@ -64,6 +64,10 @@ class PieceCounter:
             self._young, self._old = {}, young
         return total
 
+    def forget(self) -> None:
+        """Give back what was remembered: a worker process outlives its task."""
+        self._young, self._old = {}, {}
+
     def _unit(self, unit: str) -> int:
         if len(unit) > 1 and unit[-2:] not in self.pairs:  # a sentence mark, most often
             head = unit[:-1]
@@ -111,13 +115,15 @@ def count_tokens(df: DataFrame, model_path: str, limit: int = 4096, id_column: s
     """Identifier, UTF-8 bytes, tokens and whether they exceed ``limit``, for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(model_path).count
+        own = counter(model_path)
+        count = own.count
         for batch in slices(batches, "text"):
             tokens = [count(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(lengths(batch.column(1)), pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())],
                 ["id", "n_bytes", "n_tokens", "over_limit"],
             )
+        own.forget()
 
     schema = T.StructType([T.StructField("id", df.schema[id_column].dataType), *T._parse_datatype_string("n_bytes long, n_tokens long, over_limit boolean").fields])
     return bounded_batches(df).select(df[id_column].alias("id"), df[text_column].alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_column)
