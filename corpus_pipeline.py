@@ -19,8 +19,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of similar ones stays."""
-    return jaccard.deduplicate(spark, docs)
+    """One document of each component of similar ones stays: 80 percent of the shingles of five words or more are the same."""
+    return jaccard.deduplicate(spark, docs, percent=80, width=5)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -180,12 +180,18 @@ class Words:
     def hashes(self) -> np.ndarray:
         return self.span_hashes(self.starts, self.ends)
 
-    def windows(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First word and hash of every window of three words within a text."""
-        if len(hashes) < 3:
+    def windows(self, hashes: np.ndarray, width: int = 3) -> tuple[np.ndarray, np.ndarray]:
+        """First word and hash of every window of ``width`` words within a text."""
+        if len(hashes) < width:
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-        at = np.flatnonzero(self.text_of[2:] == self.text_of[:-2])
-        return at, mix(hashes[at] * _K1 + mix(hashes[at + 1] * _K2) + hashes[at + 2] * _K3)
+        at = np.flatnonzero(self.text_of[width - 1 :] == self.text_of[: len(hashes) - width + 1])
+        keys = hashes[at]
+        for j in range(1, width, 2):
+            keys = keys * _K1 + mix(hashes[at + j] * _K2)
+            if j + 1 < width:
+                keys += hashes[at + j + 1] * _K3
+            keys = mix(keys)
+        return at, keys
 
     def code_points(self, flags: np.ndarray) -> np.ndarray:
         """For each text the number of code points whose first byte is flagged."""

@@ -66,18 +66,19 @@ class Sets:
     rank: np.ndarray
 
 
-def token_sets(texts: pa.Array) -> Sets:
-    """Distinct three-word shingles, A to Z in lower case; one or two words are one shingle."""
+def token_sets(texts: pa.Array, width: int = 3) -> Sets:
+    """Distinct shingles of ``width`` words, A to Z in lower case; fewer words are one shingle."""
     words = Words(texts, lower=True)
     hashes = words.hashes()
-    at, keys = words.windows(hashes)
+    at, keys = words.windows(hashes, width)
     owner = words.text_of[at]
-    short = np.flatnonzero((words.counts > 0) & (words.counts < 3))
+    short = np.flatnonzero((words.counts > 0) & (words.counts < width))
     if len(short):
         begin = words.first_word[short]
-        both = words.counts[short] == 2
         key = mix(hashes[begin] ^ _SHORT)
-        key[both] = mix(key[both] * _N2 + hashes[begin[both] + 1])
+        for j in range(1, width - 1):
+            more = words.counts[short] > j
+            key[more] = mix(key[more] * _N2 + hashes[begin[more] + j])
         keys, owner = np.concatenate((keys, key)), np.concatenate((owner, short))
     order = np.lexsort((keys, owner))
     keys, owner = keys[order], owner[order]
@@ -196,10 +197,10 @@ def signatures(sets: Sets, frequent: np.ndarray, percent: int) -> tuple[np.ndarr
 
 
 class JaccardJoin:
-    """Components of the documents under ``100 * intersection >= percent * union``."""
+    """Components of the documents under ``100 * intersection >= percent * union`` of their shingles of ``width`` words."""
 
-    def __init__(self, spark: SparkSession, df: DataFrame, percent: int = 90, id_column: str = "doc_id", text_column: str = "text"):
-        self.spark, self.percent = spark, percent
+    def __init__(self, spark: SparkSession, df: DataFrame, percent: int = 90, id_column: str = "doc_id", text_column: str = "text", width: int = 3):
+        self.spark, self.percent, self.width = spark, percent, width
         self._paths: dict[str, str] = {}
         self.source = bounded_batches(df).select(df[id_column].cast("long").alias("id"), df[text_column].alias("text"))
 
@@ -215,10 +216,11 @@ class JaccardJoin:
 
     def nodes(self) -> DataFrame:
         """``(id, n1, n2, size)`` of every row."""
+        width = self.width
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, "text"):
-                sets = token_sets(batch.column(1))
+                sets = token_sets(batch.column(1), width)
                 n1, n2 = node_ids(sets)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n1), pa.array(n2), pa.array(sets.size.astype(np.int64))], ["id", "n1", "n2", "size"])
 
@@ -226,11 +228,11 @@ class JaccardJoin:
 
     def frequent_tokens(self) -> np.ndarray:
         """Sorted hashes of the tokens that are at the front of many sets: a count over all rows, of which the largest come back."""
-        percent = self.percent
+        percent, width = self.percent, self.width
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, "text"):
-                sets = token_sets(batch.column(1))
+                sets = token_sets(batch.column(1), width)
                 need = sets.size * (100 - percent) // 100 + 1
                 front = sets.token[sets.rank < (need + need // 2 + 16)[sets.text_of]]
                 token, n = np.unique(front, return_counts=True)
@@ -251,13 +253,13 @@ class JaccardJoin:
 
     def _emitted(self, shared: Broadcast, slim: bool) -> DataFrame:
         """Signatures of all rows; ``shared`` has the frequent tokens and the bits of the signatures to emit."""
-        percent = self.percent
+        percent, width = self.percent, self.width
         names = [x.split()[0] for x in _SIGNATURE.split(", ")]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             frequent, bits = shared.value
             for batch in slices(batches, "text"):
-                sets = token_sets(batch.column(1))
+                sets = token_sets(batch.column(1), width)
                 sig, text = signatures(sets, frequent, percent)
                 n1, n2 = node_ids(sets)
                 if slim:
@@ -301,11 +303,12 @@ class JaccardJoin:
         ids = self._kept(ids, "ids")
         wanted = ids.select("id").distinct()
         wanted = F.broadcast(wanted) if ids.count() <= MAX_BROADCAST_IDS else wanted
+        width = self.width
         names = ["id", "n1", "n2", *(x.split()[0] for x in columns.split(", "))]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, "text"):
-                sets = token_sets(batch.column(1))
+                sets = token_sets(batch.column(1), width)
                 yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, node_ids(sets)), *make(sets)], names)
 
         found = self.source.join(wanted, "id", "left_semi").mapInArrow(run, f"id long, n1 long, n2 long, {columns}")
@@ -393,12 +396,12 @@ class JaccardJoin:
         return out.union(nodes.where(alone).select("id", "size", "id"))
 
 
-def deduplicate(spark: SparkSession, df: DataFrame, percent: int = 90, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def deduplicate(spark: SparkSession, df: DataFrame, percent: int = 90, id_column: str = "doc_id", text_column: str = "text", width: int = 3) -> DataFrame:
     """The rows of ``df``, with all columns, of which one of each component stays: that with the smallest identifier.
 
     Of rows that share an identifier one stays; rows without one all stay.
     """
-    found = JaccardJoin(spark, df, percent, id_column, text_column).components()
+    found = JaccardJoin(spark, df, percent, id_column, text_column, width).components()
     path = scratch(spark, "kept-ids")
     found.where("id IS NOT NULL").groupBy("id").agg(F.min("component").alias("component"), F.count("*").alias("n")).where("id = component").select("id", "n").write.parquet(path)
     ids = spark.read.parquet(path)
