@@ -81,8 +81,10 @@ def _matched(docs: DataFrame, values: str, prints: DataFrame) -> DataFrame:
     """Rows of ``docs`` with ``print`` and the columns of ``prints`` for each of its ``values`` that has one."""
     if prints.count() <= MAX_BROADCAST_ROWS:
         return docs.withColumn("print", F.explode_outer(values)).join(F.broadcast(prints), "print")
-    slim = docs.select("id", F.explode_outer(values).alias("print")).distinct().join(prints, "print")
-    return docs.join(slim, "id")
+    # Joined back by a hash of the row: identifiers can be null, and rows that share a hash are told apart by their own words.
+    docs = docs.withColumn("row_hash", F.xxhash64("id", "words"))
+    slim = docs.select("row_hash", F.explode_outer(values).alias("print")).distinct().join(prints, "print")
+    return docs.join(slim, "row_hash").drop("row_hash")
 
 
 def hits(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int = GRAM) -> DataFrame:
