@@ -70,15 +70,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
-    """The same rows; from now on the session hands them to Python in small batches."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """The same rows, handed to Python in batches of ``BATCH_BYTES``.
+
+    Spark has no such setting for one plan.  The session's is set if the caller
+    has not set it; one that the caller has chosen stays.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, None) is None:
+        conf.set(key, str(BATCH_BYTES))
     return df
 
 
 def scratch(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder of ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, local runs) it is set to a local folder.
+    Only where that is unset and the master is local it is set to a local folder.
     """
     root = checkpoint_root(spark)
     return f"{root}/{label}-{uuid.uuid4().hex}"
@@ -89,6 +95,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not root:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="ridgeflow-")
         spark.conf.set("spark.checkpoint.dir", root)
     if context._jsc.sc().getCheckpointDir().isEmpty():
@@ -103,6 +111,13 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def has_files(spark: SparkSession, path: str, pattern: str = "*") -> bool:
+    """Whether a file below ``path`` matches."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(f"{path}/{pattern}")
+    return bool(where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where))
+
+
 def hash_share(key: Column, share: Column | float) -> Column:
     """Whether a 64-bit hash lies in the lowest share of its range."""
     return F.shiftrightunsigned(key, 11) < (share if isinstance(share, Column) else F.lit(share)) * float(1 << 53)

@@ -9,9 +9,10 @@ verifies the total length, decodes the chunked framing, and resolves revisits.
 Defined results: a null payload counts as empty.  Of pages with equal payloads
 of ``min_bytes`` at least, that with the smallest identifier is a response and
 the others revisit it; null identifiers are never referred to and always
-responses.  Repeated rows make a record each, and those that repeat the
-smallest identifier are responses too.  An empty table gives an archive
-without records and an empty result.  Only the named columns are read, so
+responses.  Rows are judged by identifier and payload, so one identifier can
+have several payloads.  Repeated rows make a record each, and those that repeat
+the smallest identifier are responses too.  An empty table gives no archive and
+an empty result.  Only the named columns are read, so
 others never clash.  Record sizes and records a file are bounded, so is the
 memory to read a file; one payload must fit a task.
 """
@@ -26,12 +27,11 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, scratch, slices, table
+from .common import bounded_batches, has_files, remove, scratch, slices, table
 
 #: Characters of a record's block at most; with the next value it bounds a file.
 SEGMENT = 16_384
@@ -106,21 +106,20 @@ def records(page: object, url: str | None, payload: str | None, refers_to: objec
         ) + "\r\n" + part
 
 
-def revisits(df: DataFrame, id_column: str, payload_column: str, min_bytes: int = 0) -> DataFrame:
-    """``(page, refers_to)`` of the pages whose payload an earlier identifier has."""
-    data = F.encode(F.coalesce(df[payload_column], F.lit("")), "utf-8")
-    slim = df.select(df[id_column].alias("page"), F.sha1(data).alias("digest"), F.octet_length(data).alias("size"))
-    slim = slim.where(F.col("page").isNotNull() & (F.col("size") >= min_bytes))
+def revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """``(page, digest, refers_to)``, once, of the payloads of ``pages(page, digest, size)`` that an earlier identifier has."""
+    slim = pages.where(F.col("page").isNotNull() & (F.col("size") >= min_bytes)).select("page", "digest")
     groups = slim.groupBy("digest").agg(F.min("page").alias("refers_to"), F.max("page").alias("last"))
     groups = groups.where("refers_to <> last").drop("last")
-    return slim.join(groups, "digest").where("page <> refers_to").select("page", "refers_to").distinct()
+    return slim.join(groups, "digest").where("page <> refers_to").distinct()
 
 
 def write_archives(df: DataFrame, path: str, id_column: str = "page_id", url_column: str = "url", payload_column: str = "html", min_bytes: int = 0) -> None:
     """Write the archives as gzip files below ``path``."""
     pages = bounded_batches(df).select(df[id_column].alias("page"), df[url_column].alias("url"), df[payload_column].alias("payload"))
-    pages = pages.withColumn("salt", F.monotonically_increasing_id())
-    pages = pages.join(revisits(df, id_column, payload_column, min_bytes), "page", "left")
+    data = F.encode(F.coalesce("payload", F.lit("")), "utf-8")
+    pages = pages.withColumns({"salt": F.monotonically_increasing_id(), "digest": F.sha1(data), "size": F.octet_length(data)})
+    pages = pages.join(revisits(pages, min_bytes), ["page", "digest"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "payload"):
@@ -208,6 +207,9 @@ def _decoded(df: DataFrame) -> DataFrame:
 
 def read_archives(spark: SparkSession, path: str, id_type: T.DataType | str = "long") -> DataFrame:
     """``(page, record_type, refers_to, stated, payload)`` of every record; a revisit's payload is null."""
+    if not has_files(spark, path, "*.gz"):  # there was no page
+        schema = "page string, record_type string, refers_to string, stated string, payload binary"
+        return spark.createDataFrame([], schema).withColumns({n: F.col(n).cast(id_type) for n in ("page", "refers_to")})
     whole = _parsed(spark, path, True).select("number", "total", "page", "record_type", "refers_to", "digest", F.array(F.struct("number", "block")).alias("blocks"))
     parts = (
         _parsed(spark, path, False)
@@ -246,12 +248,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     path = scratch(spark, "warc")
     write_archives(pages, path)
-    try:
-        found = digests(read_archives(spark, path, pages.schema["page_id"].dataType))
-    except AnalysisException:  # no file at all: there was no page
-        return pages.limit(0).selectExpr("page_id", "0L payload_bytes", "'' payload_digest", "'' record_type", "page_id refers_to")
+    found = digests(read_archives(spark, path, pages.schema["page_id"].dataType))
     slim = scratch(spark, "warc-digests")
     found.write.parquet(slim)
+    remove(spark, path)
     found = spark.read.parquet(slim)
     responses = found.where("record_type = 'response'")
     of = responses.select(F.col("page").alias("refers_to"), F.col("payload_digest").alias("stated"), "payload_bytes", "payload_digest").dropDuplicates(["refers_to", "stated"])
