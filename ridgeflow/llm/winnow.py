@@ -1,18 +1,20 @@
 """Benchmark decontamination by winnowing.
 
 Of every run of ``t - k + 1`` consecutive word k-grams the smallest hash is
-kept, on both sides.  A shared span of t words contains such a run, so both
-sides keep the same k-gram of it: no shared span of t words is missed.  Kept
-fingerprints are joined; each hit is extended by at most ``t - k`` words on
-either side, and every stretch of t or more equal words is a hit.  Items of
-fewer than t words are matched whole, by the hash of all their words and then
-word by word.  All of it is DataFrame expressions.
+kept with its position, the leftmost on ties, on both sides.  A shared span of
+t words contains such a run, so both sides keep the same k-gram of it: no
+shared span of t words is missed.  Kept fingerprints are joined; each hit is
+extended by at most ``t - k`` words on either side, and every stretch of t or
+more equal words is a hit.  Items of fewer than t words are matched whole: the
+hash of all their words is their fingerprint, and documents keep every n-gram
+of those lengths.  Hashes only find candidates, words decide.  All of it is
+DataFrame expressions.
 
 Defined results: null has no words; an item without words is ignored, a
 document without words is clean.  Items with the same identifier count once.
-Rows that share a document identifier are judged together as one document's
-parts.  Empty tables give an empty or an all-clean result.  Only the named
-columns are read, so others never clash.
+Every row is judged by its own text, whatever other rows share its identifier
+or have none; repeated rows have equal results.  Empty tables give an empty or
+an all-clean result.  Only the named columns are read, so others never clash.
 
 Arrays are exploded by the outer form: for the inner one the optimiser infers
 a filter on the array's size and pushes it, with all that computes the array,
@@ -31,11 +33,15 @@ SPAN = 10
 GRAM = 5
 #: Rows of the benchmark's fingerprints up to which they are broadcast; beyond, the join is shuffled.
 MAX_BROADCAST_ROWS = 200_000
-#: Identifiers of contaminated rows up to which they are broadcast; beyond, the join is shuffled.
-MAX_BROADCAST_IDS = 1_000_000
+#: Contaminated rows (32 bytes each) up to which they are broadcast; beyond, the join is shuffled.
+MAX_BROADCAST_IDS = 250_000
+#: Parts of a frequent fingerprint in the shuffled join.
+SALTS = 8
 _CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: The low bits of a fingerprint are its position, the others the hash.
+_POSITION_BITS = 31
 
 
 def words_of(text: Column) -> Column:
@@ -44,85 +50,93 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(plain, _BREAK), lambda w: w != "")
 
 
+def row_key(id_column: Column, text: Column) -> Column:
+    """What tells rows apart: 32 bytes of identifier and text."""
+    return F.unhex(F.sha2(F.concat(F.coalesce(F.concat(id_column.cast("string"), F.lit("=")), F.lit("-")), F.coalesce(text, F.lit(""))), 256))
+
+
 def _grams(words: str, k: int) -> str:
-    """SQL of the hashes of all k-grams of an array of words."""
+    """SQL of the hashes of all k-grams of an array of words, each with its position in the low bits."""
     parts = ", ".join(f"{words}[i + {j}]" for j in range(k))
-    return f"IF(size({words}) >= {k}, transform(sequence(0, size({words}) - {k}), i -> xxhash64({parts})), array())"
+    packed = f"shiftleft(shiftright(xxhash64({k}, {parts}), {_POSITION_BITS}), {_POSITION_BITS}) | i"
+    return f"IF(size({words}) >= {k}, transform(sequence(0, size({words}) - {k}), i -> {packed}), array())"
 
 
-def _prints(grams: str, run: int) -> str:
-    """SQL of the smallest hash of every run of hashes, each value once."""
+def _smallest(grams: str, run: int) -> str:
+    """SQL of the smallest value of every run, each once."""
     return f"IF(size({grams}) >= {run}, array_distinct(transform(sequence(1, size({grams}) - {run - 1}), j -> array_min(slice({grams}, j, {run})))), array())"
 
 
+def _unpacked(df: DataFrame, prints: str) -> DataFrame:
+    """A row for each fingerprint of an array, with its hash ``print`` and position ``p``."""
+    rows = df.withColumn("packed", F.explode_outer(prints)).where("packed IS NOT NULL")
+    return rows.withColumns({"print": F.shiftright("packed", _POSITION_BITS), "p": F.expr(f"cast(packed & {(1 << _POSITION_BITS) - 1}L AS int)")}).drop("packed")
+
+
 def _count_true(size: str, test: str) -> str:
     """SQL of how many of the tests o = 1, 2, ... up to size hold before the first that doesn't."""
     return f"IF({size} < 1, 0, coalesce(nullif(array_position(transform(sequence(1, greatest({size}, 1)), o -> {test}), false), 0) - 1, {size}))"
 
 
-def item_fingerprints(items: DataFrame, span: int = SPAN, k: int = GRAM) -> DataFrame:
-    """``(print, item, near, lead)`` of items ``(item, words)`` of ``span`` words or more.
+def item_fingerprints(items: DataFrame, span: int = SPAN, k: int = GRAM, short: tuple[int, ...] = ()) -> DataFrame:
+    """``(print, item, near, lead, n, least)`` of items ``(item, words)``; ``short`` lists the sizes below ``span``.
 
-    ``near`` holds the words from ``lead`` before the k-gram to ``span - k`` behind it.
+    ``near`` holds the words from ``lead`` before the n-gram to ``span - n``
+    behind it; ``least`` is how many words a hit must have.
     """
     reach = span - k
     rows = items.where(F.size("words") >= span).withColumn("grams", F.expr(_grams("words", k)))
-    rows = rows.withColumn("prints", F.expr(_prints("grams", reach + 1)))
-    rows = rows.select("item", "words", F.posexplode_outer("grams").alias("q", "print"), "prints").where("array_contains(prints, print)")
-    return rows.selectExpr(
+    rows = _unpacked(rows.withColumn("prints", F.expr(_smallest("grams", reach + 1))), "prints")
+    found = rows.selectExpr(
         "print",
         "item",
-        f"slice(words, greatest(q - {reach}, 0) + 1, least(q, {reach}) + {k + reach}) AS near",
-        f"least(q, {reach}) AS lead",
-    ).distinct()
+        f"slice(words, greatest(p - {reach}, 0) + 1, least(p, {reach}) + {k + reach}) AS near",
+        f"least(p, {reach}) AS lead",
+        f"{k} AS n",
+        f"{span} AS least",
+    )
+    for n in short:
+        rows = _unpacked(items.where(F.size("words") == n).withColumn("prints", F.expr(_grams("words", n))), "prints")
+        found = found.union(rows.selectExpr("print", "item", "words AS near", "0 AS lead", f"{n} AS n", f"{n} AS least"))
+    return found.distinct()
 
 
-def _matched(docs: DataFrame, values: str, prints: DataFrame) -> DataFrame:
-    """Rows of ``docs`` with ``print`` and the columns of ``prints`` for each of its ``values`` that has one."""
+def _matched(docs: DataFrame, prints: DataFrame) -> DataFrame:
+    """``(key, words, p)`` of ``docs`` with the columns of ``prints`` for each fingerprint that has one."""
     if prints.count() <= MAX_BROADCAST_ROWS:
-        return docs.withColumn("print", F.explode_outer(values)).join(F.broadcast(prints), "print")
-    # Joined back by a hash of the row: identifiers can be null, and rows that share a hash are told apart by their own words.
-    docs = docs.withColumn("row_hash", F.xxhash64("id", "words"))
-    slim = docs.select("row_hash", F.explode_outer(values).alias("print")).distinct().join(prints, "print")
-    return docs.join(slim, "row_hash").drop("row_hash")
+        return _unpacked(docs, "prints").join(F.broadcast(prints), "print")
+    slim = _unpacked(docs.select("key", "prints"), "prints").drop("prints")
+    slim = slim.withColumn("salt", F.pmod(F.xxhash64("key", "p"), F.lit(SALTS)))
+    salted = prints.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    found = slim.join(salted, ["print", "salt"]).drop("print", "salt").distinct()
+    return docs.select("key", "words").join(found, "key")
 
 
 def hits(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int = GRAM) -> DataFrame:
-    """``(id, item, start, stop)``: stretches of words of ``docs(id, words)`` that lie in windows of ``items(item, words)``."""
+    """``(key, item, start, stop)``: stretches of words of ``docs(key, words)`` that lie in windows of ``items(item, words)``."""
+    sizes = items.select(F.size("words").alias("n")).where(f"n BETWEEN 1 AND {span - 1}").distinct()
+    short = tuple(sorted(n for (n,) in sizes.collect()))  # at most span - 1 values
     docs = docs.withColumn("grams", F.expr(_grams("words", k)))
-    docs = docs.withColumn("prints", F.expr(_prints("grams", span - k + 1)))
-    found = _matched(docs, "prints", item_fingerprints(items, span, k))
-    found = found.withColumn("p", F.explode_outer(F.expr("filter(transform(grams, (h, i) -> IF(h = print, i, null)), x -> x IS NOT NULL)")))
-    found = found.where(f"slice(words, p + 1, {k}) = slice(near, lead + 1, {k})")
+    every = ", ".join([_smallest("grams", span - k + 1), *(_grams("words", n) for n in short)])
+    found = _matched(docs.withColumn("prints", F.expr(f"concat({every})")), item_fingerprints(items, span, k, short))
+    found = found.where("slice(words, p + 1, n) = slice(near, lead + 1, n)")
     left = _count_true("least(lead, p)", "near[lead - o] = words[p - o]")
-    right = _count_true(f"least(size(near) - lead, size(words) - p) - {k}", f"near[lead + {k - 1} + o] = words[p + {k - 1} + o]")
-    found = found.selectExpr("id", "item", f"p - {left} AS start", f"p + {k} + {right} AS stop").where(f"stop - start >= {span}")
-    # Items shorter than a window are one window each.
-    short = items.where(f"size(words) BETWEEN 1 AND {span - 1}")
-    for (n,) in short.select(F.size("words")).distinct().collect():  # at most span - 1 values
-        own = short.where(F.size("words") == n).selectExpr(f"({_grams('words', n)})[0] AS print", "item", "words AS near").distinct()
-        part = docs.select("id", "words", F.expr(_grams("words", n)).alias("grams")).withColumn("prints", F.array_distinct("grams"))
-        part = _matched(part, "prints", own)
-        part = part.withColumn("p", F.explode_outer(F.expr("filter(transform(grams, (h, i) -> IF(h = print, i, null)), x -> x IS NOT NULL)")))
-        found = found.union(part.where(f"slice(words, p + 1, {n}) = near").selectExpr("id", "item", "p AS start", f"p + {n} AS stop"))
-    return found
+    right = _count_true("least(size(near) - lead, size(words) - p) - n", "near[lead + n - 1 + o] = words[p + n - 1 + o]")
+    found = found.selectExpr("key", "item", f"p - {left} AS start", f"p + n + {right} AS stop", "least")
+    return found.where("stop - start >= least").drop("least")
 
 
 def contamination(df: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text", span: int = SPAN, k: int = GRAM) -> DataFrame:
     """For each row of ``df``: identifier, ``n_words``, ``n_hit``, ``n_items``, ``items`` (strings in order), ``contaminated``."""
-    docs = df.select(df[id_column].alias("id"), words_of(df[text_column]).alias("words"))
-    items = benchmark.select(benchmark[item_column].cast("string").alias("item"), words_of(benchmark[item_text_column]).alias("words"))
-    found = hits(docs, items, span, k).groupBy("id").agg(
-        F.collect_set("item").alias("items"),
-        F.collect_set(F.struct("start", "stop")).alias("spans"),
-    )
+    own, text = df[id_column], df[text_column]
+    found = _spans(df.select(row_key(own, text).alias("key"), words_of(text).alias("words")), benchmark, item_column, item_text_column, span, k)
     found = found.select(
-        F.col("id").alias("hit_id"),
+        F.col("key").alias("hit_key"),
         F.expr("size(array_distinct(flatten(transform(spans, s -> sequence(s.start, s.stop - 1)))))").cast("long").alias("n_hit"),
         F.array_sort("items").alias("items"),
     )
-    sizes = df.select(df[id_column].alias("id"), F.regexp_count(F.coalesce(df[text_column], F.lit("")), F.lit(_WORD)).cast("long").alias("n_words"))
-    out = sizes.join(found, sizes["id"].eqNullSafe(found["hit_id"]), "left")
+    n_words = F.regexp_count(F.coalesce(text, F.lit("")), F.lit(_WORD)).cast("long")
+    out = df.select(own.alias("id"), row_key(own, text).alias("key"), n_words.alias("n_words")).join(found, F.col("key") == F.col("hit_key"), "left")
     return out.select(
         F.col("id").alias(id_column),
         "n_words",
@@ -133,18 +147,21 @@ def contamination(df: DataFrame, benchmark: DataFrame, id_column: str = "doc_id"
     )
 
 
-def decontaminate(df: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", **names: str) -> DataFrame:
-    """The rows of ``df``, with all columns, that no benchmark item contaminates.
+def _spans(docs: DataFrame, benchmark: DataFrame, item_column: str, item_text_column: str, span: int, k: int) -> DataFrame:
+    """``(key, items, spans)`` of the rows of ``docs(key, words)`` with a hit."""
+    items = benchmark.select(benchmark[item_column].cast("string").alias("item"), words_of(benchmark[item_text_column]).alias("words"))
+    return hits(docs, items, span, k).groupBy("key").agg(F.collect_set("item").alias("items"), F.collect_set(F.struct("start", "stop")).alias("spans"))
 
-    Rows without an identifier can't be told apart and go if one of them is contaminated.
-    """
-    found = contamination(df, benchmark, id_column, text_column, **names).where("contaminated")
-    found = found.select(F.col(id_column).alias("ridgeflow_hit_id")).distinct()
+
+def decontaminate(df: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text", span: int = SPAN, k: int = GRAM) -> DataFrame:
+    """The rows of ``df``, with all columns, that no benchmark item contaminates."""
+    own, text = df[id_column], df[text_column]
+    found = _spans(df.select(row_key(own, text).alias("key"), words_of(text).alias("words")), benchmark, item_column, item_text_column, span, k)
     path = scratch(df.sparkSession, "contaminated")
-    found.write.parquet(path)
+    found.select(F.col("key").alias("ridgeflow_hit_key")).write.parquet(path)
     found = df.sparkSession.read.parquet(path)
     found = F.broadcast(found) if found.count() <= MAX_BROADCAST_IDS else found
-    return df.join(found, df[id_column].eqNullSafe(F.col("ridgeflow_hit_id")), "left_anti")
+    return df.join(found, row_key(own, text) == F.col("ridgeflow_hit_key"), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
