@@ -5,12 +5,19 @@ whole text; failing lines are removed; a document that loses too much of its
 text is rejected.  Two base rules (too few words, too much repetition) reject
 before that.
 
+* Punctuation: no sentence mark, or too many symbols, exclamation marks or
+  capitals.
+* Navigation: a menu or breadcrumb (short items between separators), or a line
+  of which half the words or more are links.
+* Boilerplate: a phrase of ``BOILERPLATE`` within the line.
+
 Defined results: a null text counts as a text without words; it fails the base
 rule and comes back as null.  An empty table gives an empty table.  Repeated
-rows are judged one by one.  ``clean`` keeps every column of its input whatever
-the names; ``judge`` takes the names of the identifier and text columns, so
-further columns never clash.  Memory follows the longest single text (about 100
-bytes for each of its bytes), not the table.
+rows are judged one by one, and no verdict depends on other rows.  ``clean``
+keeps every column of its input whatever the names; ``judge`` takes the names
+of the identifier and text columns, so further columns never clash.  Memory
+follows the longest single text (about 100 bytes for each of its bytes), not
+the table.
 """
 
 from __future__ import annotations
@@ -25,7 +32,7 @@ from pyspark.sql import types as T
 
 from .common import Words, bounded_batches, per_text, slices, table
 
-#: Phrases of boilerplate lines, lower case.
+#: Phrases of boilerplate lines, A to Z in lower case.
 BOILERPLATE = (
     "all rights reserved",
     "click here",
@@ -39,7 +46,30 @@ BOILERPLATE = (
     "subscribe to our",
     "terms of service",
     "terms of use",
+    "alle rechte vorbehalten",
+    "allgemeine geschäftsbedingungen",
+    "datenschutzerklärung",
+    "hier klicken",
+    "unseren newsletter",
+    "verwendet cookies",
+    "cliquez ici",
+    "conditions d'utilisation",
+    "mentions légales",
+    "politique de confidentialité",
+    "tous droits réservés",
+    "utilise des cookies",
+    "aviso legal",
+    "haga clic aquí",
+    "política de privacidad",
+    "términos y condiciones",
+    "todos los derechos reservados",
+    "utiliza cookies",
 )
+#: Separators of menus and breadcrumbs, wherever they stand and as words of their own.
+SEPARATORS = ("|", "»", "›", "·", "•", "→")
+LONE_SEPARATORS = ">/"
+#: What a link starts with.
+LINKS = ("http://", "https://", "www.")
 #: Bytes of symbols that prose has few of.
 SYMBOLS = b"#*$%&|<>"
 #: ASCII sentence marks; a line without any fails.
@@ -62,6 +92,11 @@ class LineRules:
     max_exclaims_percent: int = 60
     #: A line fails with more capitals than this per hundred ASCII letters (of 20 at least).
     max_capitals_percent: int = 60
+    #: A line fails with this many separators at least, and as many words for each item at most.
+    menu_separators: int = 2
+    menu_words: int = 5
+    #: A line fails if links are this share of its words or more.
+    max_links_percent: int = 50
     #: A document is rejected that loses more than this share of its word characters.
     max_lost_percent: int = 30
 
@@ -75,7 +110,7 @@ def _flag(chars: bytes) -> np.ndarray:
     return flags
 
 
-_IS_SYMBOL, _IS_MARK, _IS_CAPITAL = _flag(SYMBOLS), _flag(MARKS), _flag(bytes(range(65, 91)))
+_IS_SYMBOL, _IS_MARK, _IS_CAPITAL, _IS_LONE = _flag(SYMBOLS), _flag(MARKS), _flag(bytes(range(65, 91))), _flag(LONE_SEPARATORS.encode())
 _IS_LETTER = _IS_CAPITAL | _flag(bytes(range(97, 123)))
 _IS_LEAD = (np.arange(256) & 0xC0) != 0x80
 
@@ -87,13 +122,20 @@ def _sums(flags: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
 
 
 def _found(data: bytes, phrases: tuple[str, ...]) -> np.ndarray:
-    """Byte positions at which one of the phrases starts."""
-    at = []
+    """First and last byte of every occurrence of one of the phrases, as two rows."""
+    first, last = [], []
     for phrase in phrases:
         what, i = phrase.encode(), -1
         while (i := data.find(what, i + 1)) >= 0:
-            at.append(i)
-    return np.array(sorted(at), dtype=np.int64)
+            first.append(i)
+            last.append(i + len(what) - 1)
+    return np.array([first, last], dtype=np.int64)
+
+
+def _lines_of(starts: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """The lines of occurrences; texts lie side by side, so one that begins in a line and ends in another is none."""
+    first, last = np.searchsorted(starts, found, side="right") - 1
+    return first[first == last]
 
 
 def _repeats(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,14 +187,24 @@ class _Judged:
 
         marks = _sums(_IS_MARK[data], starts, ends)
         lowered = data.tobytes().lower()
-        wide = np.bincount(np.searchsorted(starts, _found(lowered, WIDE_MARKS), side="right") - 1, minlength=len(starts))
+        wide = np.bincount(_lines_of(starts, _found(lowered, WIDE_MARKS)), minlength=len(starts))
         letters = _sums(_IS_LETTER[data], starts, ends)
         failed = (line_words >= rules.unmarked_words) & (marks + wide == 0)
         failed |= 100 * _sums(_IS_SYMBOL[data], starts, ends) > rules.max_symbols_percent * line_words
         failed |= 100 * _sums(data == 33, starts, ends) > rules.max_exclaims_percent * line_words
         failed |= (letters >= 20) & (100 * _sums(_IS_CAPITAL[data], starts, ends) > rules.max_capitals_percent * letters)
-        hits = np.searchsorted(starts, _found(lowered, BOILERPLATE), side="right") - 1
-        failed[hits] = True
+        lone = (words.ends - words.starts == 1) & _IS_LONE[data[words.starts]] if len(words.starts) else np.zeros(0, dtype=bool)
+        word_line = np.searchsorted(starts, words.starts, side="right") - 1
+        bars = np.bincount(_lines_of(starts, _found(lowered, SEPARATORS)), minlength=len(starts)) + np.bincount(word_line[lone], minlength=len(starts))
+        failed |= (bars >= rules.menu_separators) & (line_words <= rules.menu_words * (bars + 1))
+        heads, tails = _found(lowered, LINKS)
+        word = np.searchsorted(words.starts, heads)
+        word[word == len(words.starts)] = 0
+        # A link is a word that starts with the phrase, which has no blank and so ends in the word unless texts meet.
+        link = (words.starts[word] == heads) & (words.ends[word] > tails) if len(heads) and len(words.starts) else np.zeros(0, dtype=bool)
+        links = np.bincount(word_line[word[link]] if len(link) else [], minlength=len(starts))
+        failed |= (links > 0) & (100 * links >= rules.max_links_percent * line_words)
+        failed[_lines_of(starts, _found(lowered, BOILERPLATE))] = True
         self.failed = failed & filled
         self.n_lines = per_text(line_doc[filled], n)
         self.n_failed_lines = per_text(line_doc[self.failed], n)
@@ -218,6 +270,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _R = LineRules()
+_PLAIN = "translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_QUOTED = lambda x: x.replace("'", "''")
 _COUNT = "length(regexp_replace(l, '{}', '', 'g'))"
 ORACLE_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
@@ -234,14 +288,19 @@ lw AS (SELECT r, l, len(regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+')) AS n,
               {_COUNT.format('[^.!?:;,…。！？，]')} AS marks,
               {_COUNT.format('[^!]')} AS exclaims,
               {_COUNT.format('[^A-Z]')} AS capitals,
-              {_COUNT.format('[^A-Za-z]')} AS letters
+              {_COUNT.format('[^A-Za-z]')} AS letters,
+              {_COUNT.format('[^' + ''.join(SEPARATORS) + ']')}
+              + len(list_filter(regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+'), lambda w: w IN ({", ".join(f"'{x}'" for x in LONE_SEPARATORS)}))) AS bars,
+              len(list_filter(regexp_extract_all({_PLAIN}, '[^\\x20\\x09-\\x0D]+'), lambda w: {" OR ".join(f"starts_with(w, '{x}')" for x in LINKS)})) AS links
        FROM ls),
 lf AS (SELECT *, n > 0 AND (
               (n >= {_R.unmarked_words} AND marks = 0)
               OR 100 * symbols > {_R.max_symbols_percent} * n
               OR 100 * exclaims > {_R.max_exclaims_percent} * n
               OR (letters >= 20 AND 100 * capitals > {_R.max_capitals_percent} * letters)
-              OR {" OR ".join(f"contains(lower(l), '{x}')" for x in BOILERPLATE)}) AS bad
+              OR (bars >= {_R.menu_separators} AND n <= {_R.menu_words} * (bars + 1))
+              OR (links > 0 AND 100 * links >= {_R.max_links_percent} * n)
+              OR {" OR ".join(f"contains({_PLAIN}, '{_QUOTED(x)}')" for x in BOILERPLATE)}) AS bad
        FROM lw),
 lc AS (SELECT r, sum(n)::BIGINT AS n_words, sum(chars)::BIGINT AS word_chars, sum(symbols)::BIGINT AS n_symbols,
               (count(*) FILTER (n > 0) - count(DISTINCT l) FILTER (n > 0))::BIGINT AS n_dup_lines,
