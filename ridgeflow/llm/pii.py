@@ -12,12 +12,16 @@ graph makes labels agree across the document; a candidate whose most likely
 label is a kind, with probability ``MIN_PROBABILITY``, is added.  Base spans
 always stay.
 
-The weights are learned here, from a sample of texts of bounded size whose
-base spans serve as labels, and from a few fixed numbers that are none: node weights by logistic regression, edge weights
-as log odds of agreement.  With no sample every candidate stays none.
+All weights are learned here, by the pseudo-likelihood of a sample of texts of
+bounded size whose base spans serve as labels.  To every text its base spans
+are appended once more, written as a candidate would be (without plus sign,
+with other separators, spelled out), and labelled as what they repeat; numbers
+that are none are appended twice.  So the skip potentials are fitted to what
+repeated values have in common, not set.  With no sample every candidate stays
+none.
 
 Defined results: a null text is empty and has no span.  Spans count code
-points, the end exclusive.  An empty table gives an empty table, repeated rows
+points, the end exclusive.  All scans are linear in the text.  An empty table gives an empty table, repeated rows
 repeated results.  ``detect`` reads only the named columns; ``redact`` keeps
 all columns whatever their names.
 """
@@ -46,16 +50,18 @@ CHAIN_GAP = 40
 #: Rounds of message passing at most, and the change at which it ends.
 ROUNDS, TOLERANCE = 20, 1e-4
 
-#: The base patterns.
+#: The base patterns.  That of an address starts at its "@", that of an ip is applied to dotted runs.
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-#: Every match of the last three lies in one such stretch.
-_ZONE = re.compile(r"[0-9+][\x20().0-9+-]*[0-9]")
+#: Every match of the last three lies in one such stretch, or begins with the signs before it.
+_ZONE = re.compile(r"[0-9][\x20().0-9+-]*")
+_SIGNS = " ().+-"
 _LONG_NUMBER = re.compile(r"[0-9]{13,}")
-_SPELLED = re.compile(r"[A-Za-z0-9._%+-]+\x20?[(\[]at[)\]]\x20?[A-Za-z0-9-]+(?:\x20?(?:\.|[(\[]dot[)\]])\x20?[A-Za-z0-9-]+)+", re.IGNORECASE)
+_AT = re.compile(r"[(\[]at[)\]]\x20?", re.IGNORECASE)
+_SPELLED_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\x20?(?:\.|[(\[]dot[)\]])\x20?[A-Za-z0-9-]+)+", re.IGNORECASE)
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 #: Words before a number that speak for a kind.
 _CUES = (re.compile(r"mail|contact"), re.compile(r"\bip\b|host|server|addr"), re.compile(r"card|visa|credit"), re.compile(r"tel|phone|call|fax|mobil"))
@@ -92,19 +98,59 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
             floor = m.end()
 
 
+def _ips(text: str, low: int, high: int) -> Iterator[tuple[int, int]]:
+    """Four parts at a time of each dotted run, from its left, each at most 255."""
+    for run in _DOTTED.finditer(text, low, high):
+        at, parts = run.start(), run[0].split(".")
+        for i in range(0, len(parts) - 3, 4):
+            four = parts[i : i + 4]
+            end = at + sum(map(len, four)) + 3
+            if all(_part(p) for p in four):
+                yield at, end
+            at = end + 1
+
+
+def _part(digits: str) -> bool:
+    """Whether a number, however many zeros it starts with, is at most 255."""
+    short = digits.lstrip("0")
+    return len(short) < 3 or (len(short) == 3 and short <= "255")
+
+
+def _spelled(text: str) -> Iterator[tuple[int, int]]:
+    """Addresses with a spelled-out at sign, from that sign outward."""
+    floor = 0
+    for at in _AT.finditer(text):
+        middle = at.start()
+        middle -= middle > floor and text[middle - 1] == " "
+        start = middle
+        while start > floor and text[start - 1] in _LOCAL:
+            start -= 1
+        if start < middle and (m := _SPELLED_DOMAIN.match(text, at.end())):
+            yield start, m.end()
+            floor = m.end()
+
+
 def nodes(text: str | None) -> list[Node]:
     """Base spans and candidates of a text, by start and kind."""
     if not text:
         return []
     found = [Node(a, b, 1, "", text[a:b].lower()) for a, b in _emails(text)]
     if "at)" in text or "at]" in text or "AT)" in text or "AT]" in text:
-        found += [Node(m.start(), m.end(), 0, "", _plain(m[0])) for m in _SPELLED.finditer(text)]
+        found += [Node(a, b, 0, "", _plain(text[a:b])) for a, b in _spelled(text)]
+    floor = 0
     for zone in _ZONE.finditer(text):
         low, high = zone.span()
-        n_digits = high - low if high - low < 7 else len(_NOT_DIGIT.sub("", zone[0]))
+        while low > floor and text[low - 1] in _SIGNS:
+            low -= 1
+        floor = high
+        while low < zone.start() and text[low] != "+":
+            low += 1
+        while not "0" <= text[high - 1] <= "9":
+            high -= 1
+        n_digits = high - low if high - low < 7 else len(_NOT_DIGIT.sub("", text[low:high]))
         if high - low < 7 or n_digits < 4:
             continue
-        base = [Node(m.start(), m.end(), 2, _NOT_DIGIT.sub("", m[0]), "") for m in _IP.finditer(text, low, high) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        base = [Node(a, b, 2, _NOT_DIGIT.sub("", text[a:b]), "") for a, b in _ips(text, low, high)]
         if n_digits >= 10:
             for kind, pattern, fewest, most in ((3, _CARD, 14, 19), (4, _PHONE, 10, 15)):
                 for m in pattern.finditer(text, low, high):
@@ -162,7 +208,7 @@ def features(text: str, node: Node) -> np.ndarray:
     x[11] = "(" in span or ")" in span
     x[12], x[13], x[14] = (c in span for c in ". -")
     groups = _NOT_DIGIT.split(span) if n else []
-    x[15] = len(groups) == 4 and all(0 < len(g) <= 3 and int(g) <= 255 for g in groups)
+    x[15] = len(groups) == 4 and all(g and _part(g) for g in groups)
     x[16] = span.isdigit()
     x[17] = len(groups) > 4
     before = text[max(0, node.start - 24) : node.start].lower()
@@ -216,41 +262,78 @@ BACKGROUND = (
 def domain(node: Node) -> np.ndarray:
     """Log potential of the labels that a candidate can have at all."""
     n, groups = len(node.digits), node.groups
-    possible = (True, "@" in node.key, len(groups) == 4 and all(int(g) <= 255 for g in groups), 14 <= n <= 19 and luhn(node.digits), 7 <= n <= 15)
+    possible = (True, "@" in node.key, len(groups) == 4 and all(map(_part, groups)), 14 <= n <= 19 and luhn(node.digits), 7 <= n <= 15)
     return np.where(possible, 0.0, -50.0)
 
 
-def train(texts: list[str], steps: int = 300, rate: float = 0.5, decay: float = 1e-3) -> Weights:
-    """Weights from texts whose base spans are the labels."""
-    rows, labels, agree = [], [], np.ones((3, 2))
-    pairs = np.ones((5, 5))
+#: Code points between appended values, so that no chain edge joins them.
+_GAP = " " + "x" * CHAIN_GAP + " "
+
+
+def _rewritten(text: str, node: Node) -> list[str]:
+    """A base span as candidates would show it: each differs from all base patterns."""
+    span, d = text[node.start : node.end], node.digits
+    if node.kind == 1:
+        local, _, domain = span.partition("@")
+        return [f"{local}(at){domain}", f"{local} [at] {domain.replace('.', ' [dot] ')}"]
+    if node.kind == 2:
+        return [span.replace(".", "-"), span.replace(".", " ")]
+    if node.kind == 3:
+        return [".".join(d[i : i + 4] for i in range(0, len(d), 4))]
+    return [d, f"{d[:-10]}-{d[-10:-7]}-{d[-7:-4]}-{d[-4:]}".lstrip("-"), f"{d[-9:-6]}.{d[-6:-3]}.{d[-3:]}"]
+
+
+def _examples(text: str) -> tuple[str, list[Node], list[int]]:
+    """A text with what it holds written again, its nodes and their labels."""
+    parts, labelled, at = [text], {}, len(text)
+    for node in nodes(text):
+        span = text[node.start : node.end]
+        for again in _rewritten(text, node) if node.kind else [span]:
+            parts += [_GAP, again]
+            labelled[at + len(_GAP)] = node.kind
+            at += len(_GAP) + len(again)
+    whole = "".join(parts)
+    found = nodes(whole)
+    return whole, found, [x.kind or labelled.get(x.start, 0) for x in found]
+
+
+def train(texts: list[str], steps: int = 400, rate: float = 0.5, decay: float = 1e-3) -> Weights:
+    """Weights that maximise the pseudo-likelihood of texts whose base spans are the labels.
+
+    The label of every node is predicted from its features and from the labels
+    of its neighbours; node and edge weights are fitted together by gradient
+    ascent with quadratic decay.  Skip potentials are symmetric.
+    """
+    rows, labels, links = [], [], []
     for text in (*texts, *BACKGROUND):
-        found = nodes(text)
-        rows += [features(text, x) for x in found]
-        labels += [x.kind for x in found]
-        for i, j, kind in edges(found):
-            a, b = found[i].kind, found[j].kind
-            if kind:
-                if a or b:
-                    agree[kind, int(a == b)] += 1
-            else:
-                pairs[a, b] += 1
+        whole, found, own = _examples(text)
+        links += [(i + len(rows), j + len(rows), kind) for i, j, kind in edges(found)]
+        rows += [features(whole, x) for x in found]
+        labels += own
     if not any(labels):
         return untrained()
     x, y = np.array(rows), np.array(labels)
     target = np.eye(5)[y]
-    w = np.zeros((N_FEATURES, 5))
+    share = 1.0 / np.maximum(1, np.bincount(y, minlength=5))[y] / len(set(labels))  # each label weighs the same
+    pairs = np.array(links, dtype=np.int64).reshape(-1, 3)
+    seen = np.zeros((3, 2, len(x), 5))  # by type and side, how many neighbours have which label
+    for kind in range(3):
+        i, j = pairs[pairs[:, 2] == kind, :2].T
+        np.add.at(seen[kind, 0], j, target[i])
+        np.add.at(seen[kind, 1], i, target[j])
+    w, edge = np.zeros((N_FEATURES, 5)), np.zeros((3, 5, 5))
     for _ in range(steps):
         z = x @ w
+        for kind in range(3):
+            z += seen[kind, 0] @ edge[kind] + seen[kind, 1] @ edge[kind].T
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        w += rate * (x.T @ (target - p) / len(x) - decay * w)
-    edge = np.zeros((3, 5, 5))
-    expected = pairs.sum(axis=1, keepdims=True) * pairs.sum(axis=0, keepdims=True) / pairs.sum()
-    edge[0] = np.clip(np.log(pairs / expected), -1, 1)
-    for kind, least in ((1, 6.0), (2, 5.0)):
-        # Twice-seen values are rare in a sample: the prior is that equal values have equal labels.
-        edge[kind][range(1, 5), range(1, 5)] = least + min(2.0, max(-2.0, np.log(agree[kind, 1] / agree[kind, 0])))
+        error = (target - p) * share[:, None]
+        w += rate * (x.T @ error - decay * w)
+        for kind in range(3):
+            g = seen[kind, 0].T @ error + (seen[kind, 1].T @ error).T
+            g = g if not kind else (g + g.T) / 2
+            edge[kind] += rate * (g - decay * edge[kind])
     return Weights(w, edge)
 
 
@@ -332,16 +415,16 @@ def learn(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -
 
 
 def detect(spark: SparkSession, df: DataFrame, weights: Weights, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Identifier, base counts by kind, digest of the base spans, and all spans of each row."""
+    """Identifier, base counts by kind, digest of the base spans, and all spans of each row and their number."""
     shared = spark.sparkContext.broadcast(weights)
-    names = [*(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
+    names = [*(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             found = label(batch.column(1).to_pylist(), shared.value)
             counts = [pa.array([sum(s[1] == k for s in base) for base, _ in found], pa.int64()) for k in range(1, 5)]
             digest = pa.array([hashlib.sha256(spelled(base).encode()).hexdigest() for base, _ in found], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, digest, pa.array([spelled(x) for _, x in found], pa.string())], ["id", *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, digest, pa.array([spelled(x) for _, x in found], pa.string()), pa.array([len(x) for _, x in found], pa.int64())], ["id", *names])
 
     schema = T.StructType([T.StructField("id", df.schema[id_column].dataType), *T._parse_datatype_string(", ".join(f"{n} {'long' if n.startswith('n_') else 'string'}" for n in names)).fields])
     return bounded_batches(df).select(df[id_column].alias("id"), df[text_column].alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_column)
