@@ -2,20 +2,25 @@
 
 Text is cut at ASCII blanks and by the tokenizer's own normaliser and
 pre-tokeniser.  A stretch that they leave whole is encoded as a tree: leaves
-of ``LEAF`` symbols are encoded alone, then neighbours are joined level by
+of ``LEAF`` symbols are merged alone, then neighbours are joined level by
 level.  A join re-encodes a window around the seam, and the window grows until
 its first token is one that the left side has at the same place and its last
 token one that the right side has.  Then every adjacent pair of the result
 occurs in a valid encoding, which for rank-ordered merges makes the whole
-valid, and the valid encoding is unique.  All leaves of a level are
-independent, so they can be encoded in parallel; here the many stretches of a
-partition are what runs in parallel.
+valid, and the valid encoding is unique.
+
+A blank-separated word of ``Pieces.word`` bytes or more is encoded in parallel:
+its stretches are cut into pieces of ``Pieces.symbols`` symbols, every piece is
+a row of its own that any task may encode, and the task that puts the word
+together re-encodes only the windows around the joins.  No part of the library
+encodes; its normaliser and pre-tokeniser are used.
 
 Defined results: null counts as empty and has no token.  Strings of added
 tokens inside a text become those tokens, as the library has it.  An empty
-table gives an empty table, repeated rows repeated results.  ``encode`` reads
-the named columns only; ``encode_onto`` keeps all columns and refuses names
-that are taken.
+table gives an empty table, repeated rows repeated results.  ``encode`` and
+``digest`` read the named columns only; ``encode_onto`` keeps all columns, and
+one whose name a result takes goes on as ``<name>_input``.  A file whose steps
+are others than those that are followed here is refused.
 """
 
 from __future__ import annotations
@@ -23,65 +28,91 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, slices, table
+from .common import bounded_batches, scratch, slices, table
 
-#: Symbols that are encoded at once, without a join.
-LEAF = 64
+#: Symbols that are merged at once, without a join.
+LEAF = 12
 #: Symbols on either side of a seam that the first window takes.
-WINDOW = 8
-#: Remembered words and stretches in each of two generations.
-CACHE = 150_000
+WINDOW = 3
+#: Remembered words, and stretches, in each of two generations, and bytes of each at most.
+CACHE, CACHE_BYTES = 150_000, 48
+_NEVER = 1 << 60
+#: Fixed value: the pattern of the pre-tokeniser; a plain word is one or two of its matches.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PLAIN = re.compile(rb"([A-Za-z]+)([!-&(-/:-@\[-`{-~]*)")
+
+Word = tuple[int, bytes, str]  #: token count, identifiers as bytes, decoded form
+Token = tuple[int, int]  #: identifier, symbols covered
+
+
+@dataclass(frozen=True)
+class Pieces:
+    """Bytes of a word that is encoded in parallel, and symbols of each of its pieces."""
+
+    word: int = 1 << 16
+    symbols: int = 1 << 13
 
 
 class TreeBpe:
-    """Encodes and decodes as a ``tokenizers`` BPE file with end-of-word suffix does."""
+    """Encodes and decodes as a ``tokenizers`` BPE file with byte alphabet and end-of-word suffix does."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
             config = json.load(file)
         model = config["model"]
-        if model["type"] != "BPE" or model.get("byte_fallback") or model.get("dropout") or config["decoder"] or config["post_processor"]:
+        if model["type"] != "BPE" or model.get("byte_fallback") or model.get("dropout") or model.get("ignore_merges") or model.get("continuing_subword_prefix") or config["decoder"] or config["post_processor"]:
             raise ValueError("not a plain BPE file without decoder")
-        self.suffix = model.get("end_of_word_suffix") or ""
+        steps = [x["type"] for x in (config["normalizer"] or {}).get("normalizers", [])]
+        cuts = (config["pre_tokenizer"] or {}).get("pretokenizers", [])
+        if steps != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in cuts] != ["Split", "ByteLevel"] or cuts[0]["behavior"] != "Removed" or cuts[0]["pattern"] != {"Regex": _PATTERN} or cuts[1]["add_prefix_space"]:
+            raise ValueError("not NFC, blanks and lower case, then a split without blanks into bytes")
         added = config["added_tokens"]
-        if any(x["normalized"] or x["lstrip"] or x["rstrip"] or x["single_word"] for x in added):
-            raise ValueError("added tokens with conditions are not supported")
+        if any(x["normalized"] or x["lstrip"] or x["rstrip"] or x["single_word"] or len(x["content"].split()) != 1 for x in added):
+            raise ValueError("added tokens with conditions or blanks are not supported")
+        self.suffix = model.get("end_of_word_suffix") or ""
+        self._vocab: dict[str, int] = model["vocab"]
+        if any(c + end not in self._vocab for c in pre_tokenizers.ByteLevel.alphabet() for end in ("", self.suffix)):
+            raise ValueError("the vocabulary lacks bytes")
         self.added = {x["content"]: x["id"] for x in added}
         self._added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
         self._marks = tuple({x["content"][:2].encode() for x in added})
         self.tokens = {i: x for x, i in library.get_vocab(with_added_tokens=True).items()}
         self._normalize = library.normalizer.normalize_str
         self._split = library.pre_tokenizer.pre_tokenize_str
-        self._tokenize = library.model.tokenize
         self._merge_rank: dict[tuple[str, str], int] = {tuple(x): i for i, x in enumerate(model["merges"])}
-        self._vocab: dict[str, int] = model["vocab"]
-        self._young: dict[bytes, tuple[int, bytes, str]] = {}
-        self._old: dict[bytes, tuple[int, bytes, str]] = {}
-        self._stretches: dict[str, tuple[int, ...]] = {}
+        self._young: dict[bytes, Word] = {}
+        self._old: dict[bytes, Word] = {}
+        self._stretches: tuple[dict[str, list[int]], dict[str, list[int]]] = ({}, {})
 
     # -- one stretch that nothing splits
 
-    def _leaf(self, symbols: list[str]) -> list[tuple[int, int]]:
-        """Tokens of symbols as (identifier, symbols covered), merging the lowest rank first."""
-        parts, sizes = list(symbols), [1] * len(symbols)
-        rank = self._merge_rank.get
-        while len(parts) > 1:
-            best, at = min((rank((parts[i], parts[i + 1]), 1 << 60), i) for i in range(len(parts) - 1))
-            if best == 1 << 60:
-                break
+    def _leaf(self, symbols: list[str]) -> list[Token]:
+        """Tokens of symbols, merging the lowest rank first, the leftmost on ties."""
+        parts, rank = list(symbols), self._merge_rank.get
+        ranks = [rank(x, _NEVER) for x in zip(parts, parts[1:], strict=False)]
+        while ranks and (best := min(ranks)) != _NEVER:
+            at = ranks.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-            sizes[at : at + 2] = [sizes[at] + sizes[at + 1]]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = rank((parts[at - 1], parts[at]), _NEVER)
+            if at < len(ranks):
+                ranks[at] = rank((parts[at], parts[at + 1]), _NEVER)
+        sizes = list(map(len, parts))
+        sizes[-1] += len(symbols) - sum(sizes)  # less the suffix
         return [(self._vocab[p], n) for p, n in zip(parts, sizes, strict=True)]
 
     def _join(self, symbols: list[str], start: int, middle: int, stop: int, left: list, right: list) -> list:
@@ -103,73 +134,88 @@ class TreeBpe:
                 return window
             reach *= 2
 
-    def _tree(self, symbols: list[str], start: int, stop: int) -> list:
-        """Tokens of symbols[start:stop]: leaves first, then joins of neighbours, level by level."""
-        edges = [*range(start, stop, LEAF), stop]
-        nodes = [(a, b, self._leaf(symbols[a:b])) for a, b in zip(edges, edges[1:], strict=False)]
+    def joined(self, symbols: list[str], nodes: list[tuple[int, int, list[Token]]]) -> list[Token]:
+        """Tokens of symbols of which ``(start, stop, tokens)`` are known side by side: joins of neighbours, level by level."""
         while len(nodes) > 1:
-            joined = [(a, c, self._join(symbols, a, b, c, x, y)) for (a, b, x), (_, c, y) in zip(nodes[::2], nodes[1::2], strict=False)]
-            nodes = joined + nodes[len(joined) * 2 :]
+            pairs = [(a, c, self._join(symbols, a, b, c, x, y)) for (a, b, x), (_, c, y) in zip(nodes[::2], nodes[1::2], strict=False)]
+            nodes = pairs + nodes[len(pairs) * 2 :]
         return nodes[0][2]
 
-    def stretch(self, text: str) -> tuple[int, ...]:
-        """Identifiers of one pre-token, in the alphabet of the byte-level step."""
-        ids = self._stretches.get(text)
-        if ids is None:
-            if len(text) <= LEAF:
-                ids = tuple(x.id for x in self._tokenize(text))
-            else:
-                symbols = list(text)
-                symbols[-1] += self.suffix
-                if all(s in self._vocab for s in symbols):
-                    ids = tuple(i for i, _ in self._tree(symbols, 0, len(symbols)))
-                else:  # a symbol that the vocabulary lacks
-                    ids = tuple(x.id for x in self._tokenize(text))
-            if len(self._stretches) > CACHE:
-                self._stretches = {}
-            self._stretches[text] = ids
-        return ids
+    def _tree(self, symbols: list[str], start: int, stop: int) -> list[Token]:
+        """Tokens of symbols[start:stop]: leaves first, then their joins."""
+        if stop - start <= LEAF:
+            return self._leaf(symbols[start:stop])
+        edges = [*range(start, stop, LEAF), stop]
+        return self.joined(symbols, [(a, b, self._leaf(symbols[a:b])) for a, b in zip(edges, edges[1:], strict=False)])
+
+    def symbols(self, stretch: str) -> list[str]:
+        symbols = list(stretch)
+        symbols[-1] += self.suffix
+        return symbols
 
     # -- texts
 
-    def _piece(self, text: str) -> list[int]:
-        ids: list[int] = []
-        for part, _ in self._split(text.lower() if text.isascii() else self._normalize(text)):
-            ids += self.stretch(part)
+    def stretches(self, word: bytes) -> Iterator[int | str]:
+        """What a blank-separated word is cut into: identifiers of added tokens, and stretches in the byte alphabet."""
+        text = word.decode()
+        pieces = self._added.split(text) if self._added and any(m in word for m in self._marks) else [text]
+        for piece in pieces:
+            if piece in self.added:
+                yield self.added[piece]
+            elif piece:
+                for part, _ in self._split(piece.lower() if piece.isascii() else self._normalize(piece)):
+                    yield part
+
+    def _word(self, word: bytes) -> Word:
+        plain = _PLAIN.fullmatch(word)
+        if plain and not (plain[2] and any(m in word for m in self._marks)):
+            ids = self._stretch(plain[1].decode().lower())
+            return self.packed(ids + self._stretch(plain[2].decode()) if plain[2] else ids)
+        ids = []
+        for part in self.stretches(word):
+            ids += [part] if isinstance(part, int) else self._stretch(part)
+        return self.packed(ids)
+
+    def _stretch(self, text: str) -> list[int]:
+        young, old = self._stretches
+        ids = young.get(text) or old.get(text)
+        if ids is None:
+            ids = [i for i, _ in self._tree(self.symbols(text), 0, len(text))]
+            if len(text) <= CACHE_BYTES:
+                if len(young) >= CACHE:
+                    self._stretches = young, old = {}, young
+                young[text] = ids
         return ids
 
-    def _word(self, word: bytes) -> tuple[int, bytes, str]:
-        text, ids = word.decode(), []
-        if self._added and any(m in word for m in self._marks):
-            for piece in self._added.split(text):
-                if piece:
-                    ids += [self.added[piece]] if piece in self.added else self._piece(piece)
-        else:
-            ids = self._piece(text)
+    def packed(self, ids: list[int]) -> Word:
         return len(ids), b"".join(i.to_bytes(4, "little") for i in ids), self.decode(ids)
 
-    def words(self, text: str | None) -> list[tuple[int, bytes, str]]:
-        """For each blank-separated word its token count, identifiers as bytes, and decoded form."""
-        found, young, old = [], self._young, self._old
+    def words(self, text: str | None, known: list[bytes] | None = None, long_word: int = 0) -> list[Word]:
+        """Each blank-separated word encoded; ``known`` has the identifiers of those of ``long_word`` bytes or more."""
+        found, young, old, rest = [], self._young, self._old, iter(known or ())
         for word in (text or "").encode().split():
             x = young.get(word)
             if x is None:
+                if known is not None and len(word) >= long_word:
+                    found.append(self.packed(np.frombuffer(next(rest), dtype="<u4").tolist()))
+                    continue
                 x = old.get(word)
                 if x is None:
                     x = self._word(word)
-                young[word] = x
+                if len(word) <= CACHE_BYTES:
+                    if len(young) >= CACHE:
+                        self._young, self._old = {}, young
+                        young, old = self._young, self._old
+                    young[word] = x
             found.append(x)
-        if len(young) > CACHE:
-            self._young, self._old = {}, young
         return found
 
     def forget(self) -> None:
         """Give back what was remembered: a worker process outlives its task."""
-        self._young, self._old, self._stretches = {}, {}, {}
+        self._young, self._old, self._stretches = {}, {}, ({}, {})
 
     def encode(self, text: str | None) -> list[int]:
-        data = b"".join(x[1] for x in self.words(text))
-        return [int.from_bytes(data[i : i + 4], "little") for i in range(0, len(data), 4)]
+        return np.frombuffer(b"".join(x[1] for x in self.words(text)), dtype="<u4").tolist()
 
     def decode(self, ids: list[int]) -> str:
         """As a file without decoder has it: the tokens, special ones included, with blanks between."""
@@ -182,71 +228,150 @@ def coder(path: str) -> TreeBpe:
     return TreeBpe(path)
 
 
-def encode(df: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Identifier, ``n_tokens``, ``ids`` (little-endian 32-bit, binary) and ``decoded`` for each row."""
+_KNOWN = "array<binary>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = coder(path)
-        for batch in slices(batches, "text"):
-            found = [own.words(x) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([sum(x[0] for x in words) for words in found], pa.int64()),
-                    pa.array([b"".join(x[1] for x in words) for words in found], pa.binary()),
-                    pa.array([" ".join(x[2] for x in words if x[0]) for words in found], pa.string()),
-                ],
-                ["id", "n_tokens", "ids", "decoded"],
-            )
-        own.forget()
 
-    schema = T.StructType([T.StructField("id", df.schema[id_column].dataType), *T._parse_datatype_string("n_tokens long, ids binary, decoded string").fields])
-    return bounded_batches(df).select(df[id_column].alias("id"), df[text_column].alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_column)
+def _with_long_words(df: DataFrame, where: int, path: str, pieces: Pieces) -> DataFrame:
+    """``df`` and a column ``known``: the identifiers of the long words of its text column, which is number ``where``; null if it has none.
 
+    The pieces of all long words are rows that are spread over all tasks.  Equal
+    texts are encoded once.
+    """
+    text = df[df.columns[where]]
+    blank = r" \t\n\x0B\f\r"
+    is_long = F.coalesce((F.octet_length(text) >= pieces.word) & text.rlike(f"(?<![^{blank}])[^{blank}]{{{max(1, pieces.word // 4)}}}"), F.lit(False))
+    texts = df.where(is_long).select(F.sha2(text, 256).alias("key"), text.alias("text"))
+    if texts.isEmpty():
+        return df.withColumn("known", F.lit(None).cast(_KNOWN))
+    schema = "key string, word long, stretch long, piece long, last boolean, symbols string, ids binary, sizes binary"
+    names = [x.split()[0] for x in schema.split(", ")]
 
-def encode_onto(df: DataFrame, path: str, text_column: str = "text") -> DataFrame:
-    """All rows and columns of ``df`` with ``n_tokens``, ``token_ids`` (integers) and ``decoded_sha256``."""
-    more = T._parse_datatype_string("n_tokens long, token_ids array<int>, decoded_sha256 string").fields
-    if taken := {f.name for f in more} & {c.lower() for c in df.columns}:
-        raise ValueError(f"columns {sorted(taken)} are taken")
-    where = df.columns.index(text_column)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = coder(path)
+        for batch in slices(batches, "text"):
+            for key, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for n, word in enumerate(w for w in value.encode().split() if len(w) >= pieces.word):
+                    for k, part in enumerate(own.stretches(word)):
+                        if isinstance(part, int):
+                            yield _rows([(key, n, k, 0, True, "", np.uint32(part).tobytes(), b"")], names)
+                            continue
+                        for i in range(0, len(part), pieces.symbols):
+                            yield _rows([(key, n, k, i, i + pieces.symbols >= len(part), part[i : i + pieces.symbols], b"", b"")], names)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = coder(path)
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["symbols"]:
+                    symbols = own.symbols(r["symbols"]) if r["last"] else list(r["symbols"])
+                    tokens = np.array(own._tree(symbols, 0, len(symbols)), dtype=np.uint32)
+                    r |= {"ids": tokens[:, 0].tobytes(), "sizes": tokens[:, 1].tobytes()}
+                yield _rows([tuple(r.values())], names)
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = coder(path)
+        for batch in batches:
+            for key, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words: dict[int, dict[int, list[dict]]] = {}
+                for r in rows:
+                    words.setdefault(r["word"], {}).setdefault(r["stretch"], []).append(r)
+                known = []
+                for _, stretches in sorted(words.items()):
+                    ids: list[np.ndarray] = []
+                    for _, parts in sorted(stretches.items()):
+                        if not parts[0]["symbols"]:
+                            ids.append(np.frombuffer(parts[0]["ids"], dtype=np.uint32))
+                            continue
+                        symbols = own.symbols("".join(r["symbols"] for r in parts))
+                        nodes = [(r["piece"], r["piece"] + len(r["symbols"]), [*zip(*(np.frombuffer(r[c], dtype=np.uint32).tolist() for c in ("ids", "sizes")), strict=True)]) for r in parts]
+                        ids.append(np.array([i for i, _ in own.joined(symbols, nodes)], dtype=np.uint32))
+                    known.append(np.concatenate(ids).astype("<u4").tobytes() if ids else b"")
+                yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([known], pa.list_(pa.binary()))], ["key", "known"])
+
+    rows = texts.dropDuplicates(["key"]).mapInArrow(cut, schema)
+    rows = rows.repartition("key", "word", "stretch", "piece").mapInArrow(merge, schema)
+    rows = rows.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(*names[1:]))).alias("rows")).mapInArrow(together, f"key string, known {_KNOWN}")
+    where_to = scratch(df.sparkSession, "long-words")
+    rows.write.parquet(where_to)
+    known = df.sparkSession.read.parquet(where_to).withColumnRenamed("key", "ridgeflow_text_key")
+    return df.where(~is_long).withColumn("known", F.lit(None).cast(_KNOWN)).union(
+        df.where(is_long).join(known, F.sha2(text, 256) == F.col("ridgeflow_text_key"), "left").drop("ridgeflow_text_key")
+    )
+
+
+def _rows(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+
+def _mapped(df: DataFrame, where: int, path: str, pieces: Pieces, more: str, make: Callable[[list[list[Word]]], list[pa.Array]]) -> DataFrame:
+    """``df`` and the columns ``more`` that ``make`` gives for the encoded words of each text."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    extra = T._parse_datatype_string(more).fields
+    source = _with_long_words(df.toDF(*names), where, path, pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(path)
         for batch in slices(batches, f"c{where}"):
-            found = [own.words(x) for x in batch.column(where).to_pylist()]
-            counts = [sum(x[0] for x in words) for words in found]
-            flat = np.frombuffer(b"".join(x[1] for words in found for x in words), dtype="<u4").astype(np.int32)
-            starts = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
-            decoded = [hashlib.sha256(" ".join(x[2] for x in words if x[0]).encode()).hexdigest() for words in found]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(counts, pa.int64()), pa.ListArray.from_arrays(starts, pa.array(flat)), pa.array(decoded, pa.string())],
-                [*batch.schema.names, *(f.name for f in more)],
-            )
+            known = batch.column(len(names)).to_pylist()
+            found = [own.words(x, k, pieces.word) for x, k in zip(batch.column(where).to_pylist(), known, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *make(found)], [*names, *(f.name for f in extra)])
         own.forget()
 
-    names = [f"c{i}" for i in range(len(df.columns))]
     fields = [T.StructField(n, f.dataType) for n, f in zip(names, df.schema.fields, strict=True)]
-    return bounded_batches(df).toDF(*names).mapInArrow(run, T.StructType([*fields, *more])).toDF(*df.columns, *(f.name for f in more))
+    return bounded_batches(source).mapInArrow(run, T.StructType([*fields, *extra]))
+
+
+def _counts(found: list[list[Word]]) -> pa.Array:
+    return pa.array([sum(x[0] for x in words) for words in found], pa.int64())
+
+
+def _decoded(found: list[list[Word]]) -> list[str]:
+    return [" ".join(x[2] for x in words if x[0]) for words in found]
+
+
+def _sums(values: list[bytes]) -> pa.Array:
+    return pa.array([hashlib.sha256(x).hexdigest() for x in values], pa.string())
+
 
+def encode(df: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", pieces: Pieces = Pieces()) -> DataFrame:
+    """Identifier, ``n_tokens``, ``ids`` (little-endian 32-bit, binary) and ``decoded`` for each row."""
+
+    def make(found: list[list[Word]]) -> list[pa.Array]:
+        ids = pa.array([b"".join(x[1] for x in words) for words in found], pa.binary())
+        return [_counts(found), ids, pa.array(_decoded(found), pa.string())]
+
+    out = _mapped(df.select(df[id_column], df[text_column]), 1, path, pieces, "n_tokens long, ids binary, decoded string", make)
+    return out.drop("c1").withColumnRenamed("c0", id_column)
 
-def digest(df: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+
+def digest(df: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", pieces: Pieces = Pieces()) -> DataFrame:
     """As ``encode``, with SHA-256 of identifiers and decoded text in place of both."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = coder(path)
-        for batch in slices(batches, "text"):
-            counts, ids, decoded = [], [], []
-            for text in batch.column(1).to_pylist():
-                words = own.words(text)
-                counts.append(sum(x[0] for x in words))
-                ids.append(hashlib.sha256(b"".join(x[1] for x in words)).hexdigest())
-                decoded.append(hashlib.sha256(" ".join(x[2] for x in words if x[0]).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        own.forget()
+    def make(found: list[list[Word]]) -> list[pa.Array]:
+        return [_counts(found), _sums([b"".join(x[1] for x in words) for words in found]), _sums([x.encode() for x in _decoded(found)])]
+
+    out = _mapped(df.select(df[id_column], df[text_column]), 1, path, pieces, "n_tokens long, ids_sha256 string, decoded_sha256 string", make)
+    return out.drop("c1").withColumnRenamed("c0", id_column)
 
-    schema = T.StructType([T.StructField("id", df.schema[id_column].dataType), *T._parse_datatype_string("n_tokens long, ids_sha256 string, decoded_sha256 string").fields])
-    return bounded_batches(df).select(df[id_column].alias("id"), df[text_column].alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_column)
+
+def encode_onto(df: DataFrame, path: str, text_column: str = "text", pieces: Pieces = Pieces()) -> DataFrame:
+    """All rows and columns of ``df`` with ``n_tokens``, ``token_ids`` (integers) and ``decoded_sha256``."""
+    more = "n_tokens long, token_ids array<int>, decoded_sha256 string"
+    results = [x.split()[0] for x in more.split(", ")]
+    kept: list[str] = []
+    for name in df.columns:
+        while name.lower() in results or name.lower() in (x.lower() for x in kept):
+            name += "_input"
+        kept.append(name)
+
+    def make(found: list[list[Word]]) -> list[pa.Array]:
+        counts = _counts(found)
+        flat = np.frombuffer(b"".join(x[1] for words in found for x in words), dtype="<u4").astype(np.int32)
+        starts = pa.array(np.concatenate(([0], np.cumsum(counts.to_numpy()))).astype(np.int32))
+        return [counts, pa.ListArray.from_arrays(starts, pa.array(flat)), _sums([x.encode() for x in _decoded(found)])]
+
+    return _mapped(df, df.columns.index(text_column), path, pieces, more, make).toDF(*kept, *results)
 
 
 def default_path() -> str:

@@ -11,7 +11,8 @@ Defined results: a null or empty text has 0 bytes and 0 tokens.  Special
 strings inside a text are ordinary text.  An empty table gives an empty table,
 repeated rows repeated results; only the named columns are read, so others
 never clash.  A worker's memory is bounded by the longest text and by
-``CACHE`` remembered units.
+``CACHE`` remembered units.  A model that normalises, adds pieces or merges
+otherwise than is done here is refused.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ from pyspark.sql import types as T
 
 from .common import bounded_batches, lengths, slices, table
 
-#: Remembered units in each of two generations.
-CACHE = 250_000
+#: Remembered units in each of two generations, and characters of each at most.
+CACHE, CACHE_CHARS = 250_000, 48
+#: Texts on which a model must agree with this way of counting.
+_PROBES = ("", " ", "a", " a  b ", "Ab c.\n\nde\t!", "<s> </s> <unk> <0x41>", "é ﬁ ½ \u3000x\u00a0y", "\u4f60\u597d \U0001f600", "aa" * 9, "\u2581x \x07")
 SPACE = "▁"
 
 
@@ -47,6 +50,8 @@ class PieceCounter:
         self._units = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n+")
         self._young: dict[str, int] = {}
         self._old: dict[str, int] = {}
+        if any(self.count(x) != len(model.encode(x)) for x in _PROBES):
+            raise ValueError("the model counts otherwise than by merges of unchanged text with one blank before it")
 
     def count(self, text: str | None) -> int:
         if not text:
@@ -58,10 +63,12 @@ class PieceCounter:
                 n = old.get(unit)
                 if n is None:
                     n = self._unit(unit)
-                young[unit] = n
+                if len(unit) <= CACHE_CHARS:
+                    if len(young) >= CACHE:
+                        self._young, self._old = {}, young
+                        young, old = self._young, self._old
+                    young[unit] = n
             total += n
-        if len(young) > CACHE:
-            self._young, self._old = {}, young
         return total
 
     def forget(self) -> None:
@@ -72,9 +79,7 @@ class PieceCounter:
         if len(unit) > 1 and unit[-2:] not in self.pairs:  # a sentence mark, most often
             head = unit[:-1]
             n = self._young.get(head)
-            if n is None:
-                n = self._young[head] = self.merged(head)
-            return n + self.merged(unit[-1])
+            return (self.merged(head) if n is None else n) + self.merged(unit[-1])
         return self.merged(unit)
 
     def merged(self, unit: str) -> int:
