@@ -1,11 +1,17 @@
 r"""Chat formatting in budgeted windows.
 
 Prefix sums of turn tokens cut a conversation into spans of whole turns: a
-turn belongs to the span in whose range its prefix sum falls.  Each span
-becomes one window: the system turn again (if the conversation opens with
-one), then the last turns before the span that fit the history allowance, then
-the span.  Assistant texts of the span are under the loss mask, repeated ones
-are not, so each is learned once.  All of it is DataFrame expressions.
+turn belongs to the span in whose range its prefix sum falls, and a turn longer
+than a range is a span of its own.  Each span becomes one window: the system
+turn again (if the conversation opens with one), then the last turns of the
+span before that fit the history allowance, then the span.  Assistant texts of
+the span are under the loss mask, repeated ones are not, so each is learned
+once.  All of it is DataFrame expressions.
+
+Tokens are those of a byte vocabulary: one for each UTF-8 byte of what is
+formatted, and one for each of the two marks of a turn.  The system turn,
+history and span together hold ``budget`` of them at most, unless the system
+turn and one turn alone already hold more.
 
 A turn is ``<|im_start|>role\ntext<|im_end|>\n``.  Control strings inside a
 text, of this template and of others, get a backslash behind their first
@@ -13,9 +19,8 @@ character and backslashes are doubled, which ``unescaped`` takes back.
 
 Defined results: null text or role counts as empty; rows with the same turn
 number are ordered by role and text, null turns come first; a null
-conversation identifier is a conversation.  A window holds ``budget`` tokens at
-most, besides the system turn and unless one turn alone is longer than half
-of what history leaves.  An empty table gives an empty result.  Only the named
+conversation identifier is a conversation.  Only a system turn that comes first
+is repeated.  An empty table gives an empty result.  Only the named
 columns are read, so others never clash.  A window is gathered in one task; a
 conversation is only streamed through one, in order.
 """
@@ -37,15 +42,10 @@ _ESCAPED = _CONTROL.replace(")(", r")\\(", 1)
 
 @dataclass(frozen=True)
 class Budget:
-    """Tokens of a window, and of them for history."""
+    """Tokens of a window, and of them for history at most."""
 
-    budget: int = 1024
-    history: int = 256
-
-    @property
-    def span(self) -> int:
-        """Width of the range of prefix sums that makes a span; no less than the history."""
-        return max((self.budget - self.history) // 2, self.history, 1)
+    budget: int = 4096
+    history: int = 1024
 
 
 def escaped(text: Column) -> Column:
@@ -64,9 +64,9 @@ def _role_unescaped(role: Column) -> Column:
     return unescaped(F.replace(role, F.lit("<\\~"), F.lit("\n")))
 
 
-def tokens_of(text: Column) -> Column:
-    """A token for each four code points begun, and four for the marks of a turn."""
-    return F.floor((F.char_length(text) + 3) / 4) + 4
+def tokens_of(role: Column, text: Column) -> Column:
+    """Tokens of a turn: the bytes of its role and text, two line ends and two marks."""
+    return F.octet_length(role) + F.octet_length(text) + 4
 
 
 def windows(df: DataFrame, budget: Budget = Budget(), conv_column: str = "conv_id", turn_column: str = "turn", role_column: str = "role", text_column: str = "text") -> DataFrame:
@@ -87,16 +87,23 @@ def windows(df: DataFrame, budget: Budget = Budget(), conv_column: str = "conv_i
     opener = F.first(F.when((F.col("place") == 1) & (F.col("role") == "system"), F.col("text"))).over(first)
     turns = turns.withColumn("system", opener)
     is_system = (F.col("place") == 1) & (F.col("role") == "system")
-    turns = turns.withColumn("cost", F.when(is_system, 0).otherwise(tokens_of(F.col("text"))))
-    turns = turns.withColumn("before", F.sum("cost").over(by_turn.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("cost"))
-    turns = turns.withColumn("window", F.floor(F.col("before") / budget.span))
-    by_window = Window.partitionBy("conv").orderBy("window")
-    turns = turns.withColumn("next_first", F.min("before").over(by_window.rangeBetween(1, 1)))
-    turns = turns.withColumn("own_first", F.min("place").over(by_window.rangeBetween(0, 0)))
-    opens = (F.col("place") == F.col("own_first")) & (F.col("place") > 1)
-    turns = turns.withColumn("system", F.when(opens, F.col("system")))
-    # Prefix sums of turns that are two ranges back lie more than a span, and so more than the history, before.
-    again = ~is_system & (F.col("next_first") - F.col("before") <= budget.history)
+    cost = tokens_of(F.col("role"), F.col("text"))
+    turns = turns.withColumn("cost", F.when(is_system, 0).otherwise(cost))
+    turns = turns.withColumn("room", F.greatest(F.lit(0), F.lit(budget.budget) - F.coalesce(F.first(F.when(is_system, cost)).over(first), F.lit(0))))
+    turns = turns.withColumn("history", F.expr(f"least({budget.history}, room div 4)"))
+    turns = turns.withColumn("range", F.expr("greatest(1, (room - history) div 2)"))
+    turns = turns.withColumn("before", F.sum("cost").over(first) - F.col("cost"))
+    turns = turns.withColumns({"large": F.col("cost") > F.col("range"), "part": F.expr("before div range")})
+    opens = F.col("large") | F.lag("large").over(by_turn) | (F.col("part") != F.lag("part").over(by_turn))
+    opens = (F.col("place") > 1) & ~((F.col("place") == 2) & F.col("system").isNotNull()) & opens
+    turns = turns.withColumn("opens", opens)
+    turns = turns.withColumn("window", F.sum(F.col("opens").cast("long")).over(first))
+    in_window = Window.partitionBy("conv", "window")
+    turns = turns.withColumn("allowance", F.greatest(F.lit(0), F.least("history", F.col("room") - F.sum("cost").over(in_window))))
+    by_window = Window.partitionBy("conv").orderBy("window").rangeBetween(1, 1)
+    turns = turns.withColumns({"next_first": F.min("before").over(by_window), "next_allowance": F.min("allowance").over(by_window)})
+    turns = turns.withColumn("system", F.when(F.col("opens"), F.col("system")))
+    again = ~is_system & (F.col("next_first") - F.col("before") <= F.col("next_allowance"))
     own = F.struct(F.col("window"), F.lit(False).alias("again"), F.col("system"))
     other = F.struct((F.col("window") + 1).alias("window"), F.lit(True).alias("again"), F.lit(None).cast("string").alias("system"))
     rows = turns.select("conv", "place", "role", "text", F.explode(F.when(again, F.array(own, other)).otherwise(F.array(own))).alias("x"))
@@ -175,14 +182,19 @@ _SQL_ESCAPED = r"regexp_replace(replace({}, '\', '\\'), '(<|\[)(\||s>|/s>|INST\]
 ORACLE_SQL = f"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT -7, 0, 'user', '{_EXTRA}' UNION ALL SELECT -7, 1, 'assistant', '{_EXTRA}'),
-e AS (SELECT *, length({_SQL_ESCAPED.format("text")}) AS tl, length(replace({_SQL_ESCAPED.format("role")}, chr(10), '<\\~')) AS rl,
-             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place FROM c),
-f AS (SELECT *, place = 1 AND role = 'system' AS sys, {len(START) + 1 + len(END)} + tl + rl AS chars,
-             CASE WHEN place = 1 AND role = 'system' THEN 0 ELSE (tl + 3) // 4 + 4 END AS cost FROM e),
-g AS (SELECT *, sum(cost) OVER (PARTITION BY conv_id ORDER BY place) - cost AS before FROM f),
-h AS (SELECT *, (before // {_B.span})::BIGINT AS w FROM (SELECT * REPLACE (before::BIGINT AS before) FROM g)),
-n AS (SELECT conv_id, w, min(before) AS lo FROM h GROUP BY conv_id, w),
-x AS (SELECT h.conv_id, sum(h.chars * CASE WHEN NOT sys AND n.lo - before <= {_B.history} THEN 2 ELSE 1 END) AS chars
+q AS (SELECT *, {_SQL_ESCAPED.format("text")} AS te, replace({_SQL_ESCAPED.format("role")}, chr(10), '<\\~') AS re FROM c),
+e AS (SELECT *, length(te) AS tl, length(re) AS rl, strlen(te) + strlen(re) + 4 AS tokens,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place FROM q),
+f AS (SELECT *, place = 1 AND role = 'system' AS sys, {len(START) + 1 + len(END)} + tl + rl AS chars FROM e),
+f2 AS (SELECT *, CASE WHEN sys THEN 0 ELSE tokens END AS cost,
+              greatest(0, {_B.budget} - coalesce(max(tokens) FILTER (sys) OVER (PARTITION BY conv_id), 0)) AS room FROM f),
+f3 AS (SELECT *, least({_B.history}, room // 4) AS hist, (sum(cost) OVER (PARTITION BY conv_id ORDER BY place) - cost)::BIGINT AS before FROM f2),
+f4 AS (SELECT *, greatest(1, (room - hist) // 2) AS span FROM f3),
+g AS (SELECT *, coalesce(place > 1 AND NOT lag(sys) OVER o AND (cost > span OR lag(cost > span) OVER o OR before // span <> lag(before // span) OVER o), false) AS opens
+      FROM f4 WINDOW o AS (PARTITION BY conv_id ORDER BY place)),
+h AS (SELECT *, sum(opens::INT) OVER (PARTITION BY conv_id ORDER BY place) AS w FROM g),
+n AS (SELECT conv_id, w, min(before) AS lo, greatest(0, least(min(hist), min(room) - sum(cost))) AS allowance FROM h GROUP BY conv_id, w),
+x AS (SELECT h.conv_id, sum(h.chars * CASE WHEN NOT sys AND n.lo - before <= n.allowance THEN 2 ELSE 1 END) AS chars
       FROM h LEFT JOIN n ON n.conv_id = h.conv_id AND n.w = h.w + 1 GROUP BY h.conv_id),
 s AS (SELECT conv_id, max(chars) FILTER (sys) * (count(DISTINCT w) - 1) AS chars FROM h GROUP BY conv_id)
 SELECT conv_id, count(*)::BIGINT AS n_turns,

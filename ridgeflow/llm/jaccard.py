@@ -17,14 +17,16 @@ signature; components form; then only pairs from different components are
 compared.  No link between different sets is lost
 for the components, and a family of near copies isn't expanded into its pairs.
 
-Which tokens are frequent is decided by a count over all documents and affects
-speed alone.  At most ``MAX_FREQUENT`` of them are broadcast (8 bytes each).
+Which tokens are frequent is decided by a count over all documents, in cells
+of a table of fixed size; one bit for each cell is broadcast, whatever the
+input.  It affects speed alone: both sides of a pair see the same bits.
 
 Defined results: a text without words or null is linked with nothing and is
 its own component; fewer words than a shingle are one token.  Identifiers are
-integers; rows that share one are one vertex, rows without one are linked with
-nothing and have a null component.  An empty table gives an empty table.  Only the
-named columns are read, so others never clash.
+integers; rows that share one are judged each by its own text, rows without
+one are linked with nothing and have a null component.  A component is named by
+its smallest identifier.  An empty table gives an empty table.  Only the named
+columns are read, so others never clash.
 """
 
 from __future__ import annotations
@@ -37,13 +39,17 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Words, bounded_batches, mix, remove, scratch, slices, table
 from .components import connected_components
 
-#: A token in more lists than this is frequent.
+#: A token is frequent if those of its cell are in more lists than this.
 FREQUENT = 24
-MAX_FREQUENT = 400_000
+#: Cells of the table of frequent tokens, a power of two (16 MB of bits).
+FREQUENT_CELLS = 1 << 27
+#: Bytes of text whose tokens are counted before they are sent on.
+COUNT_BYTES = 8 << 20
 #: Nodes of a signature that all others of it are compared with first.
 LEADERS = 4
 #: Bits of the table of shared signatures, a power of two (16 MB).
@@ -169,19 +175,22 @@ def prefix_signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) ->
     return np.unique(np.concatenate(found))
 
 
-def _is_in(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
-    if not len(sorted_values):
-        return np.zeros(len(x), dtype=bool)
-    at = np.searchsorted(sorted_values, x)
-    at[at == len(sorted_values)] = 0
-    return sorted_values[at] == x
+def _is_set(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values hit a set bit of a table with a power of two of bits."""
+    cell = values & np.uint64(64 * len(bits) - 1)
+    return (bits[(cell >> np.uint64(6)).astype(np.int64)] >> (cell & np.uint64(63))) & np.uint64(1) > 0
+
+
+def no_bits() -> np.ndarray:
+    """A table in which no bit is set."""
+    return np.zeros(1, dtype=np.uint64)
 
 
 def signatures(sets: Sets, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Signatures and the text of each."""
     need = sets.size * (100 - percent) // 100 + 1
     looked = np.flatnonzero(sets.rank < (2 * need + 16)[sets.text_of])
-    rare = looked[~_is_in(frequent, sets.token[looked])]
+    rare = looked[~_is_set(frequent, sets.token[looked])]
     of = sets.text_of[rare]
     n_rare = np.bincount(of, minlength=len(sets.size))
     place = np.arange(len(rare)) - np.searchsorted(of, of)
@@ -190,7 +199,7 @@ def signatures(sets: Sets, frequent: np.ndarray, percent: int) -> tuple[np.ndarr
     sig, text = [mix(sets.token[rare[chosen]] ^ _SINGLE)], [of[chosen]]
     for i in np.flatnonzero(~easy & (sets.size > 1)):
         tokens = sets.token[sets.first[i] : sets.first[i + 1]]
-        own = prefix_signatures(tokens, _is_in(frequent, tokens), percent)
+        own = prefix_signatures(tokens, _is_set(frequent, tokens), percent)
         sig.append(own)
         text.append(np.full(len(own), i))
     return np.concatenate(sig), np.concatenate(text)
@@ -226,30 +235,31 @@ class JaccardJoin:
 
         return self.source.mapInArrow(run, "id long, n1 long, n2 long, size long")
 
+    def _bits(self, cells: DataFrame, size: int) -> np.ndarray:
+        """A table of ``size`` bits in which those of ``cells(cell)`` are set: at most ``size / 64`` rows come to the driver."""
+        words = cells.select(F.shiftright("cell", 6).cast("int").alias("word"), F.expr("shiftleft(1L, cast(cell & 63 AS int))").alias("bit"))
+        words = words.groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+        bits = np.zeros(size // 64, dtype=np.uint64)
+        bits[words.column(0).to_numpy()] = words.column(1).to_numpy().view(np.uint64)
+        return bits if words.num_rows else no_bits()
+
     def frequent_tokens(self) -> np.ndarray:
-        """Sorted hashes of the tokens that are at the front of many sets: a count over all rows, of which the largest come back."""
-        percent, width = self.percent, self.width
+        """Bits of the cells whose tokens are at the front of many sets: a count over all rows."""
+        percent, width, cells, least = self.percent, self.width, FREQUENT_CELLS, FREQUENT
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, "text"):
-                sets = token_sets(batch.column(1), width)
-                need = sets.size * (100 - percent) // 100 + 1
-                front = sets.token[sets.rank < (need + need // 2 + 16)[sets.text_of]]
-                token, n = np.unique(front, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n.astype(np.int32))], ["token", "n"])
-
-        counts = self.source.mapInArrow(run, "token long, n int").groupBy("token").agg(F.sum("n").alias("n"))
-        counts = self._kept(counts.where(F.col("n") > FREQUENT).select("token", F.floor(8 * F.log2("n")).alias("level")), "frequent")
-        # Whole levels of frequency, the highest first, as far as they fit: no global order is needed.
-        least, room = None, MAX_FREQUENT
-        for level, n in sorted(map(tuple, counts.groupBy("level").count().collect()), reverse=True):
-            room -= n
-            if room < 0:
-                break
-            least = level
-        top = counts.where(F.col("level") >= least).select("token").toArrow() if least is not None else None
-        self._drop("frequent")
-        return np.sort(top.column(0).to_numpy().view(np.uint64)) if top is not None else np.zeros(0, dtype=np.uint64)
+            for batch in slices(batches, "text", COUNT_BYTES):
+                fronts = []
+                for piece in slices(iter([batch]), "text"):
+                    sets = token_sets(piece.column(1), width)
+                    need = sets.size * (100 - percent) // 100 + 1
+                    front = sets.token[sets.rank < (need + need // 2 + 16)[sets.text_of]]
+                    fronts.append((front & np.uint64(cells - 1)).astype(np.int32))
+                cell, n = np.unique(np.concatenate(fronts), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n.astype(np.int32))], ["cell", "n"])
+
+        counts = self.source.mapInArrow(run, "cell int, n int").groupBy("cell").agg(F.sum("n").alias("n"))
+        return self._bits(counts.where(F.col("n") > least).select("cell"), cells)
 
     def _emitted(self, shared: Broadcast, slim: bool) -> DataFrame:
         """Signatures of all rows; ``shared`` has the frequent tokens and the bits of the signatures to emit."""
@@ -265,8 +275,7 @@ class JaccardJoin:
                 if slim:
                     yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(n1[text])], names[:2])
                     continue
-                hit = sig & np.uint64(SIGNATURE_BITS - 1)
-                hit = np.flatnonzero((bits[(hit >> np.uint64(6)).astype(np.int64)] >> (hit & np.uint64(63))) & np.uint64(1))
+                hit = np.flatnonzero(_is_set(bits, sig))
                 text = text[hit]
                 columns = [n1, n2, sets.size.astype(np.int32), *parity(sets).T]
                 yield pa.RecordBatch.from_arrays([pa.array(sig[hit].view(np.int64)), *(pa.array(np.ascontiguousarray(c)[text]) for c in columns)], names)
@@ -283,11 +292,7 @@ class JaccardJoin:
         context, frequent = self.spark.sparkContext, self.frequent_tokens()
         slim = self._emitted(context.broadcast((frequent, None)), True)
         common = slim.groupBy("sig").agg(F.min("n1").alias("low"), F.max("n1").alias("high")).where("low <> high")
-        cell = F.col("sig").bitwiseAND(F.lit(SIGNATURE_BITS - 1))
-        words = common.select(F.shiftright(cell, 6).alias("word"), F.expr("shiftleft(1L, cast(sig & 63 as int))").alias("bit"))
-        words = words.groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
-        bits = np.zeros(SIGNATURE_BITS // 64, dtype=np.uint64)
-        bits[words.column(0).to_numpy()] = words.column(1).to_numpy().view(np.uint64)
+        bits = self._bits(common.select(F.col("sig").bitwiseAND(F.lit(SIGNATURE_BITS - 1)).alias("cell")), SIGNATURE_BITS)
         return self._emitted(context.broadcast((frequent, bits)), False).distinct()
 
     def _alike(self, a: str, b: str) -> str:
@@ -299,7 +304,7 @@ class JaccardJoin:
 
     def _of_pairs(self, pairs: DataFrame, columns: str, make) -> DataFrame:
         """``(id, n1, n2)`` and the ``columns`` that ``make(sets)`` gives, of the nodes in ``pairs``."""
-        ids = pairs.selectExpr("a AS id", "a1 AS n1", "a2 AS n2").union(pairs.select("b", "b1", "b2")).distinct()
+        ids = pairs.selectExpr("a.id AS id", "a.n1 AS n1", "a.n2 AS n2").union(pairs.selectExpr("b.id", "b.n1", "b.n2")).distinct()
         ids = self._kept(ids, "ids")
         wanted = ids.select("id").distinct()
         wanted = F.broadcast(wanted) if ids.count() <= MAX_BROADCAST_IDS else wanted
@@ -317,30 +322,31 @@ class JaccardJoin:
     def _filtered(self, pairs: DataFrame, columns: str, make, test, label: str) -> DataFrame:
         """The pairs for which ``test`` holds on the columns of both sides."""
         own = self._of_pairs(pairs, columns, make)
-        keys, more = ["a", "a1", "a2", "b", "b1", "b2"], own.columns[3:]
-        left = own.toDF("a", "a1", "a2", *(f"x_{c}" for c in more))
-        right = own.toDF("b", "b1", "b2", *(f"y_{c}" for c in more))
-        both = pairs.join(right, ["b", "b1", "b2"]).join(left, ["a", "a1", "a2"])
-        both = both.select(*keys, *(f"{side}_{c}" for c in more for side in "xy"))
+        more = own.columns[3:]
+        node = F.struct("id", "n1", "n2")
+        left = own.select(node.alias("a"), *(F.col(c).alias(f"x_{c}") for c in more))
+        right = own.select(node.alias("b"), *(F.col(c).alias(f"y_{c}") for c in more))
+        both = pairs.join(right, "b").join(left, "a")
+        both = both.select("a", "b", *(f"{side}_{c}" for c in more for side in "xy"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                keep = [test(*row) for row in zip(*batch.columns[len(keys) :], strict=True)]
-                yield batch.select(list(range(len(keys)))).filter(pa.array(keep, pa.bool_()))
+                keep = [test(*row) for row in zip(*batch.columns[2:], strict=True)]
+                yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-        found = self._kept(both.mapInArrow(run, ", ".join(f"{k} long" for k in keys)), label)
+        found = self._kept(both.mapInArrow(run, T.StructType(both.schema.fields[:2])), label)
         self._drop("ids", "of_pairs")
         return found
 
     def _verified(self, pairs: DataFrame, reps: DataFrame, label: str) -> DataFrame:
-        """The linked ones of ``pairs(a1, a2, b1, b2)`` as ``(a, b)`` identifiers.
+        """The linked ones of ``pairs(a1, a2, b1, b2)`` as ``(a, b)`` nodes.
 
         A sketch of about a bit for each token leaves few pairs that aren't
         linked; only for those that pass are the token sets brought together.
         """
         percent = self.percent
         pairs = pairs.join(reps.toDF("a1", "a2", "a"), ["a1", "a2"]).join(reps.toDF("b1", "b2", "b"), ["b1", "b2"])
-        pairs = self._kept(pairs.select("a", "a1", "a2", "b", "b1", "b2"), "pairs")
+        pairs = self._kept(pairs.select(*(F.struct(F.col(x).alias("id"), F.col(f"{x}1").alias("n1"), F.col(f"{x}2").alias("n2")).alias(x) for x in "ab")), "pairs")
 
         def sketched(sets: Sets) -> list[pa.Array]:
             return [pa.array(sets.size), pa.array(sketches(sets), pa.binary())]
@@ -357,17 +363,22 @@ class JaccardJoin:
             return 100 * both >= percent * (len(x) + len(y) - both)
 
         close = self._filtered(pairs, "size long, sketch binary", sketched, near, "close")
-        links = self._filtered(close, "tokens binary", packed, linked, label).select("a", "b")
+        links = self._filtered(close, "tokens binary", packed, linked, label)
         self._drop("pairs", "close")
         return links
 
     def components(self) -> DataFrame:
         """``(id, n_shingles, component)`` of every row."""
+        return self.classes().select("id", F.col("size").alias("n_shingles"), F.coalesce("component.id", "id").alias("component"))
+
+    def classes(self) -> DataFrame:
+        """``(id, n1, n2, size, component)`` of every row; ``component(id, n1, n2)`` is the smallest node of its component, null without words or identifier."""
         spark = self.spark
         nodes = self._kept(self.nodes(), "nodes")
         reps = self._kept(nodes.where("size > 0 AND id IS NOT NULL").groupBy("n1", "n2").agg(F.min("id").alias("rep")), "reps")
         index = self._kept(self.index(), "index")
-        
+        vertex = F.struct(F.col("rep").alias("id"), "n1", "n2")
+
         # Round one: every node against a few nodes of each of its signatures, drawn by hash.  The signatures of a
         # family of near copies draw different ones, so most of its core is found to be one component.
         row = "n1, n2, size, s0, s1, s2, s3"
@@ -381,39 +392,70 @@ class JaccardJoin:
         links = self._verified(first, reps, "links")
         labels = connected_components(spark, links)
 
-        # Round two: the other pairs that share a signature, if they are in different components.
-        named = reps.join(labels, reps["rep"] == labels["vertex"], "left").select("n1", "n2", F.coalesce("component", "rep").alias("label"))
+        # Round two: the other pairs that share a signature, if they are in different components.  A signature all
+        # of whose nodes are in one component has none, however many they are.
+        named = reps.join(labels, vertex == labels["vertex"], "left").select("n1", "n2", F.coalesce("component", vertex).alias("label"))
         rows = self._kept(index.join(named, ["n1", "n2"]), "labelled")
+        mixed = self._kept(rows.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("sig"), "mixed")
+        rows = self._kept(rows.join(mixed, "sig", "left_semi"), "mixed_rows")
+        self._drop("index", "labelled", "mixed")
         crossing = rows.alias("a").join(rows.alias("b"), F.expr(f"a.sig = b.sig AND a.label <> b.label AND ({order}) AND {self._alike('a', 'b')}"))
         second = crossing.selectExpr("a.n1 AS a1", "a.n2 AS a2", "b.n1 AS b1", "b.n2 AS b2").distinct().join(first, ["a1", "a2", "b1", "b2"], "left_anti")
         more = self._verified(second, reps, "more")
-        self._drop("index", "labelled", "first")
+        self._drop("mixed_rows", "first")
         labels = connected_components(spark, links.union(more)) if not more.isEmpty() else labels
 
-        of_node = reps.join(labels, reps["rep"] == labels["vertex"], "left").select("n1", "n2", F.coalesce("component", "rep").alias("component"))
-        alone = "size = 0 OR id IS NULL"
-        out = nodes.where(f"NOT ({alone})").join(of_node, ["n1", "n2"]).select("id", F.col("size").alias("n_shingles"), "component")
-        return out.union(nodes.where(alone).select("id", "size", "id"))
+        of_node = reps.join(labels, vertex == labels["vertex"], "left").select("n1", "n2", F.coalesce("component", vertex).alias("component"))
+        alone = F.expr("size = 0 OR id IS NULL")
+        out = nodes.where(~alone).join(of_node, ["n1", "n2"]).select("id", "n1", "n2", "size", "component")
+        out = out.union(nodes.where(alone).withColumn("component", F.lit(None).cast(out.schema["component"].dataType)))
+        out = self._kept(out, "classes")
+        self._drop("nodes", "reps", "links", "more")
+        return out
 
 
 def deduplicate(spark: SparkSession, df: DataFrame, percent: int = 90, id_column: str = "doc_id", text_column: str = "text", width: int = 3) -> DataFrame:
-    """The rows of ``df``, with all columns, of which one of each component stays: that with the smallest identifier.
+    """The rows of ``df``, with all columns, of which one of each component stays: one with the smallest identifier.
 
-    Of rows that share an identifier one stays; rows without one all stay.
+    Rows that share an identifier are judged each by its own text; of those
+    that share identifier and shingles one stays.  Rows without an identifier
+    or without words all stay.
     """
-    found = JaccardJoin(spark, df, percent, id_column, text_column, width).components()
+    join = JaccardJoin(spark, df, percent, id_column, text_column, width)
     path = scratch(spark, "kept-ids")
-    found.where("id IS NOT NULL").groupBy("id").agg(F.min("component").alias("component"), F.count("*").alias("n")).where("id = component").select("id", "n").write.parquet(path)
-    ids = spark.read.parquet(path)
-    small, own = ids.count() <= MAX_BROADCAST_IDS, df[id_column].cast("long")
+    found = join.classes().where("id IS NOT NULL")
+    found.select("id", "n1", "n2", (F.col("size") == 0).alias("bare"), F.expr("component IS NULL OR (component.id = id AND component.n1 = n1 AND component.n2 = n2)").alias("kept")).write.parquet(path)
+    rows = spark.read.parquet(path)
+    ids = rows.groupBy("id").agg(F.count("*").alias("n"), F.bool_or("kept").alias("kept"))
+    # Almost all identifiers have one row, and decide alone.
+    ids = join._kept(ids.where("kept").select("id", "n"), "kept-once")
+    own = df[id_column].cast("long")
 
     def of(wanted: DataFrame) -> DataFrame:
+        small = wanted.count() <= MAX_BROADCAST_IDS
         wanted = wanted.select(F.col("id").alias("ridgeflow_kept_id"))
         return df.join(F.broadcast(wanted) if small else wanted, own == F.col("ridgeflow_kept_id"), "left_semi")
 
     kept = of(ids.where("n = 1")).union(df.where(df[id_column].isNull()))
     again = ids.where("n > 1")
-    return kept if again.isEmpty() else kept.union(of(again).dropDuplicates([id_column]))
+    if again.isEmpty():
+        return kept
+    # Several rows of one identifier: each has its set looked up, repeated ones stay once.
+    names = [f"c{i}" for i in range(len(df.columns))]
+    where, who = df.columns.index(text_column), df.columns.index(id_column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, f"c{where}"):
+            sets = token_sets(batch.column(where), width)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, node_ids(sets)), pa.array(sets.size == 0)], [*names, "n1", "n2", "bare"])
+
+    fields = [T.StructField(n, f.dataType) for n, f in zip(names, df.schema.fields, strict=True)]
+    several = bounded_batches(of(again)).toDF(*names).mapInArrow(run, T.StructType([*fields, *T._parse_datatype_string("n1 long, n2 long, bare boolean").fields]))
+    bare = several.where("bare").select(*names)
+    filled = several.where("NOT bare").dropDuplicates([f"c{who}", "n1", "n2"])
+    chosen = rows.where("kept AND NOT bare").select(F.col("id").alias("ridgeflow_id"), F.col("n1").alias("m1"), F.col("n2").alias("m2"))
+    filled = filled.join(chosen, (filled[f"c{who}"].cast("long") == F.col("ridgeflow_id")) & (F.col("n1") == F.col("m1")) & (F.col("n2") == F.col("m2")), "left_semi")
+    return kept.union(bare.toDF(*df.columns)).union(filled.select(*names).toDF(*df.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
