@@ -3,6 +3,21 @@
 Each stage calls one operator of ``ridgeflow.llm`` on all that the stage before
 kept.  The driver of a run writes each stage's rows and reads them again, so a
 lost executor costs part of one stage.
+
+Defined results, for every stage: all columns of the input come back, whatever
+further ones it has; only ``doc_id``, ``text`` and ``n_chars`` (set anew where
+a text changes) are looked at.  An empty table gives an empty table.
+
+* Quality rules reject null, empty and short texts, and judge repeated rows one
+  by one.
+* Near duplicates: of rows with equal ``doc_id`` and shingles one stays; rows
+  without ``doc_id`` or words all stay; on ties the smallest ``doc_id`` stays.
+* Decontamination judges every row by its own text; null has no words.
+* Personal data: null stays null, unchanged texts keep their ``n_chars``.
+* Tokens: null counts as empty; an input column named like a result goes on as
+  ``<name>_input``.
+
+Very long texts are treated whole everywhere.
 """
 
 from __future__ import annotations
@@ -10,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ridgeflow.llm import bpe, jaccard, pii, quality, winnow
-from ridgeflow.llm.common import scratch, table
+from ridgeflow.llm.common import remove, scratch, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,11 +66,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; a stage's table is deleted when the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         path = scratch(spark, name.replace(" ", "-"))
         docs.write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
