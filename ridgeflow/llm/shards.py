@@ -82,7 +82,7 @@ def write_shards(df: DataFrame, path: str, shards: int = SHARDS, seed: int = SEE
     if cells > 1:
         cell = F.floor(F.col("bucket") / max_buckets).cast("int")
         scattered.withColumn("cell", cell).repartition(cells * CELL_TASKS, "cell", F.pmod("bucket", F.lit(CELL_TASKS))).write.partitionBy("cell").parquet(cell_path)
-        scattered = spark.read.schema(scattered.schema.add("cell", "int")).parquet(cell_path)
+        scattered = spark.read.schema(scattered.schema.add("cell", "integer")).parquet(cell_path)
     scattered.groupBy("bucket").count().write.parquet(sizes)
     counts = spark.read.parquet(sizes).withColumn("cell", F.floor(F.col("bucket") / max_buckets).cast("int"))
     # A cell has ``max_buckets`` buckets at most, so has each window; there is a row for each cell on the driver.
@@ -102,9 +102,9 @@ def write_shards(df: DataFrame, path: str, shards: int = SHARDS, seed: int = SEE
 def _fill(scattered: DataFrame, offsets: DataFrame, first: int, last: int, shards: int, seed: int, rows: int) -> DataFrame:
     """The records of buckets ``first`` to ``last - 1`` with their shards and slots."""
     # One bucket a partition, by number, so that the permutation's seed is the bucket's own.
-    filled = scattered.repartitionById(last - first, F.col("bucket") - first)
-    filled = filled.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("record", "copy"))).alias("records"))
-    filled = filled.select("bucket", F.posexplode(F.shuffle("records", seed + first)).alias("at", "x"))
+    filled = scattered.select((F.col("bucket") - first).alias("part"), "record", "copy").repartitionById(last - first, F.col("part"))
+    filled = filled.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("record", "copy"))).alias("records"))
+    filled = filled.select((F.col("part") + first).alias("bucket"), F.posexplode(F.shuffle("records", seed + first)).alias("at", "x"))
     placed = filled.join(F.broadcast(offsets), "bucket").select("x.record.*", (F.col("offset") + F.col("at")).alias("place"))
     shard = F.expr(f"({shards} * (place + 1) + {rows - 1}) div {max(rows, 1)} - 1")
     placed = placed.withColumn("shard", shard.cast("int"))

@@ -119,11 +119,19 @@ def hits(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int = GRAM) ->
     docs = docs.withColumn("grams", F.expr(_grams("words", k)))
     every = ", ".join([_smallest("grams", span - k + 1), *(_grams("words", n) for n in short)])
     found = _matched(docs.withColumn("prints", F.expr(f"concat({every})")), item_fingerprints(items, span, k, short))
-    found = found.where("slice(words, p + 1, n) = slice(near, lead + 1, n)")
-    left = _count_true("least(lead, p)", "near[lead - o] = words[p - o]")
-    right = _count_true("least(size(near) - lead, size(words) - p) - n", "near[lead + n - 1 + o] = words[p + n - 1 + o]")
-    found = found.selectExpr("key", "item", f"p - {left} AS start", f"p + n + {right} AS stop", "least")
-    return found.where("stop - start >= least").drop("least")
+    # From here on a row has the words around its hit only, however long its text.
+    reach = span - k
+    found = found.selectExpr(
+        "key", "item", "near", "lead", "n", "least", "p",
+        f"slice(words, greatest(p - {reach}, 0) + 1, least(p, {reach}) + n + {reach}) AS around",
+        f"least(p, {reach}) AS own",
+    )
+    found = found.where("slice(around, own + 1, n) = slice(near, lead + 1, n)")
+    left = _count_true("least(lead, own)", "near[lead - o] = around[own - o]")
+    right = _count_true("least(size(near) - lead, size(around) - own) - n", "near[lead + n - 1 + o] = around[own + n - 1 + o]")
+    # Exploding keeps the test on what is computed here, with its lambdas, out of the join's condition.
+    found = found.select("key", "item", "least", F.explode_outer(F.expr(f"array(struct(p - {left} AS start, p + n + {right} AS stop))")).alias("x"))
+    return found.select("key", "item", "x.start", "x.stop", "least").where("stop - start >= least").drop("least")
 
 
 def contamination(df: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text", span: int = SPAN, k: int = GRAM) -> DataFrame:
