@@ -2,8 +2,9 @@
 
 Half-edge ``2 e`` leaves the start node of edge e, ``2 e + 1`` its end node;
 twins differ in the last bit.  Chains, faces and cores are found in rounds
-whose tables are written to the shared scratch folder; pointer doubling needs
-as many rounds as the logarithm of the longest chain.
+whose tables are written to the shared scratch folder; pointer doubling stops
+after as many rounds as the logarithm of the longest chain or orbit, when a
+round changes nothing.  Peeling takes a round for each layer of leaves.
 """
 
 from __future__ import annotations
@@ -99,20 +100,24 @@ def _mutual_best(pairs: DataFrame) -> DataFrame:
     return taken
 
 
-def _ranked(step: DataFrame, rounds: int) -> DataFrame:
+def _ranked(step: DataFrame) -> DataFrame:
     """``(h, end, dist, low, ends)`` of successor rows ``(h, next)``: where the list of h ends, how far, and its smallest edge.
 
     ``ends`` is false on a cycle, where ``low`` is the smallest edge all the same.
     """
     last = F.col("next").isNull()
     state = step.select("h", F.coalesce("next", "h").alias("end"), F.when(last, 0).otherwise(1).cast("bigint").alias("dist"), F.shiftright("h", 1).alias("low"), last.alias("ends"))
-    state = kept_table(state, "list")
-    for _ in range(rounds):
+    state, moved = kept_table(state, "list"), True
+    while moved:
         ahead = state.toDF("end", "end2", "dist2", "low2", "ends2")
-        state = state.join(ahead, "end").select(
-            "h", F.col("end2").alias("end"), (F.col("dist") + F.col("dist2")).alias("dist"), F.least("low", "low2").alias("low"), F.col("ends2").alias("ends")
+        low = F.least("low", "low2")
+        # On a cycle the smallest edge of ever longer stretches: once none changes, all rows have that of the cycle.
+        changed = F.when(F.col("ends2"), (F.col("dist2") != 0) | (low != F.col("low"))).otherwise(low != F.col("low"))
+        both = state.join(ahead, "end").select(
+            "h", F.col("end2").alias("end"), (F.col("dist") + F.col("dist2")).alias("dist"), low.alias("low"), F.col("ends2").alias("ends"), changed.alias("changed")
         )
-        state = kept_table(state, "list")
+        both = kept_table(both, "list")
+        state, moved = both.drop("changed"), not both.where("changed").isEmpty()
     return state
 
 
@@ -127,14 +132,13 @@ def chains(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     half = edges.select(F.explode(F.array(F.col("e") * 2, F.col("e") * 2 + 1)).alias("h"))
     step = half.withColumn("t", F.col("h").bitwiseXOR(F.lit(1).cast("bigint"))).join(partner, "t", "left").select("h", "next")
     step = kept_table(step, "step")
-    rounds = max(1, int(step.count()).bit_length())
-    first = _ranked(step, rounds)
+    first = _ranked(step)
     rings = first.where("NOT ends").select("h", "low")
     # A ring is cut before its smallest edge; the opposite direction stays uncut and drops out.
     cut = step.join(rings, "h").select("h", F.when(F.col("next") != F.col("low") * 2, F.col("next")).alias("next"))
     paths = first.where("ends").select("h", "end", "dist", F.lit(False).alias("ring"))
     if not rings.isEmpty():
-        paths = paths.union(_ranked(kept_table(cut, "cut"), rounds).where("ends").select("h", "end", "dist", F.lit(True)))
+        paths = paths.union(_ranked(kept_table(cut, "cut")).where("ends").select("h", "end", "dist", F.lit(True)))
     named = paths.groupBy("end").agg(F.min(F.shiftright("h", 1)).alias("stroke"), F.count("*").alias("n"))
     rows = paths.join(named, "end")
     kept = rows.where("h = stroke * 2").select("end")
@@ -152,8 +156,11 @@ def faces(half: DataFrame) -> DataFrame:
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     turn = half.select("half", F.coalesce(F.lag("half").over(order), F.last("half").over(whole)).alias("before"))
     twin = turn.select(F.col("half").bitwiseXOR(F.lit(1).cast("bigint")).alias("half"), F.col("before").alias("next"))
-    state = kept_table(twin.select("half", "next", F.col("half").alias("face")), "faces")
-    for _ in range(max(1, int(state.count()).bit_length())):
+    state, moved = kept_table(twin.select("half", "next", F.col("half").alias("face")), "faces"), True
+    while moved:
         ahead = state.select(F.col("half").alias("next"), F.col("next").alias("next2"), F.col("face").alias("face2"))
-        state = kept_table(state.join(ahead, "next").select("half", F.col("next2").alias("next"), F.least("face", "face2").alias("face")), "faces")
+        low = F.least("face", "face2")
+        both = state.join(ahead, "next").select("half", F.col("next2").alias("next"), low.alias("face"), (low != F.col("face")).alias("changed"))
+        both = kept_table(both, "faces")
+        state, moved = both.drop("changed"), not both.where("changed").isEmpty()
     return state.select("half", "face")

@@ -27,12 +27,17 @@ def runs(df: DataFrame, flag: Column, name: str = "run") -> DataFrame:
     return df.withColumn("_changed", changed).withColumn(name, F.sum("_changed").over(along())).drop("_changed")
 
 
-def fill_profile(df: DataFrame, max_gap_m: float = 20.0) -> DataFrame:
+def fill_profile(df: DataFrame, max_gap_m: float = 20.0, margin_samples: int = 0) -> DataFrame:
     """Interpolate masked heights: ``structure`` names what masks a sample, else null.
 
+    ``margin_samples`` samples on either side of a structure are masked with it.
+
     A run of missing samples that touches no end is filled if it crosses a
     structure or its neighbours are at most ``max_gap_m`` apart.
     """
+    if margin_samples:
+        frame = along().rowsBetween(-margin_samples, margin_samples)
+        df = df.withColumn("structure", F.coalesce("structure", F.min("structure").over(frame)))
     masked = df.withColumn("z_in", F.when(F.col("structure").isNull(), F.col("z")))
     masked = runs(masked, F.col("z_in").isNull())
     run = Window.partitionBy("stroke_id", "run")
@@ -53,33 +58,45 @@ def fill_profile(df: DataFrame, max_gap_m: float = 20.0) -> DataFrame:
 
 
 def reflected(df: DataFrame, pad: int, value: str = "z") -> DataFrame:
-    """The samples and ``pad`` odd reflections ``2 z(end) - z`` on either side of each stroke.
+    """The samples and ``pad`` odd reflections ``2 z(end) - z`` on either side of each stroke, as ``(stroke_id, n, i, v, own)``.
 
-    A stroke shorter than the pad is reflected as far as it reaches.
+    A stroke shorter than the pad is reflected again and again: seen from
+    outside, it repeats every ``2 n`` samples, each time higher by twice the
+    rise from its first to its last sample.  ``own`` marks real samples that
+    are not missing; a single sample goes on as a constant.
     """
-    ends = df.withColumn("_n", F.max("i").over(whole())).withColumn("_first", F.first(value).over(along().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    ends = ends.withColumn("_last", F.last(value).over(along().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    own = F.struct(F.col("i").alias("i"), F.col(value).alias("v"))
-    low = F.struct((-F.col("i")).alias("i"), (2 * F.col("_first") - F.col(value)).alias("v"))
-    high = F.struct((2 * F.col("_n") - F.col("i")).alias("i"), (2 * F.col("_last") - F.col(value)).alias("v"))
-    copies = F.array(
-        own,
-        F.when(F.col("i").between(1, pad), low),
-        F.when(F.col("i").between(F.col("_n") - pad, F.col("_n") - 1), high),
-    )
-    return ends.select("stroke_id", F.col("_n").alias("n"), F.explode(F.filter(copies, lambda x: x.isNotNull())).alias("x")).select("stroke_id", "n", "x.i", "x.v")
+    ends = along().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = df.withColumn("n", F.max("i").over(whole()).cast("int")).withColumn("z0", F.first(value).over(ends)).withColumn("z1", F.last(value).over(ends))
+    rows = rows.select("stroke_id", "n", F.col("i").cast("int").alias("i"), F.col(value).alias("z"), "z0", "z1")
+    rows = rows.withColumn("period", F.greatest(2 * F.col("n"), F.lit(1)))
+    turns = F.ceil((F.lit(pad) + F.col("n")) / F.col("period")).cast("int")
+    rise = 2 * (F.col("z1") - F.col("z0"))
+
+    def same(m: Column) -> Column:
+        return F.struct((F.col("i") + m * F.col("period")).alias("i"), F.when(m == 0, F.col("z")).otherwise(F.col("z") + m * rise).alias("v"), ((m == 0) & F.col("z").isNotNull()).alias("own"))
+
+    def mirrored(m: Column) -> Column:
+        return F.struct((m * F.col("period") - F.col("i")).alias("i"), (2 * F.col("z0") - F.col("z") + m * rise).alias("v"), F.lit(False).alias("own"))
+
+    every = F.sequence(-turns, turns)
+    inner = (F.col("i") > 0) & (F.col("i") < F.col("n"))
+    copies = F.concat(F.transform(every, same), F.when(inner, F.transform(every, mirrored)).otherwise(F.array().cast("array<struct<i:int,v:double,own:boolean>>")))
+    near = F.filter(copies, lambda x: (x["i"] >= -pad) & (x["i"] <= F.col("n") + pad))
+    # Samples far from both ends have no copy, and build no array.
+    far = (F.col("i") > pad) & (F.col("i") < F.col("n") - pad)
+    return rows.select("stroke_id", "n", F.explode(F.when(far, F.array(same(F.lit(0)))).otherwise(near)).alias("x")).select("stroke_id", "n", "x.*")
 
 
 def rolling_median(df: DataFrame, window: int) -> DataFrame:
-    """``(stroke_id, i, z_median)``: median of an odd window of samples, missing ones left out."""
+    """``(stroke_id, i, z_median)``: median of an odd window of samples, missing ones left out; a missing sample stays missing."""
     half = (window | 1) // 2
     frame = along().rowsBetween(-half, half)
     out = reflected(df, half).withColumn("z_median", F.percentile("v", F.lit(0.5)).over(frame))
-    return out.where("i BETWEEN 0 AND n").select("stroke_id", "i", "z_median")
+    return out.where("i BETWEEN 0 AND n").select("stroke_id", "i", F.when(F.col("own"), F.col("z_median")).alias("z_median"))
 
 
 def gaussian_smooth(df: DataFrame, sigma: float) -> DataFrame:
-    """``(stroke_id, i, z_smooth)``: weights ``exp(-(k / sigma)^2 / 2)`` up to three sigma, renormalised on present samples."""
+    """``(stroke_id, i, z_smooth)``: weights ``exp(-(k / sigma)^2 / 2)`` up to three sigma, renormalised on present samples; a missing sample stays missing."""
     radius = math.ceil(3 * sigma)
     padded = reflected(df, radius)
     value = weight = F.lit(0.0)
@@ -89,7 +106,7 @@ def gaussian_smooth(df: DataFrame, sigma: float) -> DataFrame:
         value = value + F.coalesce(v, F.lit(0.0)) * w
         weight = weight + F.when(v.isNotNull(), w).otherwise(0.0)
     out = padded.withColumn("_v", value).withColumn("_w", weight)
-    return out.where("i BETWEEN 0 AND n").select("stroke_id", "i", F.when(F.col("_w") > 0, F.col("_v") / F.col("_w")).alias("z_smooth"))
+    return out.where("i BETWEEN 0 AND n").select("stroke_id", "i", F.when(F.col("own"), F.col("_v") / F.col("_w")).alias("z_smooth"))
 
 
 def local_grade(df: DataFrame, half: int = 2, value: str = "z") -> DataFrame:

@@ -1,14 +1,16 @@
 """Search over published features: filters, distances, order.
 
-``matches`` builds the filter as a column; ``compile_expression`` builds a
-column from the nested-list expressions that map clients use, and
-``map_filter`` gives that form of the same criteria.
+The criteria are one table of rules: a property, an operator, a value, and the
+kinds that it holds for.  ``matches`` folds the rules into a column;
+``map_filter`` writes them as the nested lists that map clients use, which
+``compile_expression`` turns into a column again.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -50,67 +52,78 @@ def is_loop(sinuosity: Column) -> Column:
     return sinuosity.isNull() | (sinuosity > LOOP_SINUOSITY)
 
 
-def _steep(length_m: int, columns: list[str]) -> Column:
-    name = f"steep_{length_m}_pct"
-    mean = F.col("grade_mean_pct")
-    return F.coalesce(F.col(name), mean) if name in columns else mean
+@dataclass(frozen=True)
+class Rule:
+    """``prop op value``; of several properties the first that is there counts, ``unless`` names a value of ``loop_type`` that is exempt."""
+
+    props: tuple[str, ...]
+    op: str
+    value: Any
+    unless: str | None = None
+
+
+#: Which rules hold: the kinds, the rule of some criteria, and when it applies.
+_SHAPED = ("flat", "climb", "long_climb")
+_RULES = (
+    ((*_SHAPED, "loop"), lambda c: Rule(("kind",), "==", c.kind), lambda c: True),
+    (_SHAPED, lambda c: Rule(("length_m",), ">=", c.min_length_m), lambda c: True),
+    (_SHAPED, lambda c: Rule(("n_crossings",), "<=", 0), lambda c: c.no_crossing),
+    (_SHAPED, lambda c: Rule(("surface",), "in", SURFACE_GROUPS[c.surface]), lambda c: c.surface in SURFACE_GROUPS),
+    (("flat",), lambda c: Rule(("grade_max_pct",), "<=", c.max_local_grade_pct), lambda c: True),
+    (("climb", "long_climb"), lambda c: Rule((f"steep_{c.min_length_m}_pct", "grade_mean_pct"), ">=", c.min_mean_grade_pct), lambda c: True),
+    (("climb", "long_climb"), lambda c: Rule(("grade_mean_pct",), "<=", c.max_mean_grade_pct), lambda c: True),
+    (("loop",), lambda c: Rule(("type",), "in", c.loop_types), lambda c: True),
+    (("loop",), lambda c: Rule(("access",), "==", "public"), lambda c: c.public_only),
+    (("loop",), lambda c: Rule(("grade_max_pct",), "<=", c.max_loop_grade_pct, unless="track"), lambda c: True),
+)
+
+
+def rules(c: Criteria) -> list[Rule]:
+    return [make(c) for kinds, make, applies in _RULES if c.kind in kinds and applies(c)]
+
+
+def _as_column(rule: Rule, columns: list[str]) -> Column:
+    """A rule as a test that is never null; ``in`` nothing holds for nothing."""
+    if rule.props == ("type",):
+        value = loop_type(F.col("loop_type"), F.col("setting"))
+    else:
+        value = F.coalesce(*(F.col(p) for p in rule.props if p in columns), F.lit(None))
+    test = {
+        "==": lambda: value == rule.value,
+        "<=": lambda: value <= rule.value,
+        ">=": lambda: value >= rule.value,
+        "in": lambda: value.isin(*rule.value) if rule.value else F.lit(False),
+    }[rule.op]()
+    if rule.unless:
+        test = (F.col("loop_type") != "circuit") | test
+    return F.coalesce(test, F.lit(False))
+
+
+def _as_expression(rule: Rule) -> list:
+    gets: list = [["get", p] for p in rule.props]
+    if rule.props == ("type",):
+        gets = [["case", ["==", ["get", "loop_type"], "circuit"], ["get", "setting"], "track"]]
+    value = gets[0] if len(gets) == 1 else ["coalesce", *gets]
+    test = ["match", value, list(rule.value), True, False] if rule.op == "in" else [rule.op, value, rule.value]
+    return ["any", ["!=", ["get", "loop_type"], "circuit"], test] if rule.unless else test
 
 
 def matches(c: Criteria, columns: list[str]) -> Column:
     """The filter of results, distance left aside; a missing value never matches."""
-    test = F.col("kind") == c.kind
-    if c.kind == "loop":
-        test &= loop_type(F.col("loop_type"), F.col("setting")).isin(*c.loop_types)
-        if c.public_only:
-            test &= F.col("access") == "public"
-        test &= (F.col("loop_type") != "circuit") | (F.col("grade_max_pct") <= c.max_loop_grade_pct)
-    else:
-        test &= F.col("length_m") >= c.min_length_m
-        if c.no_crossing:
-            test &= F.col("n_crossings") <= 0
-        if c.surface in SURFACE_GROUPS:
-            test &= F.col("surface").isin(*SURFACE_GROUPS[c.surface])
-        if c.kind == "flat":
-            test &= F.col("grade_max_pct") <= c.max_local_grade_pct
-        else:
-            test &= _steep(c.min_length_m, columns) >= c.min_mean_grade_pct
-            test &= F.col("grade_mean_pct") <= c.max_mean_grade_pct
-    return F.coalesce(test, F.lit(False))
+    return reduce(lambda x, y: x & y, (_as_column(r, columns) for r in rules(c)))
 
 
 def map_filter(c: Criteria, ids: list[str] | None = None, pinned: Any = None) -> list:
     """The criteria as a nested expression."""
-    get = lambda name: ["get", name]
-    tests: list = [["==", get("kind"), c.kind]]
-    if c.kind == "loop":
-        kind = ["case", ["==", get("loop_type"), "circuit"], get("setting"), "track"]
-        tests.append(["match", kind, list(c.loop_types), True, False])
-        if c.public_only:
-            tests.append(["==", get("access"), "public"])
-        tests.append(["any", ["!=", get("loop_type"), "circuit"], ["<=", get("grade_max_pct"), c.max_loop_grade_pct]])
-    else:
-        tests.append([">=", get("length_m"), c.min_length_m])
-        if c.no_crossing:
-            tests.append(["<=", get("n_crossings"), 0])
-        if c.surface in SURFACE_GROUPS:
-            tests.append(["match", get("surface"), list(SURFACE_GROUPS[c.surface]), True, False])
-        if c.kind == "flat":
-            tests.append(["<=", get("grade_max_pct"), c.max_local_grade_pct])
-        else:
-            tests.append([">=", ["coalesce", get(f"steep_{c.min_length_m}_pct"), get("grade_mean_pct")], c.min_mean_grade_pct])
-            tests.append(["<=", get("grade_mean_pct"), c.max_mean_grade_pct])
+    whole = ["all", *map(_as_expression, rules(c))]
     if ids is not None:
-        tests.append(["match", get("id"), ids, True, False])
-    whole = ["all", *tests]
-    return whole if pinned is None else ["any", ["==", get("id"), pinned], whole]
+        whole.append(["match", ["get", "id"], ids, True, False])
+    return whole if pinned is None else ["any", ["==", ["get", "id"], pinned], whole]
 
 
 def overview_filter(c: Criteria) -> list:
-    """The criteria that the thinned layer can answer."""
-    tests: list = [["==", ["get", "kind"], c.kind]]
-    if c.kind != "loop":
-        tests.append([">=", ["get", "length_m"], c.min_length_m])
-    return ["all", *tests]
+    """The rules that the thinned layer, which has kind and length only, can answer."""
+    return ["all", *(_as_expression(r) for r in rules(c) if r.props[0] in ("kind", "length_m"))]
 
 
 def compile_expression(e: Any, columns: list[str]) -> Column:
@@ -124,7 +137,7 @@ def compile_expression(e: Any, columns: list[str]) -> Column:
         return F.lit(args[0])
     if op == "match":
         value = compile_expression(args[0], columns)
-        return F.when(value.isin(*args[1]), F.lit(args[2])).otherwise(F.lit(args[3]))
+        return F.when(value.isin(*args[1]) if args[1] else F.lit(False), F.lit(args[2])).otherwise(F.lit(args[3]))
     x = [compile_expression(a, columns) for a in args]
     if op in ("all", "any"):
         out = F.coalesce(x[0], F.lit(False))

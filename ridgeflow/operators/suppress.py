@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 
 
 def kept_table(df: DataFrame, label: str) -> DataFrame:
-    """Write to the folder of ``spark.checkpoint.dir`` (a local one where unset) and read again."""
+    """Write to the folder of ``spark.checkpoint.dir`` and read again; on a local master it may be unset."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="ridgeflow-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root}/{label}-{uuid.uuid4().hex}"

@@ -80,28 +80,15 @@ def h6_stroke_ids(spark, sf_dir):
     return strokes.select(F.format_string("s%06d", F.dense_rank().over(Window.orderBy("stroke")) - 1).alias("stroke_id"), "stroke", "n_edges")
 
 
-
-
 @query(
     "h7_two_core",
-    f"WITH RECURSIVE {_G.removeprefix('WITH ').replace('FROM part', 'FROM part WHERE p_partkey % 3 = 0')}, p AS (SELECT 0 AS r, list(e) AS es FROM g UNION ALL SELECT r + 1, (SELECT list(e) FROM g WHERE list_contains(p.es, e) "
-    "AND a NOT IN (SELECT v FROM (SELECT a AS v FROM g WHERE list_contains(p.es, e) UNION ALL SELECT b FROM g WHERE list_contains(p.es, e)) GROUP BY v HAVING count(*) = 1) "
-    "AND b NOT IN (SELECT v FROM (SELECT a AS v FROM g WHERE list_contains(p.es, e) UNION ALL SELECT b FROM g WHERE list_contains(p.es, e)) GROUP BY v HAVING count(*) = 1)) FROM p WHERE r < 60) "
-    "SELECT unnest(es) AS e FROM p WHERE r = 60",
-)
-def h7_two_core(spark, sf_dir):
-    return N.two_core(graph(spark, sf_dir).where("e % 3 = 0")).select("e")
-
-
-@query(
-    "h7_two_core_whole",
     f"WITH RECURSIVE {_G.removeprefix('WITH ')}, p AS (SELECT 0 AS r, list(e) AS es, count(*) + 1 AS was FROM g UNION ALL SELECT r + 1, (SELECT list(e) FROM g WHERE list_contains(p.es, e) "
     "AND a NOT IN (SELECT v FROM (SELECT a AS v FROM g WHERE list_contains(p.es, e) UNION ALL SELECT b FROM g WHERE list_contains(p.es, e)) GROUP BY v HAVING count(*) = 1) "
     "AND b NOT IN (SELECT v FROM (SELECT a AS v FROM g WHERE list_contains(p.es, e) UNION ALL SELECT b FROM g WHERE list_contains(p.es, e)) GROUP BY v HAVING count(*) = 1)), len(es) FROM p WHERE len(es) < was) "
     "SELECT unnest(es) AS e FROM (SELECT es FROM p ORDER BY r DESC LIMIT 1)",
 )
-def h7_two_core_whole(spark, sf_dir):
-    """The two-core of all edges; ``h7_two_core`` is that of every third edge."""
+def h7_two_core(spark, sf_dir):
+    """The two-core of all edges."""
     return N.two_core(graph(spark, sf_dir)).select("e")
 
 

@@ -12,9 +12,18 @@ from ..sources.tables import gapped, samples, samples_sql
 
 _CTE = samples_sql()
 _PAD = """n AS (SELECT *, max(i) OVER (PARTITION BY stroke_id) AS n, first(z) OVER (PARTITION BY stroke_id ORDER BY i) AS z0,
-    last(z) OVER (PARTITION BY stroke_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS z1 FROM samples),
-pad AS (SELECT stroke_id, n, i, z AS v FROM n UNION ALL SELECT stroke_id, n, -i, 2 * z0 - z FROM n WHERE i BETWEEN 1 AND {p}
-    UNION ALL SELECT stroke_id, n, 2 * n - i, 2 * z1 - z FROM n WHERE i BETWEEN n - {p} AND n - 1)"""
+    last(z) OVER (PARTITION BY stroke_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS z1 FROM {source}),
+t AS (SELECT *, greatest(2 * n, 1) AS period, unnest(range(-8, 9)) AS m FROM n),
+pad AS (SELECT * FROM (SELECT stroke_id, n, i + m * period AS i, CASE WHEN m = 0 THEN z ELSE z + 2 * m * (z1 - z0) END AS v, m = 0 AND z IS NOT NULL AS own FROM t
+    UNION ALL SELECT stroke_id, n, m * period - i, 2 * z0 - z + 2 * m * (z1 - z0), false FROM t WHERE i > 0 AND i < n) WHERE i BETWEEN -{p} AND n + {p})"""
+#: Samples with gaps, and the same cut into strokes of one to four samples.
+_GAPPED = "gapped AS (SELECT stroke_id, i, d, CASE WHEN event_type != 'error' THEN z END AS z FROM samples)"
+_SHORT = "short AS (SELECT stroke_id * 1000 + i // 4 AS stroke_id, i % 4 AS i, 5.0::DOUBLE * (i % 4) AS d, z FROM samples)"
+
+
+def short(spark, sf_dir):
+    rows = samples(spark, sf_dir)
+    return rows.select((F.col("stroke_id") * 1000 + F.floor(F.col("i") / 4)).alias("stroke_id"), (F.col("i") % 4).alias("i"), (5.0 * (F.col("i") % 4)).alias("d"), "z")
 
 
 @query("c4_samples", f"WITH {_CTE} SELECT stroke_id, i, d, round(z, 9) AS z FROM samples")
@@ -42,26 +51,53 @@ def w11_fill_profile(spark, sf_dir):
     return filled.select("stroke_id", "i", F.round("z_filled", 9).alias("z_filled"), "bridge_mask", "tunnel_mask", "gap_mask")
 
 
-@query(
-    "w12_rolling_median",
-    f"WITH {_CTE}, {_PAD.format(p=1)}, q AS (SELECT *, median(v) OVER (PARTITION BY stroke_id ORDER BY i ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS m FROM pad) "
-    "SELECT stroke_id, i, round(m, 9) AS z_median FROM q WHERE i BETWEEN 0 AND n",
-)
-def w12_rolling_median(spark, sf_dir):
-    return P.rolling_median(samples(spark, sf_dir), 3).select("stroke_id", "i", F.round("z_median", 9).alias("z_median"))
+def _median_sql(cte: str, source: str) -> str:
+    return (
+        f"WITH {_CTE}, {cte}, {_PAD.format(source=source, p=1)}, q AS (SELECT *, median(v) OVER (PARTITION BY stroke_id ORDER BY i ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS m FROM pad) "
+        "SELECT stroke_id, i, CASE WHEN own THEN round(m, 9) END AS z_median FROM q WHERE i BETWEEN 0 AND n"
+    )
 
 
 _KERNEL = ", ".join(f"({k}, {math.exp(-0.5 * (k / 2.0) ** 2)!r}::DOUBLE)" for k in range(-6, 7))
 
 
-@query(
-    "w13_gaussian",
-    f"WITH {_CTE}, {_PAD.format(p=6)}, k(o, w) AS (VALUES {_KERNEL}) "
-    "SELECT a.stroke_id, a.i, round(sum(w * b.v) / sum(w), 9) AS z_smooth FROM pad a, k, pad b "
-    "WHERE a.i BETWEEN 0 AND a.n AND b.stroke_id = a.stroke_id AND b.i = a.i + k.o AND b.v IS NOT NULL GROUP BY a.stroke_id, a.i",
-)
+def _gaussian_sql(cte: str, source: str) -> str:
+    return (
+        f"WITH {_CTE}, {cte}, {_PAD.format(source=source, p=6)}, k(o, w) AS (VALUES {_KERNEL}) "
+        "SELECT a.stroke_id, a.i, CASE WHEN a.own THEN round(sum(w * b.v) / sum(w) FILTER (b.v IS NOT NULL), 9) END AS z_smooth FROM pad a, k, pad b "
+        "WHERE a.i BETWEEN 0 AND a.n AND b.stroke_id = a.stroke_id AND b.i = a.i + k.o GROUP BY a.stroke_id, a.i, a.own"
+    )
+
+
+def _median(df):
+    return P.rolling_median(df, 3).select("stroke_id", F.col("i").cast("bigint").alias("i"), F.round("z_median", 9).alias("z_median"))
+
+
+def _gaussian(df):
+    return P.gaussian_smooth(df, 2.0).select("stroke_id", F.col("i").cast("bigint").alias("i"), F.round("z_smooth", 9).alias("z_smooth"))
+
+
+@query("w12_rolling_median", _median_sql(_GAPPED, "gapped"))
+def w12_rolling_median(spark, sf_dir):
+    """Strokes with missing samples, which stay missing."""
+    return _median(gapped(spark, sf_dir))
+
+
+@query("w12_short_strokes", _median_sql(_SHORT, "short"))
+def w12_short_strokes(spark, sf_dir):
+    return _median(short(spark, sf_dir))
+
+
+@query("w13_gaussian", _gaussian_sql(_GAPPED, "gapped"))
 def w13_gaussian(spark, sf_dir):
-    return P.gaussian_smooth(samples(spark, sf_dir), 2.0).select("stroke_id", "i", F.round("z_smooth", 9).alias("z_smooth"))
+    """Strokes with missing samples, which stay missing."""
+    return _gaussian(gapped(spark, sf_dir))
+
+
+@query("w13_short_strokes", _gaussian_sql(_SHORT, "short"))
+def w13_short_strokes(spark, sf_dir):
+    """Strokes shorter than the pad, reflected again and again."""
+    return _gaussian(short(spark, sf_dir))
 
 
 _GRADE = """g AS (SELECT a.stroke_id, a.i, a.d, a.z, 100 * (h.z - l.z) / (h.d - l.d) AS grade FROM

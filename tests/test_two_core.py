@@ -24,6 +24,6 @@ def test_whole_two_core_is_plain_peeling(spark):
         if len(fewer) == len(left):
             break
         left = fewer
-    got = [r.e for r in registry.queries()["h7_two_core_whole"](spark, DATA).collect()]
+    got = [r.e for r in registry.queries()["h7_two_core"](spark, DATA).collect()]
     assert sorted(got) == sorted(e for e, _, _ in left)
     assert any(e % 3 for e in got)
