@@ -111,6 +111,15 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver collect garbage, so that Spark deletes the shuffle files of jobs that are done.
+
+    Spark does so whenever the driver happens to collect, by default within half
+    an hour; between the steps of a long operator that is late.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def has_files(spark: SparkSession, path: str, pattern: str = "*") -> bool:
     """Whether a file below ``path`` matches."""
     jvm = spark.sparkContext._jvm

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remove, scratch
+from .common import release, remove, scratch
 
 
 def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -32,6 +32,8 @@ def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         for old in own:  # the new table is written, so what it was made of is done with
             remove(spark, old)
         paths[what] = [path]
+        if what == "edges":
+            release(spark)
         return spark.read.parquet(path)
 
     edges = kept(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")

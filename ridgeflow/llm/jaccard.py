@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, bounded_batches, mix, remove, scratch, slices, table
+from .common import Words, bounded_batches, mix, release, remove, scratch, slices, table
 from .components import connected_components
 
 #: A token is frequent if those of its cell are in more lists than this.
@@ -211,11 +211,14 @@ class JaccardJoin:
     def __init__(self, spark: SparkSession, df: DataFrame, percent: int = 90, id_column: str = "doc_id", text_column: str = "text", width: int = 3):
         self.spark, self.percent, self.width = spark, percent, width
         self._paths: dict[str, str] = {}
+        self._several: DataFrame | None = None  #: identifiers of several nodes, if there are any
         self.source = bounded_batches(df).select(df[id_column].cast("long").alias("id"), df[text_column].alias("text"))
 
     def _kept(self, df: DataFrame, label: str) -> DataFrame:
         path = self._paths[label] = scratch(self.spark, label)
         df.write.parquet(path)
+        del df
+        release(self.spark)
         return self.spark.read.parquet(path)
 
     def _drop(self, *labels: str) -> None:
@@ -304,7 +307,7 @@ class JaccardJoin:
 
     def _of_pairs(self, pairs: DataFrame, columns: str, make) -> DataFrame:
         """``(id, n1, n2)`` and the ``columns`` that ``make(sets)`` gives, of the nodes in ``pairs``."""
-        ids = pairs.selectExpr("a.id AS id", "a.n1 AS n1", "a.n2 AS n2").union(pairs.selectExpr("b.id", "b.n1", "b.n2")).distinct()
+        ids = pairs.selectExpr("a AS id", "a1 AS n1", "a2 AS n2").union(pairs.select("b", "b1", "b2")).distinct()
         ids = self._kept(ids, "ids")
         wanted = ids.select("id").distinct()
         wanted = F.broadcast(wanted) if ids.count() <= MAX_BROADCAST_IDS else wanted
@@ -322,31 +325,37 @@ class JaccardJoin:
     def _filtered(self, pairs: DataFrame, columns: str, make, test, label: str) -> DataFrame:
         """The pairs for which ``test`` holds on the columns of both sides."""
         own = self._of_pairs(pairs, columns, make)
-        more = own.columns[3:]
-        node = F.struct("id", "n1", "n2")
-        left = own.select(node.alias("a"), *(F.col(c).alias(f"x_{c}") for c in more))
-        right = own.select(node.alias("b"), *(F.col(c).alias(f"y_{c}") for c in more))
-        both = pairs.join(right, "b").join(left, "a")
-        both = both.select("a", "b", *(f"{side}_{c}" for c in more for side in "xy"))
+        keys, more = ["a", "a1", "a2", "b", "b1", "b2"], own.columns[3:]
+        left = own.toDF("a", "a1", "a2", *(f"x_{c}" for c in more))
+        right = own.toDF("b", "b1", "b2", *(f"y_{c}" for c in more))
+        both = pairs.join(right, ["b", "b1", "b2"]).join(left, ["a", "a1", "a2"])
+        both = both.select(*keys, *(f"{side}_{c}" for c in more for side in "xy"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                keep = [test(*row) for row in zip(*batch.columns[2:], strict=True)]
-                yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+                keep = [test(*row) for row in zip(*batch.columns[len(keys) :], strict=True)]
+                yield batch.select(list(range(len(keys)))).filter(pa.array(keep, pa.bool_()))
 
-        found = self._kept(both.mapInArrow(run, T.StructType(both.schema.fields[:2])), label)
+        found = self._kept(both.mapInArrow(run, ", ".join(f"{k} long" for k in keys)), label)
         self._drop("ids", "of_pairs")
         return found
 
+    def _vertices(self, df: DataFrame, id_column: str, n1: str, n2: str, name: str) -> DataFrame:
+        """``df`` with the vertex of a node: its identifier, or a negative hash if several nodes have that one."""
+        if self._several is None:
+            return df.withColumn(name, F.col(id_column))
+        own = F.when(F.col("ridgeflow_several").isNull(), F.col(id_column)).otherwise(-F.shiftrightunsigned(F.xxhash64(id_column, n1, n2), 1) - 1)
+        return df.join(self._several.toDF("ridgeflow_several"), F.col(id_column) == F.col("ridgeflow_several"), "left").withColumn(name, own).drop("ridgeflow_several")
+
     def _verified(self, pairs: DataFrame, reps: DataFrame, label: str) -> DataFrame:
-        """The linked ones of ``pairs(a1, a2, b1, b2)`` as ``(a, b)`` nodes.
+        """The linked ones of ``pairs(a1, a2, b1, b2)`` as ``(a, b)`` vertices.
 
         A sketch of about a bit for each token leaves few pairs that aren't
         linked; only for those that pass are the token sets brought together.
         """
         percent = self.percent
-        pairs = pairs.join(reps.toDF("a1", "a2", "a"), ["a1", "a2"]).join(reps.toDF("b1", "b2", "b"), ["b1", "b2"])
-        pairs = self._kept(pairs.select(*(F.struct(F.col(x).alias("id"), F.col(f"{x}1").alias("n1"), F.col(f"{x}2").alias("n2")).alias(x) for x in "ab")), "pairs")
+        pairs = pairs.join(reps.select("n1", "n2", "rep").toDF("a1", "a2", "a"), ["a1", "a2"]).join(reps.select("n1", "n2", "rep").toDF("b1", "b2", "b"), ["b1", "b2"])
+        pairs = self._kept(pairs.select("a", "a1", "a2", "b", "b1", "b2"), "pairs")
 
         def sketched(sets: Sets) -> list[pa.Array]:
             return [pa.array(sets.size), pa.array(sketches(sets), pa.binary())]
@@ -364,6 +373,7 @@ class JaccardJoin:
 
         close = self._filtered(pairs, "size long, sketch binary", sketched, near, "close")
         links = self._filtered(close, "tokens binary", packed, linked, label)
+        links = self._vertices(self._vertices(links, "a", "a1", "a2", "va"), "b", "b1", "b2", "vb").select(F.col("va").alias("a"), F.col("vb").alias("b"))
         self._drop("pairs", "close")
         return links
 
@@ -375,9 +385,12 @@ class JaccardJoin:
         """``(id, n1, n2, size, component)`` of every row; ``component(id, n1, n2)`` is the smallest node of its component, null without words or identifier."""
         spark = self.spark
         nodes = self._kept(self.nodes(), "nodes")
-        reps = self._kept(nodes.where("size > 0 AND id IS NOT NULL").groupBy("n1", "n2").agg(F.min("id").alias("rep")), "reps")
+        reps = nodes.where("size > 0 AND id IS NOT NULL").groupBy("n1", "n2").agg(F.min("id").alias("rep"))
+        reps = self._kept(reps, "reps")
+        several = self._kept(reps.groupBy("rep").count().where("count > 1").select("rep"), "several")
+        self._several = None if several.isEmpty() else several
+        reps = self._vertices(reps, "rep", "n1", "n2", "v")
         index = self._kept(self.index(), "index")
-        vertex = F.struct(F.col("rep").alias("id"), "n1", "n2")
 
         # Round one: every node against a few nodes of each of its signatures, drawn by hash.  The signatures of a
         # family of near copies draw different ones, so most of its core is found to be one component.
@@ -394,23 +407,30 @@ class JaccardJoin:
 
         # Round two: the other pairs that share a signature, if they are in different components.  A signature all
         # of whose nodes are in one component has none, however many they are.
-        named = reps.join(labels, vertex == labels["vertex"], "left").select("n1", "n2", F.coalesce("component", vertex).alias("label"))
+        named = reps.join(labels, reps["v"] == labels["vertex"], "left").select("n1", "n2", F.coalesce("component", "v").alias("label"))
         rows = self._kept(index.join(named, ["n1", "n2"]), "labelled")
+        self._drop("index")
         mixed = self._kept(rows.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("sig"), "mixed")
-        rows = self._kept(rows.join(mixed, "sig", "left_semi"), "mixed_rows")
-        self._drop("index", "labelled", "mixed")
+        few = mixed.count() <= MAX_BROADCAST_IDS
+        rows = self._kept(rows.join(F.broadcast(mixed) if few else mixed, "sig", "left_semi"), "mixed_rows")
+        self._drop("labelled", "mixed")
         crossing = rows.alias("a").join(rows.alias("b"), F.expr(f"a.sig = b.sig AND a.label <> b.label AND ({order}) AND {self._alike('a', 'b')}"))
         second = crossing.selectExpr("a.n1 AS a1", "a.n2 AS a2", "b.n1 AS b1", "b.n2 AS b2").distinct().join(first, ["a1", "a2", "b1", "b2"], "left_anti")
         more = self._verified(second, reps, "more")
         self._drop("mixed_rows", "first")
         labels = connected_components(spark, links.union(more)) if not more.isEmpty() else labels
 
-        of_node = reps.join(labels, vertex == labels["vertex"], "left").select("n1", "n2", F.coalesce("component", vertex).alias("component"))
+        of_node = reps.join(labels, reps["v"] == labels["vertex"], "left").select("n1", "n2", "rep", F.coalesce("component", "v").alias("class"))
+        node = F.struct(F.col("rep").alias("id"), "n1", "n2")
+        # The smallest node names a component; a node that is linked with none names itself, whatever their number.
+        names = of_node.join(labels.select(F.col("component").alias("class")).distinct(), "class", "left_semi")
+        names = names.groupBy("class").agg(F.min(node).alias("component"))
+        of_node = of_node.join(names, "class", "left").select("n1", "n2", F.coalesce("component", node).alias("component"))
         alone = F.expr("size = 0 OR id IS NULL")
         out = nodes.where(~alone).join(of_node, ["n1", "n2"]).select("id", "n1", "n2", "size", "component")
         out = out.union(nodes.where(alone).withColumn("component", F.lit(None).cast(out.schema["component"].dataType)))
         out = self._kept(out, "classes")
-        self._drop("nodes", "reps", "links", "more")
+        self._drop("nodes", "reps", "several", "links", "more")
         return out
 
 
