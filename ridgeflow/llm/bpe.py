@@ -44,8 +44,8 @@ from .common import bounded_batches, scratch, slices, table
 LEAF = 12
 #: Symbols on either side of a seam that the first window takes.
 WINDOW = 3
-#: Remembered words, and stretches, in each of two generations, and bytes of each at most.
-CACHE, CACHE_BYTES = 150_000, 48
+#: Remembered words and stretches in each of two generations, and bytes of each at most.
+CACHE, STRETCHES, CACHE_BYTES = 120_000, 60_000, 48
 _NEVER = 1 << 60
 #: Fixed value: the pattern of the pre-tokeniser; a plain word is one or two of its matches.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -182,7 +182,7 @@ class TreeBpe:
         if ids is None:
             ids = [i for i, _ in self._tree(self.symbols(text), 0, len(text))]
             if len(text) <= CACHE_BYTES:
-                if len(young) >= CACHE:
+                if len(young) >= STRETCHES:
                     self._stretches = young, old = {}, young
                 young[text] = ids
         return ids

@@ -408,12 +408,11 @@ class JaccardJoin:
         # Round two: the other pairs that share a signature, if they are in different components.  A signature all
         # of whose nodes are in one component has none, however many they are.
         named = reps.join(labels, reps["v"] == labels["vertex"], "left").select("n1", "n2", F.coalesce("component", "v").alias("label"))
-        rows = self._kept(index.join(named, ["n1", "n2"]), "labelled")
-        self._drop("index")
-        mixed = self._kept(rows.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("sig"), "mixed")
+        mixed = index.select("sig", "n1", "n2").join(named, ["n1", "n2"]).groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+        mixed = self._kept(mixed.where("low <> high").select("sig"), "mixed")
         few = mixed.count() <= MAX_BROADCAST_IDS
-        rows = self._kept(rows.join(F.broadcast(mixed) if few else mixed, "sig", "left_semi"), "mixed_rows")
-        self._drop("labelled", "mixed")
+        rows = self._kept(index.join(F.broadcast(mixed) if few else mixed, "sig", "left_semi").join(named, ["n1", "n2"]), "mixed_rows")
+        self._drop("index", "mixed")
         crossing = rows.alias("a").join(rows.alias("b"), F.expr(f"a.sig = b.sig AND a.label <> b.label AND ({order}) AND {self._alike('a', 'b')}"))
         second = crossing.selectExpr("a.n1 AS a1", "a.n2 AS a2", "b.n1 AS b1", "b.n2 AS b2").distinct().join(first, ["a1", "a2", "b1", "b2"], "left_anti")
         more = self._verified(second, reps, "more")
