@@ -239,9 +239,13 @@ class JaccardJoin:
         return self.source.mapInArrow(run, "id long, n1 long, n2 long, size long")
 
     def _bits(self, cells: DataFrame, size: int) -> np.ndarray:
-        """A table of ``size`` bits in which those of ``cells(cell)`` are set: at most ``size / 64`` rows come to the driver."""
+        """A table of ``size`` bits in which those of ``cells(cell)`` are set: at most ``size / 64`` rows come to the driver.
+
+        They are written first: Spark keeps the shuffle files of a plan that was collected.
+        """
         words = cells.select(F.shiftright("cell", 6).cast("int").alias("word"), F.expr("shiftleft(1L, cast(cell & 63 AS int))").alias("bit"))
-        words = words.groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+        words = self._kept(words.groupBy("word").agg(F.bit_or("bit").alias("bit")), "bits").toArrow()
+        self._drop("bits")
         bits = np.zeros(size // 64, dtype=np.uint64)
         bits[words.column(0).to_numpy()] = words.column(1).to_numpy().view(np.uint64)
         return bits if words.num_rows else no_bits()
@@ -293,10 +297,13 @@ class JaccardJoin:
         costs a row, no hit is missed.
         """
         context, frequent = self.spark.sparkContext, self.frequent_tokens()
-        slim = self._emitted(context.broadcast((frequent, None)), True)
-        common = slim.groupBy("sig").agg(F.min("n1").alias("low"), F.max("n1").alias("high")).where("low <> high")
-        bits = self._bits(common.select(F.col("sig").bitwiseAND(F.lit(SIGNATURE_BITS - 1)).alias("cell")), SIGNATURE_BITS)
-        return self._emitted(context.broadcast((frequent, bits)), False).distinct()
+        shared = self._shared(context.broadcast((frequent, None)))
+        return self._emitted(context.broadcast((frequent, shared)), False).distinct()
+
+    def _shared(self, frequent: Broadcast) -> np.ndarray:
+        """Bits of the signatures that two nodes or more have."""
+        found = self._emitted(frequent, True).groupBy("sig").agg(F.min("n1").alias("low"), F.max("n1").alias("high")).where("low <> high")
+        return self._bits(found.select(F.col("sig").bitwiseAND(F.lit(SIGNATURE_BITS - 1)).alias("cell")), SIGNATURE_BITS)
 
     def _alike(self, a: str, b: str) -> str:
         """Size filter and sketch filter of two aliases as SQL."""
