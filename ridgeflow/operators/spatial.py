@@ -23,7 +23,7 @@ def sample_points(lines: DataFrame, step: float, *keys: str) -> DataFrame:
     return rows.select(*keys, "k", "n", x.cast("double").alias("px"), y.cast("double").alias("py"))
 
 
-def _line_cells(lines: DataFrame, cell: float, margin: float) -> DataFrame:
+def line_cells(lines: DataFrame, cell: float, margin: float) -> DataFrame:
     """Cells of the box around each line and a margin."""
     def span(c: str):
         low = F.floor((F.least(f"{c}0", f"{c}1") - margin) / cell)
@@ -41,7 +41,7 @@ def coverage(a: DataFrame, b: DataFrame, buffer_m: float, step: float, cell: flo
     cell = cell or max(buffer_m, 100.0)
     points = sample_points(a, step, "id", "kind")
     points = points.withColumn("cx", F.floor(F.col("px") / cell)).withColumn("cy", F.floor(F.col("py") / cell))
-    cells = _line_cells(b, cell, buffer_m).select(F.col("id").alias("b"), "kind", "x0", "y0", "x1", "y1", "cx", "cy")
+    cells = line_cells(b, cell, buffer_m).select(F.col("id").alias("b"), "kind", "x0", "y0", "x1", "y1", "cx", "cy")
     near = points.join(cells, ["kind", "cx", "cy"])
     distance = geo.point_segment_distance(F.col("px"), F.col("py"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
     near = near.where(distance <= buffer_m)

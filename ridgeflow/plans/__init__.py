@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("profiles", "detection", "tags", "geometry", "search", "reports", "versions", "comments", "network", "lines")
+MODULES = ("profiles", "detection", "tags", "geometry", "search", "reports", "versions", "comments", "network", "lines", "whole")
 
 
 def load() -> None:
