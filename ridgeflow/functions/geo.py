@@ -200,3 +200,30 @@ def index_prefix_length(entries: int, per_file: int = 2_000, least: int = 2) ->
     while entries > per_file * 16**length:
         length += 1
     return length
+
+
+def box_to_lambert93(west: Column, south: Column, east: Column, north: Column, round_m: float = 1000.0, pieces: int = 22) -> Column:
+    """The plane box around a box of degrees, its sides cut into pieces since they are bent in the plane, rounded outward."""
+    at = F.transform(F.sequence(F.lit(0), F.lit(pieces)), lambda k: k / F.lit(float(pieces)))
+    points = F.concat(
+        F.transform(at, lambda s: lambert93(west + (east - west) * s, south)),
+        F.transform(at, lambda s: lambert93(west + (east - west) * s, north)),
+        F.transform(at, lambda s: lambert93(west, south + (north - south) * s)),
+        F.transform(at, lambda s: lambert93(east, south + (north - south) * s)),
+    )
+    low = lambda axis: F.floor(F.array_min(F.transform(points, lambda p: p[axis])) / round_m) * round_m
+    high = lambda axis: F.ceil(F.array_max(F.transform(points, lambda p: p[axis])) / round_m) * round_m
+    return F.struct(low("x").alias("min_x"), low("y").alias("min_y"), high("x").alias("max_x"), high("y").alias("max_y"))
+
+
+#: Fixed value: the radius in metres of the sphere of web maps.
+_WEB_M = 6_378_137.0
+
+
+def web_mercator(lon: Column, lat: Column) -> Column:
+    """Plane metres of web maps."""
+    return F.struct((F.radians(lon) * _WEB_M).alias("x"), (F.log(F.tan(math.pi / 4 + F.radians(lat) / 2)) * _WEB_M).alias("y"))
+
+
+def web_mercator_inverse(x: Column, y: Column) -> Column:
+    return F.struct(F.degrees(x / _WEB_M).alias("lon"), F.degrees(2 * F.atan(F.exp(y / _WEB_M)) - math.pi / 2).alias("lat"))

@@ -66,3 +66,25 @@ def parse_bbox(value: Column) -> Column:
     box = F.struct(*(F.get(n, F.lit(i)).alias(k) for i, k in enumerate(("min_lon", "min_lat", "max_lon", "max_lat"))))
     fine = (F.size(n) == 4) & (box["min_lon"] < box["max_lon"]) & (box["min_lat"] < box["max_lat"])
     return F.when(fine, box)
+
+
+#: Short names of the months.
+MONTHS = ("janv.", "févr.", "mars", "avr.", "mai", "juin", "juil.", "août", "sept.", "oct.", "nov.", "déc.")
+
+
+def relative_date(when: Column, now: Column) -> Column:
+    """Today, yesterday or days ago in French, from a week on the date; empty if there is none."""
+    days = F.datediff(now, when)
+    written = F.concat_ws(" ", F.dayofmonth(when).cast("string"), F.element_at(F.array(*map(F.lit, MONTHS)), F.month(when)), F.year(when).cast("string"))
+    return (
+        F.when(when.isNull(), "")
+        .when(days <= 0, "aujourd'hui")
+        .when(days == 1, "hier")
+        .when(days < 7, F.concat(F.lit("il y a "), days.cast("string"), F.lit(" jours")))
+        .otherwise(written)
+    )
+
+
+def iso_utc(when: Column) -> Column:
+    """A timestamp as ISO 8601 text in the session's zone, to the second."""
+    return F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss'Z'")

@@ -12,20 +12,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def kept_table(df: DataFrame, label: str) -> DataFrame:
-    """Write to the folder of ``spark.checkpoint.dir`` and read again; on a local master it may be unset."""
-    spark = df.sparkSession
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A fresh path in the folder of ``spark.checkpoint.dir``; on a local master that may be unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="ridgeflow-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root}/{label}-{uuid.uuid4().hex}"
+    return f"{root}/{label}-{uuid.uuid4().hex}"
+
+
+def kept_table(df: DataFrame, label: str) -> DataFrame:
+    """Write to a scratch path and read again."""
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.parquet(path)
 
