@@ -9,6 +9,13 @@ round changes nothing.  Peeling takes a round for each layer of leaves.
 
 from __future__ import annotations
 
+import heapq
+import math
+from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,43 +68,131 @@ def two_core(edges: DataFrame) -> DataFrame:
         edges = kept_table(edges.join(leaves.withColumnRenamed("node_id", "end_node"), "end_node", "left_anti").select("e", "start_node", "end_node"), "core")
 
 
+def _in_billionths(turn: float) -> int:
+    """A turn rounded half up to nine decimals, in units of the last."""
+    scaled = turn * 1e9
+    whole = math.floor(scaled)
+    if abs(scaled - whole - 0.5) > 1e-3:
+        return round(scaled)
+    return int(Decimal(repr(turn)).scaleb(9).to_integral_value(ROUND_HALF_UP))
+
+
+def best_first_ends(halves: np.ndarray, bearings: np.ndarray, most: float) -> list[tuple[int, int]]:
+    """Best-first pairs of the ends of one node, by rounded deflection and half-edge numbers.
+
+    Ends of one bearing are a queue by number.  A queue looks for its partner
+    from the opposite bearing in both directions, where deflections grow; of
+    equal ones the smallest number wins.  What a queue found earlier bounds
+    what it can find later, so a heap of these gives the best pair of all, and
+    the ends are never compared pair by pair.
+    """
+    angles, of = np.unique(np.mod(bearings, 360.0), return_inverse=True)
+    order = np.lexsort((halves, of))
+    n = len(angles)
+    first = np.searchsorted(of[order], np.arange(n + 1)).tolist()
+    queue, head, stop = halves[order].tolist(), first[:-1], first[1:]
+    round_thrice = np.concatenate((angles - 360.0, angles, angles + 360.0))
+    opposite = np.searchsorted(round_thrice, angles + 180.0).tolist()
+    angle = angles.tolist()
+    # The next queue with ends at or after a place, and at or before it.
+    after, before = list(range(3 * n + 1)), list(range(-1, 3 * n))
+
+    def found(links: list[int], at: int, shift: int) -> int:
+        root = at
+        while links[root + shift] != root:
+            root = links[root + shift]
+        while links[at + shift] != root:
+            links[at + shift], at = root, links[at + shift]
+        return root
+
+    def best(g: int, up: bool) -> tuple[int, int, int, int, bool] | None:
+        x = queue[head[g]]
+        links, shift, step = (after, 0, 1) if up else (before, 1, -1)
+        at, key, y = opposite[g] - (not up), None, None
+        while True:
+            at = found(links, at, shift)
+            if not 0 <= at < 3 * n or abs(round_thrice[at] - angle[g] - 180.0) > 180.0:
+                break
+            h = at % n
+            mine = head[h] + (h == g)
+            if mine < stop[h]:
+                z = queue[mine]
+                one, two = (angle[g], angle[h]) if x < z else (angle[h], angle[g])
+                turn = abs(180 - abs((one - two + 180) % 360.0 - 180))
+                if turn > most:
+                    break
+                turn = _in_billionths(turn)
+                if key is not None and turn != key:
+                    break
+                key, y = turn, z if y is None else min(y, z)
+            at += step
+        return None if key is None else (key, min(x, y), max(x, y), g, up)
+
+    heap = [e for g in range(n) for up in (True, False) if (e := best(g, up))]
+    heapq.heapify(heap)
+    home = dict(zip(queue, of[order].tolist(), strict=True))
+    taken = []
+    while heap:
+        _, p, q, g, up = heapq.heappop(heap)
+        if p in home and q in home:
+            taken.append((p, q))
+            for end in (p, q):
+                h = home.pop(end)
+                head[h] += 1
+                if head[h] == stop[h]:
+                    for at in (h, h + n, h + 2 * n):
+                        after[at], before[at + 1] = at + 1, at - 1
+        if head[g] < stop[g] and (again := best(g, up)):
+            heapq.heappush(heap, again)
+    return taken
+
+
+def _paired(batches: Iterator[pa.RecordBatch], most: float) -> Iterator[pa.RecordBatch]:
+    """``(a, b)`` of the ends ``(half, tail, bearing)`` of whole nodes, which follow one another."""
+    held: list[pa.RecordBatch] = []
+
+    def ends_of(rows: pa.Table) -> pa.RecordBatch:
+        tails = rows.column("tail").to_numpy()
+        edge = np.flatnonzero(np.concatenate(([True], tails[1:] != tails[:-1], [True])))
+        half, bearing = rows.column("half").to_numpy(), rows.column("bearing").to_numpy()
+        size = np.diff(edge)
+        two = edge[:-1][size == 2]
+        a, b = np.minimum(half[two], half[two + 1]), np.maximum(half[two], half[two + 1])
+        pairs = [np.stack((a, b), axis=1)[a < b]]
+        for i in np.flatnonzero(size > 2):
+            own = slice(edge[i], edge[i + 1])
+            known = np.isfinite(bearing[own])
+            pairs.append(np.array(best_first_ends(half[own][known], bearing[own][known], most), dtype=np.int64).reshape(-1, 2))
+        every = np.concatenate(pairs)
+        return pa.RecordBatch.from_arrays([pa.array(every[:, 0].copy(), pa.int64()), pa.array(every[:, 1].copy(), pa.int64())], ["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        last = batch.column(1)[-1]
+        if held[0].column(1)[0] == last:
+            continue
+        rows = pa.Table.from_batches(held)
+        begin = rows.num_rows - batch.num_rows + int(np.argmax(batch.column(1).to_numpy(zero_copy_only=False) == last.as_py()))
+        yield ends_of(rows.slice(0, begin))
+        held = rows.slice(begin).to_batches()
+    if held:
+        yield ends_of(pa.Table.from_batches(held))
+
+
 def pair_ends(ends: DataFrame, barriers: DataFrame, max_deflection: float = 35.0) -> DataFrame:
-    """``(a, b)``: half-edges that go straight on at their tail node; ends are ``(half, tail, bearing)``.
+    """``(a, b)``: half-edges that go straight on at their tail node; ends are ``(half, tail, bearing)``, one row a half-edge.
 
     No pair at barriers and dead ends; the two ends of a degree-two node
     always pair; elsewhere best first by deflection, then half-edge numbers.
-    The pairs of a node are disjoint from those of others, so all nodes are
-    matched in the same rounds.
+    The ends of a node are matched in one task without its pairs, so a node of
+    n ends takes about n log n steps.
     """
-    degree = F.count("*").over(Window.partitionBy("tail"))
-    rows = ends.withColumn("degree", degree).where("degree >= 2")
-    rows = rows.join(barriers.select(F.col("node_id").alias("tail")), "tail", "left_anti")
-    both = rows.alias("x").join(rows.alias("y"), (F.col("x.tail") == F.col("y.tail")) & (F.col("x.half") < F.col("y.half")))
-    turn = F.abs(180 - F.abs(F.pmod(F.col("x.bearing") - F.col("y.bearing") + 180, F.lit(360.0)) - 180))
-    both = both.select(F.col("x.half").alias("p"), F.col("y.half").alias("q"), F.col("x.degree").alias("degree"), turn.alias("turn"))
-    sure = both.where("degree = 2").select("p", "q")
-    rank = F.struct(F.round("turn", 9).alias("t"), "p", "q")
-    # Both ends of a pair come from one set, so a pair is entered from both sides and taken once.
-    open_pairs = both.where((F.col("degree") > 2) & (F.col("turn") <= max_deflection))
-    one = open_pairs.select(F.col("p").alias("a"), F.col("q").alias("b"), rank.alias("rank"))
-    taken = _mutual_best(one)
-    return sure.toDF("a", "b").union(taken)
-
-
-def _mutual_best(pairs: DataFrame) -> DataFrame:
-    """Best-first matching within one set of ends."""
-    open_pairs = kept_table(pairs, "ends")
-    taken = open_pairs.limit(0).select("a", "b")
-    while not open_pairs.isEmpty():
-        ends = open_pairs.select(F.col("a").alias("v"), "rank").union(open_pairs.select("b", "rank"))
-        best = ends.groupBy("v").agg(F.min("rank").alias("best"))
-        rows = open_pairs.join(best.toDF("a", "x"), "a").join(best.toDF("b", "y"), "b")
-        found = kept_table(rows.where("rank = x AND rank = y").select("a", "b"), "paired")
-        taken = taken.union(found)
-        used = found.select(F.col("a").alias("v")).union(found.select("b"))
-        open_pairs = open_pairs.join(used.toDF("a"), "a", "left_anti").join(used.toDF("b"), "b", "left_anti")
-        open_pairs = kept_table(open_pairs.select("a", "b", "rank"), "ends")
-    return taken
+    rows = ends.where("half IS NOT NULL AND tail IS NOT NULL").join(barriers.select(F.col("node_id").alias("tail")), "tail", "left_anti")
+    rows = rows.select(F.col("half").cast("long").alias("half"), "tail", F.col("bearing").cast("double").alias("bearing"))
+    rows = rows.repartition("tail").sortWithinPartitions("tail")
+    return rows.mapInArrow(lambda batches: _paired(batches, max_deflection), "a long, b long")
 
 
 def _ranked(step: DataFrame) -> DataFrame:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import random
+from decimal import ROUND_HALF_UP, Decimal
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,6 +147,35 @@ def test_pair_ends_is_the_sequential_greedy(spark):
     assert sorted(tuple(r) for r in network.pair_ends(df, barriers).collect()) == sorted(taken)
 
 
+def test_pair_ends_of_a_crowded_node(spark):
+    """A node of 60,000 ends: its 1.8 billion pairs are never made."""
+    half = F.col("id")
+    ends = spark.range(60_000).select(half.alias("half"), (half * 0).alias("tail"), F.when(half % 2 == 0, 0.0).otherwise(180.0).alias("bearing"))
+    pairs = network.pair_ends(ends, spark.createDataFrame([(3,)], "node_id bigint"))
+    assert pairs.where("a % 2 = 0 AND b = a + 1").count() == pairs.count() == 30_000
+
+
+def test_best_first_ends_is_the_sequential_greedy():
+    rng = random.Random(8)
+    kinds = [lambda: float(rng.randrange(0, 360, 30)), lambda: rng.random() * 360, lambda: rng.choice([0, 90, 180, 270]) + rng.random() * 2e-9]
+    for trial in range(300):
+        ends = [(h, kinds[trial % 3]()) for h in rng.sample(range(200), rng.randrange(1, 30))]
+        most = rng.choice([35.0, 180.0, -1.0, 0.0])
+        options = []
+        for h, b1 in ends:
+            for k, b2 in ends:
+                turn = abs(180 - abs((b1 - b2 + 180) % 360 - 180))
+                if h < k and turn <= most:
+                    options.append((Decimal(repr(turn)).quantize(Decimal("1e-9"), ROUND_HALF_UP), h, k))
+        used, taken = set(), []
+        for _, h, k in sorted(options):
+            if not {h, k} & used:
+                used |= {h, k}
+                taken.append((h, k))
+        found = network.best_first_ends(np.array([h for h, _ in ends]), np.array([b for _, b in ends]), most)
+        assert found == taken
+
+
 def test_faces_of_a_square_with_a_diagonal(spark):
     import math
 
