@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .suppress import kept_table
+from .suppress import kept_table, replaced
 
 
 def node_usage(nodes: DataFrame) -> DataFrame:
@@ -211,7 +211,7 @@ def _ranked(step: DataFrame) -> DataFrame:
         both = state.join(ahead, "end").select(
             "h", F.col("end2").alias("end"), (F.col("dist") + F.col("dist2")).alias("dist"), low.alias("low"), F.col("ends2").alias("ends"), changed.alias("changed")
         )
-        both = kept_table(both, "list")
+        both = replaced(both, "list", state)
         state, moved = both.drop("changed"), not both.where("changed").isEmpty()
     return state
 
@@ -256,6 +256,6 @@ def faces(half: DataFrame) -> DataFrame:
         ahead = state.select(F.col("half").alias("next"), F.col("next").alias("next2"), F.col("face").alias("face2"))
         low = F.least("face", "face2")
         both = state.join(ahead, "next").select("half", F.col("next2").alias("next"), low.alias("face"), (low != F.col("face")).alias("changed"))
-        both = kept_table(both, "faces")
+        both = replaced(both, "faces", state)
         state, moved = both.drop("changed"), not both.where("changed").isEmpty()
     return state.select("half", "face")

@@ -35,6 +35,16 @@ def kept_table(df: DataFrame, label: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def replaced(df: DataFrame, label: str, old: DataFrame) -> DataFrame:
+    """``kept_table`` of a round, after which the table ``old`` of the round before is deleted."""
+    new = kept_table(df, label)
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for folder in {file.rsplit("/", 1)[0] for file in old.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+    return new
+
+
 def greedy_keep(rows: DataFrame, conflicts: DataFrame) -> DataFrame:
     """The identifiers of ``rows(id)`` that a greedy pass keeps.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 from decimal import ROUND_HALF_UP, Decimal
 
@@ -124,6 +125,17 @@ def test_chains_are_the_sequential_walk(spark, seed):
     assert got == expected
 
 
+def test_rounds_of_a_chain_leave_one_table(spark):
+    """A line of 600 edges takes ten rounds; only the last one's table stays."""
+    root = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    lists = lambda: {x for x in os.listdir(root) if x.startswith("list-")}
+    before = lists()
+    e = F.col("id")
+    chain = network.chains(spark.range(600).select(e.alias("e")), spark.range(599).select((e * 2 + 1).alias("a"), (e * 2 + 2).alias("b")))
+    assert [(r.e, r.stroke, r.pos) for r in chain.orderBy("e").collect()] == [(i, 0, i) for i in range(600)]
+    assert len(lists() - before) == 1
+
+
 def test_pair_ends_is_the_sequential_greedy(spark):
     rng = random.Random(5)
     ends = [(h, h % 5, float(rng.randrange(0, 360, 5))) for h in range(30)]
