@@ -28,7 +28,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Callable, Iterator
+import struct
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -44,8 +45,8 @@ from .common import bounded_batches, scratch, slices, table
 LEAF = 12
 #: Symbols on either side of a seam that the first window takes.
 WINDOW = 3
-#: Remembered words and stretches in each of two generations, and bytes of each at most.
-CACHE, STRETCHES, CACHE_BYTES = 120_000, 60_000, 48
+#: Remembered words in each of two generations, and bytes of each at most.
+CACHE, CACHE_BYTES = 180_000, 48
 _NEVER = 1 << 60
 #: Fixed value: the pattern of the pre-tokeniser; a plain word is one or two of its matches.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -92,28 +93,37 @@ class TreeBpe:
         self.tokens = {i: x for x, i in library.get_vocab(with_added_tokens=True).items()}
         self._normalize = library.normalizer.normalize_str
         self._split = library.pre_tokenizer.pre_tokenize_str
-        self._merge_rank: dict[tuple[str, str], int] = {tuple(x): i for i, x in enumerate(model["merges"])}
-        self._young: dict[bytes, Word] = {}
-        self._old: dict[bytes, Word] = {}
-        self._stretches: tuple[dict[str, list[int]], dict[str, list[int]]] = ({}, {})
+        # Merges by the numbers of both sides, the token that each makes, and symbols of each token (with the suffix).
+        self._wide = max(self._vocab.values()) + 1
+        self._rank: dict[int, int] = {self._vocab[a] * self._wide + self._vocab[b]: i for i, (a, b) in enumerate(model["merges"])}
+        self._made = [self._vocab[a + b] for a, b in model["merges"]]
+        self._size = {i: len(x) for x, i in self._vocab.items()}
+        self._young: dict[bytes, bytes] = {}  #: identifiers of words, little-endian 32-bit
+        self._old: dict[bytes, bytes] = {}
 
     # -- one stretch that nothing splits
 
-    def _leaf(self, symbols: list[str]) -> list[Token]:
-        """Tokens of symbols, merging the lowest rank first, the leftmost on ties."""
-        parts, rank = list(symbols), self._merge_rank.get
-        ranks = [rank(x, _NEVER) for x in zip(parts, parts[1:], strict=False)]
+    def _merged(self, symbols: list[str] | str) -> list[int]:
+        """Identifiers of symbols, merging the lowest rank first, the leftmost on ties."""
+        vocab, rank, wide = self._vocab, self._rank.get, self._wide
+        parts = [vocab[x] for x in symbols]
+        ranks = [rank(x * wide + y, _NEVER) for x, y in zip(parts, parts[1:], strict=False)]
         while ranks and (best := min(ranks)) != _NEVER:
             at = ranks.index(best)
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-            del ranks[at]
+            parts[at] = new = self._made[best]
+            del parts[at + 1], ranks[at]
             if at:
-                ranks[at - 1] = rank((parts[at - 1], parts[at]), _NEVER)
+                ranks[at - 1] = rank(parts[at - 1] * wide + new, _NEVER)
             if at < len(ranks):
-                ranks[at] = rank((parts[at], parts[at + 1]), _NEVER)
-        sizes = list(map(len, parts))
+                ranks[at] = rank(new * wide + parts[at + 1], _NEVER)
+        return parts
+
+    def _leaf(self, symbols: list[str]) -> list[Token]:
+        """Tokens of symbols that are merged at once."""
+        parts = self._merged(symbols)
+        sizes = [self._size[p] for p in parts]
         sizes[-1] += len(symbols) - sum(sizes)  # less the suffix
-        return [(self._vocab[p], n) for p, n in zip(parts, sizes, strict=True)]
+        return list(zip(parts, sizes, strict=True))
 
     def _join(self, symbols: list[str], start: int, middle: int, stop: int, left: list, right: list) -> list:
         """The tokens of symbols[start:stop], of which the two sides are known."""
@@ -166,60 +176,69 @@ class TreeBpe:
                 for part, _ in self._split(piece.lower() if piece.isascii() else self._normalize(piece)):
                     yield part
 
-    def _word(self, word: bytes) -> Word:
+    def _word(self, word: bytes) -> bytes:
+        """Identifiers of a word that isn't remembered."""
         plain = _PLAIN.fullmatch(word)
         if plain and not (plain[2] and any(m in word for m in self._marks)):
-            ids = self._stretch(plain[1].decode().lower())
-            return self.packed(ids + self._stretch(plain[2].decode()) if plain[2] else ids)
-        ids = []
-        for part in self.stretches(word):
-            ids += [part] if isinstance(part, int) else self._stretch(part)
-        return self.packed(ids)
-
-    def _stretch(self, text: str) -> list[int]:
-        young, old = self._stretches
-        ids = young.get(text) or old.get(text)
+            stem = plain[1].lower()
+            if plain[2]:
+                return self._known(stem) + self._known(plain[2])
+            return self._known(stem) if stem != word else self._stretch(word.decode())
+        return b"".join(part.to_bytes(4, "little") if isinstance(part, int) else self._stretch(part) for part in self.stretches(word))
+
+    def _known(self, stretch: bytes) -> bytes:
+        """Identifiers of an ASCII stretch, which is also a word of its own."""
+        ids = self._young.get(stretch) or self._old.get(stretch)
         if ids is None:
-            ids = [i for i, _ in self._tree(self.symbols(text), 0, len(text))]
-            if len(text) <= CACHE_BYTES:
-                if len(young) >= STRETCHES:
-                    self._stretches = young, old = {}, young
-                young[text] = ids
+            ids = self._stretch(stretch.decode())
+            self._remember(stretch, ids)
         return ids
 
-    def packed(self, ids: list[int]) -> Word:
-        return len(ids), b"".join(i.to_bytes(4, "little") for i in ids), self.decode(ids)
+    def _stretch(self, text: str) -> bytes:
+        symbols = self.symbols(text)
+        ids = self._merged(symbols) if len(symbols) <= LEAF else [i for i, _ in self._tree(symbols, 0, len(symbols))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _remember(self, word: bytes, ids: bytes) -> None:
+        if len(word) <= CACHE_BYTES:
+            if len(self._young) >= CACHE:
+                self._young, self._old = {}, self._young
+            self._young[word] = ids
 
-    def words(self, text: str | None, known: list[bytes] | None = None, long_word: int = 0) -> list[Word]:
-        """Each blank-separated word encoded; ``known`` has the identifiers of those of ``long_word`` bytes or more."""
+    def packed(self, ids: bytes) -> Word:
+        return len(ids) // 4, ids, self.decode(np.frombuffer(ids, dtype="<u4").tolist())
+
+    def word_ids(self, text: str | None, known: list[bytes] | None = None, long_word: int = 0) -> list[bytes]:
+        """Identifiers of each blank-separated word; ``known`` has those of words of ``long_word`` bytes or more."""
         found, young, old, rest = [], self._young, self._old, iter(known or ())
         for word in (text or "").encode().split():
             x = young.get(word)
             if x is None:
                 if known is not None and len(word) >= long_word:
-                    found.append(self.packed(np.frombuffer(next(rest), dtype="<u4").tolist()))
+                    found.append(next(rest))
                     continue
                 x = old.get(word)
                 if x is None:
                     x = self._word(word)
-                if len(word) <= CACHE_BYTES:
-                    if len(young) >= CACHE:
-                        self._young, self._old = {}, young
-                        young, old = self._young, self._old
-                    young[word] = x
+                self._remember(word, x)
+                young, old = self._young, self._old
             found.append(x)
         return found
 
+    def words(self, text: str | None) -> list[Word]:
+        """Each blank-separated word encoded."""
+        return [self.packed(x) for x in self.word_ids(text)]
+
     def forget(self) -> None:
         """Give back what was remembered: a worker process outlives its task."""
-        self._young, self._old, self._stretches = {}, {}, ({}, {})
+        self._young, self._old = {}, {}
 
     def encode(self, text: str | None) -> list[int]:
-        return np.frombuffer(b"".join(x[1] for x in self.words(text)), dtype="<u4").tolist()
+        return np.frombuffer(b"".join(self.word_ids(text)), dtype="<u4").tolist()
 
     def decode(self, ids: list[int]) -> str:
         """As a file without decoder has it: the tokens, special ones included, with blanks between."""
-        return " ".join(self.tokens[i] for i in ids)
+        return " ".join(map(self.tokens.__getitem__, ids))
 
 
 @lru_cache(maxsize=2)
@@ -304,8 +323,8 @@ def _rows(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
-def _mapped(df: DataFrame, where: int, path: str, pieces: Pieces, more: str, make: Callable[[list[list[Word]]], list[pa.Array]]) -> DataFrame:
-    """``df`` and the columns ``more`` that ``make`` gives for the encoded words of each text."""
+def _mapped(df: DataFrame, where: int, path: str, pieces: Pieces, more: str, make: Callable[[TreeBpe, list[bytes]], list[pa.Array]]) -> DataFrame:
+    """``df`` and the columns ``more`` that ``make`` gives for the identifiers of each text."""
     names = [f"c{i}" for i in range(len(df.columns))]
     extra = T._parse_datatype_string(more).fields
     source = _with_long_words(df.toDF(*names), where, path, pieces)
@@ -314,32 +333,37 @@ def _mapped(df: DataFrame, where: int, path: str, pieces: Pieces, more: str, mak
         own = coder(path)
         for batch in slices(batches, f"c{where}"):
             known = batch.column(len(names)).to_pylist()
-            found = [own.words(x, k, pieces.word) for x, k in zip(batch.column(where).to_pylist(), known, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *make(found)], [*names, *(f.name for f in extra)])
+            found = [b"".join(own.word_ids(x, k, pieces.word)) for x, k in zip(batch.column(where).to_pylist(), known, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *make(own, found)], [*names, *(f.name for f in extra)])
         own.forget()
 
     fields = [T.StructField(n, f.dataType) for n, f in zip(names, df.schema.fields, strict=True)]
     return bounded_batches(source).mapInArrow(run, T.StructType([*fields, *extra]))
 
 
-def _counts(found: list[list[Word]]) -> pa.Array:
-    return pa.array([sum(x[0] for x in words) for words in found], pa.int64())
+def _counts(found: list[bytes]) -> pa.Array:
+    return pa.array([len(x) // 4 for x in found], pa.int64())
+
+
+def _lists(found: list[bytes]) -> pa.ListArray:
+    starts = np.concatenate(([0], np.cumsum([len(x) // 4 for x in found]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(starts), pa.array(np.frombuffer(b"".join(found), dtype="<u4").astype(np.int32)))
 
 
-def _decoded(found: list[list[Word]]) -> list[str]:
-    return [" ".join(x[2] for x in words if x[0]) for words in found]
+def _decoded(own: TreeBpe, found: list[bytes]) -> Iterator[str]:
+    """The decoded form of each text."""
+    return (own.decode(np.frombuffer(x, dtype="<u4").tolist()) for x in found)
 
 
-def _sums(values: list[bytes]) -> pa.Array:
+def _sums(values: Iterable[bytes]) -> pa.Array:
     return pa.array([hashlib.sha256(x).hexdigest() for x in values], pa.string())
 
 
 def encode(df: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", pieces: Pieces = Pieces()) -> DataFrame:
     """Identifier, ``n_tokens``, ``ids`` (little-endian 32-bit, binary) and ``decoded`` for each row."""
 
-    def make(found: list[list[Word]]) -> list[pa.Array]:
-        ids = pa.array([b"".join(x[1] for x in words) for words in found], pa.binary())
-        return [_counts(found), ids, pa.array(_decoded(found), pa.string())]
+    def make(own: TreeBpe, found: list[bytes]) -> list[pa.Array]:
+        return [_counts(found), pa.array(found, pa.binary()), pa.array(_decoded(own, found), pa.string())]
 
     out = _mapped(df.select(df[id_column], df[text_column]), 1, path, pieces, "n_tokens long, ids binary, decoded string", make)
     return out.drop("c1").withColumnRenamed("c0", id_column)
@@ -348,8 +372,8 @@ def encode(df: DataFrame, path: str, id_column: str = "doc_id", text_column: str
 def digest(df: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", pieces: Pieces = Pieces()) -> DataFrame:
     """As ``encode``, with SHA-256 of identifiers and decoded text in place of both."""
 
-    def make(found: list[list[Word]]) -> list[pa.Array]:
-        return [_counts(found), _sums([b"".join(x[1] for x in words) for words in found]), _sums([x.encode() for x in _decoded(found)])]
+    def make(own: TreeBpe, found: list[bytes]) -> list[pa.Array]:
+        return [_counts(found), _sums(found), _sums(x.encode() for x in _decoded(own, found))]
 
     out = _mapped(df.select(df[id_column], df[text_column]), 1, path, pieces, "n_tokens long, ids_sha256 string, decoded_sha256 string", make)
     return out.drop("c1").withColumnRenamed("c0", id_column)
@@ -365,11 +389,8 @@ def encode_onto(df: DataFrame, path: str, text_column: str = "text", pieces: Pie
             name += "_input"
         kept.append(name)
 
-    def make(found: list[list[Word]]) -> list[pa.Array]:
-        counts = _counts(found)
-        flat = np.frombuffer(b"".join(x[1] for words in found for x in words), dtype="<u4").astype(np.int32)
-        starts = pa.array(np.concatenate(([0], np.cumsum(counts.to_numpy()))).astype(np.int32))
-        return [counts, pa.ListArray.from_arrays(starts, pa.array(flat)), _sums([x.encode() for x in _decoded(found)])]
+    def make(own: TreeBpe, found: list[bytes]) -> list[pa.Array]:
+        return [_counts(found), _lists(found), _sums(x.encode() for x in _decoded(own, found))]
 
     return _mapped(df, df.columns.index(text_column), path, pieces, more, make).toDF(*kept, *results)
 

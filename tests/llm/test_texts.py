@@ -109,6 +109,19 @@ def test_bpe_is_the_library(spark, odd):
     assert [c for c in taken.columns if c.startswith("n_tokens")] == ["n_tokens_input", "n_tokens_input_input", "n_tokens"]
 
 
+def test_bpe_remembers_identifiers_once(monkeypatch):
+    """A word is remembered as its identifiers alone, its stem once whatever follows it, and few words are enough."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own = bpe.TreeBpe(path)
+    text = "Tezuen. tezuen tezuen, TEZUEN... <|endoftext|> a'b é1 "
+    ids = own.word_ids(text * 2)
+    assert own._young[b"tezuen"] == ids[1] == ids[0][: len(ids[1])] and all(type(x) is bytes for x in own._young.values())
+    monkeypatch.setattr(bpe, "CACHE", 2)
+    few = bpe.TreeBpe(path)
+    assert few.word_ids(text * 2) == ids and len(few._young) + len(few._old) <= 4
+    assert few.words(text)[0] == (len(ids[0]) // 4, ids[0], own.decode(own.encode("Tezuen.")))
+
+
 def test_bpe_tree_joins():
     """Whole stretches through leaves and joins give what one leaf gives."""
     own = bpe.TreeBpe(public_tokenizers.path("word_bpe_49k.json"))
