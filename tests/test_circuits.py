@@ -8,8 +8,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from ridgeflow.functions import geo
 from ridgeflow.functions import text as X
 from ridgeflow.operators import circuits as C
+from ridgeflow.operators import spatial
 from ridgeflow.sinks.profiles import markdown_table, write_profiles
 from ridgeflow.sources import answers as A
 from ridgeflow.sources.profiles import read_profiles
@@ -104,6 +106,32 @@ def test_overlaps_of_any_shapes(spark):
     assert found.keys() == expected.keys() and all(found[k] == pytest.approx(v) for k, v in expected.items())
 
 
+def test_smallest_containing_of_any_shapes(spark):
+    rng = random.Random(6)
+    some = [square(rng.randrange(30), rng.randrange(30), rng.randrange(1, 30), rng.randrange(1, 30)) for _ in range(40)]
+    some += [[(float(x), float(y)) for x, y in ((a, b), (a + 9, b + 1), (a + 3, b + 8), (a, b))] for a, b in ((1, 1), (9, 4), (12, 12))] + some[:3]
+    where = [(i, rng.randrange(40) + 0.25, rng.randrange(40) + 0.75) for i in range(300)]
+    rings = spark.createDataFrame(list(enumerate(some)), f"ring_id long, ring {_RING}").withColumn("area", geo.ring_area(F.col("ring")))
+    found = {r.id: r.ring_id for r in spatial.smallest_containing(spark.createDataFrame(where, "id long, px double, py double"), rings, 10.0).collect()}
+    size = {r.ring_id: (r.area, r.ring_id) for r in rings.collect()}
+
+    def inside(x, y, ring):
+        return sum((a[1] > y) != (b[1] > y) and x < a[0] + (y - a[1]) * (b[0] - a[0]) / (b[1] - a[1]) for a, b in zip(ring, ring[1:])) % 2 == 1
+
+    held = {i: [size[k] for k, ring in enumerate(some) if inside(x, y, ring)] for i, x, y in where}
+    assert found == {i: min(v)[1] for i, v in held.items() if v}
+
+
+def test_smallest_containing_of_nested_rings(spark):
+    """30,000 points in 30,000 nested squares: the 900 million pairs are never made."""
+    r = F.col("id") / 1000.0 + 100.0
+    corner = lambda a, b: F.struct((r * a).alias("x"), (r * b).alias("y"))
+    rings = spark.range(30_000).select(F.col("id").alias("ring_id"), F.array(*(corner(a, b) for a, b in ((-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1)))).alias("ring")).withColumn("area", geo.ring_area(F.col("ring")))
+    points = spark.range(30_000).select("id", (F.col("id") % 90 + 0.5).alias("px"), (F.col("id") % 70 + 0.5).alias("py"))
+    found = spatial.smallest_containing(points, rings, 100.0)
+    assert found.where("ring_id = 0").count() == found.count() == 30_000
+
+
 def test_circuits_along_removed_stretches_go(spark):
     parts = spark.createDataFrame([("a", 0, 7, 0.0, 40.0), ("a", 1, 8, 40.0, 60.0), ("b", 0, 7, 0.0, 0.0)], "stroke_id string, part int, way_id long, start_m double, end_m double")
     gone = C.removed_stretches(parts, spark.createDataFrame([(8,)], "way_id long")).collect()
