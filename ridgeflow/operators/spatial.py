@@ -1,26 +1,23 @@
 """Distance and containment joins by grid cells.
 
-Lines become sample points, points go to square cells as wide as the buffer,
-and cells of neighbours are joined by equality: a hash join whatever the size,
-never a nested loop.
+Points, lines and rings go to the square cells that they touch, and cells are
+joined by equality: a hash join whatever the size, never a nested loop.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import geo
 
-
-def sample_points(lines: DataFrame, step: float, *keys: str) -> DataFrame:
-    """``(keys, k, n, px, py)``: points every ``step`` along straight lines ``(x0, y0, x1, y1)``, ends included."""
-    length = geo.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
-    n = F.greatest(F.lit(1), F.ceil(length / step - 1e-9)).cast("int")
-    rows = lines.withColumn("n", n).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n"))))
-    share = F.col("k") / F.col("n")
-    x, y = (F.col(f"{c}0") + (F.col(f"{c}1") - F.col(f"{c}0")) * share for c in "xy")
-    return rows.select(*keys, "k", "n", x.cast("double").alias("px"), y.cast("double").alias("py"))
+#: Sample points that are compared at once.
+POINTS = 200_000
 
 
 def line_cells(lines: DataFrame, cell: float, margin: float) -> DataFrame:
@@ -33,20 +30,77 @@ def line_cells(lines: DataFrame, cell: float, margin: float) -> DataFrame:
     return lines.withColumn("cx", F.explode(span("x"))).withColumn("cy", F.explode(span("y")))
 
 
+def met(left: DataFrame, right: DataFrame, cell: float, *keys: str) -> DataFrame:
+    """Pairs of rows with equal keys whose boxes ``(x0, x1, y0, y1)`` meet, each from the one cell where both begin; columns get ``a_`` and ``b_``."""
+
+    def cells(df: DataFrame, side: str) -> DataFrame:
+        spans = {c: F.sequence(F.floor(F.col(f"{c}0") / cell), F.floor(F.col(f"{c}1") / cell)) for c in "xy"}
+        rows = df.withColumn("cx", F.explode(spans["x"])).withColumn("cy", F.explode(spans["y"]))
+        return rows.select(*keys, "cx", "cy", *(F.col(c).alias(f"{side}_{c}") for c in df.columns if c not in keys))
+
+    both = cells(left, "a").join(cells(right, "b"), [*keys, "cx", "cy"])
+    for c in "xy":
+        both = both.where(F.col(f"c{c}") == F.floor(F.greatest(f"a_{c}0", f"b_{c}0") / cell)).where(f"a_{c}0 <= b_{c}1 AND b_{c}0 <= a_{c}1")
+    return both
+
+
+def _near_points(n: np.ndarray, a: list[np.ndarray], b: list[np.ndarray], most: float) -> np.ndarray:
+    """For each pair of straight lines ``x0 y0 x1 y1`` how many of the ``n + 1`` points along the first lie near the second."""
+    of = np.repeat(np.arange(len(n)), n + 1)
+    k = np.arange(len(of)) - np.repeat(np.cumsum(n + 1) - (n + 1), n + 1)
+    share = k / n[of]
+    px, py = (a[c][of] + (a[c + 2] - a[c])[of] * share for c in (0, 1))
+    x, y, dx, dy = (v[of] for v in (b[0], b[1], b[2] - b[0], b[3] - b[1]))
+    square = dx * dx + dy * dy
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = np.where(square > 0, np.clip(((px - x) * dx + (py - y) * dy) / square, 0.0, 1.0), 0.0)
+    dx, dy = px - x - t * dx, py - y - t * dy
+    return np.bincount(of[np.sqrt(dx * dx + dy * dy) <= most], minlength=len(n))
+
+
 def coverage(a: DataFrame, b: DataFrame, buffer_m: float, step: float, cell: float | None = None) -> DataFrame:
     """``(a, b, share)``: the share of sample points of each line of ``a`` within the buffer of a line of ``b`` of the same kind.
 
-    Only pairs with a share above 0 are returned.  Both are ``(id, kind, x0, y0, x1, y1)``.
+    Only pairs with a share above 0 are returned.  Both are ``(id, kind, x0, y0, x1, y1)``, one row a line.
+    Equal lines are compared once, by the smallest identifier; a pair comes from one cell, so no point or pair is shuffled.
     """
-    cell = cell or max(buffer_m, 100.0)
-    points = sample_points(a, step, "id", "kind")
-    points = points.withColumn("cx", F.floor(F.col("px") / cell)).withColumn("cy", F.floor(F.col("py") / cell))
-    cells = line_cells(b, cell, buffer_m).select(F.col("id").alias("b"), "kind", "x0", "y0", "x1", "y1", "cx", "cy")
-    near = points.join(cells, ["kind", "cx", "cy"])
-    distance = geo.point_segment_distance(F.col("px"), F.col("py"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
-    near = near.where(distance <= buffer_m)
-    # A point and a line meet in one cell only: that of the point.
-    return near.groupBy(F.col("id").alias("a"), "b", "n").agg(F.count("*").alias("c")).select("a", "b", (F.col("c") / (F.col("n") + 1)).alias("share"))
+    cell = cell or max(4 * buffer_m, 400.0)
+    ends = ["x0", "y0", "x1", "y1"]
+
+    def shapes(df: DataFrame) -> DataFrame:
+        return df.select("id", "kind", *(F.col(c).cast("double").alias(c) for c in ends)).groupBy("kind", *ends).agg(F.min("id").alias("id"))
+
+    def boxed(df: DataFrame, margin: float, *more: str) -> DataFrame:
+        sides = [f(F.col(f"{c}0"), F.col(f"{c}1")) + m for c in "xy" for f, m in ((F.least, -margin), (F.greatest, margin))]
+        return df.select("id", "kind", *more, F.array(*ends).alias("ends"), *(v.alias(n) for v, n in zip(sides, ("x0", "x1", "y0", "y1"), strict=True)))
+
+    length = geo.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    n = F.greatest(F.lit(1), F.ceil(length / step - 1e-9)).cast("int")
+    one, two = shapes(a), shapes(b)
+    # A box a little wider than the buffer: rounding must not lose a point on its rim.
+    pairs = met(boxed(one.withColumn("n", n), 0.0, "n"), boxed(two, buffer_m + 1e-6 * buffer_m + 1e-6), cell, "kind")
+    pairs = pairs.select("a_id", "b_id", "a_n", *(F.col(f"{s}_ends")[i].alias(f"{s}{i}") for s in "ab" for i in range(4)))
+    schema = T.StructType([T.StructField("a_id", one.schema["id"].dataType), T.StructField("b_id", two.schema["id"].dataType), T.StructField("share", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, *values = (c.to_numpy() for c in batch.columns[2:])
+            # Long lines have many points: so many pairs at once that their points are few.
+            part = (np.cumsum(sizes + 1) // POINTS).astype(np.int64)
+            edges = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True]))) if len(part) else []
+            for i, j in zip(edges, edges[1:], strict=False):
+                own = [v[i:j] for v in values]
+                count = _near_points(sizes[i:j].astype(np.int64), own[:4], own[4:], buffer_m)
+                hit = np.flatnonzero(count)
+                ids = [batch.column(c).slice(i, j - i).take(pa.array(hit)) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(count[hit] / (sizes[i:j][hit] + 1.0))], schema.names)
+
+    found = pairs.mapInArrow(run, schema)
+    for side, name, df, few in (("a", "a_id", a, one), ("b", "b_id", b, two)):
+        members = df.select(F.col("id").alias(side), "kind", *(F.col(c).cast("double").alias(c) for c in ends))
+        members = members.join(few.withColumnRenamed("id", name), ["kind", *ends]).select(side, name)
+        found = found.join(members, name)
+    return found.select("a", "b", "share")
 
 
 def inside_ring(points: DataFrame, rings: DataFrame, cell: float) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -45,6 +45,17 @@ def replaced(df: DataFrame, label: str, old: DataFrame) -> DataFrame:
     return new
 
 
+def first_of_equal(rows: DataFrame, rank: Column, *same: str) -> DataFrame:
+    """The best row by ``rank`` of those with equal values ``same``; rows with a null among these all stay.
+
+    Where equal rows conflict with each other and with the same others, a greedy
+    pass never keeps another of them: the best one, or what drops it, drops all.
+    """
+    known = F.expr(" AND ".join(f"{c} IS NOT NULL" for c in same))
+    best = rows.where(known).groupBy(*(F.col(c).alias(f"ridgeflow_{c}") for c in same)).agg(F.min_by(F.struct(*rows.columns), rank).alias("r")).select("r.*")
+    return best.union(rows.where(~known))
+
+
 def greedy_keep(rows: DataFrame, conflicts: DataFrame) -> DataFrame:
     """The identifiers of ``rows(id)`` that a greedy pass keeps.
 

@@ -37,9 +37,10 @@ SELECT unnest(kept) AS id FROM g WHERE r = (SELECT count(*) FROM lines)"""
 @query("t4_dedup_segments", _DEDUP)
 def t4_dedup_segments(spark, sf_dir):
     """Best score first; a line more than half covered by a kept one of its kind goes."""
-    rows = lines(spark, sf_dir)
-    covered = X.coverage(rows, rows, 60.0, 20.0).where("share > 0.5 AND a <> b")
+    rows = U.first_of_equal(lines(spark, sf_dir), F.struct((-F.col("score")).alias("s"), "id"), "kind", "x0", "y0", "x1", "y1")
+    rows = U.kept_table(rows, "lines")
     rank = rows.select("id", F.struct((-F.col("score")).alias("s"), "id").alias("rank"))
+    covered = X.coverage(rows, rows, 60.0, 20.0).where("share > 0.5 AND a <> b")
     edges = covered.join(rank.toDF("a", "ra"), "a").join(rank.toDF("b", "rb"), "b").where("rb < ra")
     return U.greedy_keep(rows, edges.select(F.col("b").alias("better"), F.col("a").alias("worse")))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import random
 
 import pytest
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from ridgeflow.functions import geo
 from ridgeflow.functions import text as X
 from ridgeflow.operators import circuits as C
-from ridgeflow.operators import spatial
+from ridgeflow.operators import spatial, suppress
 from ridgeflow.sinks.profiles import markdown_table, write_profiles
 from ridgeflow.sources import answers as A
 from ridgeflow.sources.profiles import read_profiles
@@ -132,6 +133,39 @@ def test_smallest_containing_of_nested_rings(spark):
     assert found.where("ring_id = 0").count() == found.count() == 30_000
 
 
+def test_coverage_counts_points(spark):
+    rng = random.Random(9)
+    rows = [(f"l{i:02}", rng.randrange(2), *(rng.randrange(-150, 150) for _ in range(4))) for i in range(40)]
+    rows += [("p", 0, 5, 5, 5, 5), ("q", 0, 5, 5, 5, 5), ("r", None, 1, 1, 9, 9), ("s", 1, *rows[0][2:])]
+    df = spark.createDataFrame(rows, "id string, kind int, x0 long, y0 long, x1 long, y1 long")
+    expected = {}
+    for a, kind, x0, y0, x1, y1 in rows:
+        n = max(1, math.ceil(math.hypot(x1 - x0, y1 - y0) / 20 - 1e-9))
+        for b, other, u0, v0, u1, v1 in rows:
+            dx, dy, c = u1 - u0, v1 - v0, 0
+            for k in range(n + 1):
+                px, py = x0 + (x1 - x0) * (k / n), y0 + (y1 - y0) * (k / n)
+                t = min(1, max(0, ((px - u0) * dx + (py - v0) * dy) / (dx * dx + dy * dy))) if dx or dy else 0
+                c += math.hypot(px - u0 - t * dx, py - v0 - t * dy) <= 30
+            if c and kind == other and kind is not None:
+                expected[a, b] = c / (n + 1)
+    for cell in (None, 17.0):
+        assert {(r.a, r.b): r.share for r in spatial.coverage(df, df, 30.0, 20.0, cell).collect()} == expected
+
+
+def test_copies_of_a_long_line_are_compared_once(spark):
+    """2,000 copies of a line of 20 km: four million rows, from one pair of shapes and not from four billion points."""
+    copies = spark.range(2000).selectExpr("id", "1 AS kind", "0D AS x0", "0D AS y0", "20000D AS x1", "100D AS y1")
+    found = spatial.coverage(copies, copies, 60.0, 20.0)
+    assert found.where("share = 1").count() == found.count() == 4_000_000
+
+
+def test_first_of_equal_rows(spark):
+    rows = [(1, 5, 0), (2, 7, 0), (3, 7, 0), (4, 1, 1), (5, 9, None), (6, 9, None)]
+    df = spark.createDataFrame(rows, "id long, score long, k int")
+    assert sorted(r.id for r in suppress.first_of_equal(df, F.struct(-F.col("score"), "id"), "k").collect()) == [2, 4, 5, 6]
+
+
 def test_circuits_along_removed_stretches_go(spark):
     parts = spark.createDataFrame([("a", 0, 7, 0.0, 40.0), ("a", 1, 8, 40.0, 60.0), ("b", 0, 7, 0.0, 0.0)], "stroke_id string, part int, way_id long, start_m double, end_m double")
     gone = C.removed_stretches(parts, spark.createDataFrame([(8,)], "way_id long")).collect()
