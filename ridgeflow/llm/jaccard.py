@@ -37,7 +37,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,6 +52,8 @@ FREQUENT_CELLS = 1 << 27
 COUNT_BYTES = 8 << 20
 #: Nodes of a signature that all others of it are compared with first.
 LEADERS = 4
+#: Signatures before its own that a row of the second round knows of its node.
+EARLIER = 8
 #: Bits of the table of shared signatures, a power of two (16 MB).
 SIGNATURE_BITS = 1 << 27
 #: Up to so many identifiers (8 bytes each) a filter is broadcast; beyond, it is a shuffled join.
@@ -312,6 +314,15 @@ class JaccardJoin:
         differ = " + ".join(f"bit_count({a}.s{i} ^ {b}.s{i})" for i in range(4))
         return f"100 * least({a}.size, {b}.size) >= {t} * greatest({a}.size, {b}.size) AND {differ} <= {sums} - 2 * (({t} * {sums} + {99 + t}) div {100 + t})"
 
+    def crossing(self, rows: DataFrame) -> DataFrame:
+        """``(a1, a2, b1, b2)``: the candidates from different components among ``rows`` of the index with ``label`` and ``earlier``.
+
+        Nodes that share a signature often share hundreds.  ``earlier`` has the last few signatures of the node before a
+        row's own: if both sides have one of them, the pair has met there.  Its smallest signature never drops it.
+        """
+        met = f"a.sig = b.sig AND a.label <> b.label AND (a.n1 < b.n1 OR (a.n1 = b.n1 AND a.n2 < b.n2)) AND {self._alike('a', 'b')} AND NOT arrays_overlap(a.earlier, b.earlier)"
+        return rows.alias("a").join(rows.alias("b"), F.expr(met)).selectExpr("a.n1 AS a1", "a.n2 AS a2", "b.n1 AS b1", "b.n2 AS b2")
+
     def _of_pairs(self, pairs: DataFrame, columns: str, make) -> DataFrame:
         """``(id, n1, n2)`` and the ``columns`` that ``make(sets)`` gives, of the nodes in ``pairs``."""
         ids = pairs.selectExpr("a AS id", "a1 AS n1", "a2 AS n2").union(pairs.select("b", "b1", "b2")).distinct()
@@ -415,13 +426,14 @@ class JaccardJoin:
         # Round two: the other pairs that share a signature, if they are in different components.  A signature all
         # of whose nodes are in one component has none, however many they are.
         named = reps.join(labels, reps["v"] == labels["vertex"], "left").select("n1", "n2", F.coalesce("component", "v").alias("label"))
-        mixed = index.select("sig", "n1", "n2").join(named, ["n1", "n2"]).groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-        mixed = self._kept(mixed.where("low <> high").select("sig"), "mixed")
+        mixed = index.select("sig", "n1", "n2").join(named, ["n1", "n2"]).groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.bit_xor("n1").alias("x1"), F.bit_xor("n2").alias("x2"), F.count("*").alias("n"))
+        # Signatures of the same nodes (their number and 128 bits that stand for them) lead to the same pairs: one is enough.
+        mixed = self._kept(mixed.where("low <> high").groupBy("x1", "x2", "n").agg(F.min("sig").alias("sig")).select("sig"), "mixed")
         few = mixed.count() <= MAX_BROADCAST_IDS
-        rows = self._kept(index.join(F.broadcast(mixed) if few else mixed, "sig", "left_semi").join(named, ["n1", "n2"]), "mixed_rows")
+        rows = index.join(F.broadcast(mixed) if few else mixed, "sig", "left_semi").join(named, ["n1", "n2"])
+        rows = self._kept(rows.withColumn("earlier", F.collect_list("sig").over(Window.partitionBy("n1", "n2").orderBy("sig").rowsBetween(-EARLIER, -1))), "mixed_rows")
         self._drop("index", "mixed")
-        crossing = rows.alias("a").join(rows.alias("b"), F.expr(f"a.sig = b.sig AND a.label <> b.label AND ({order}) AND {self._alike('a', 'b')}"))
-        second = crossing.selectExpr("a.n1 AS a1", "a.n2 AS a2", "b.n1 AS b1", "b.n2 AS b2").distinct().join(first, ["a1", "a2", "b1", "b2"], "left_anti")
+        second = self.crossing(rows).distinct().join(first, ["a1", "a2", "b1", "b2"], "left_anti")
         more = self._verified(second, reps, "more")
         self._drop("mixed_rows", "first")
         labels = connected_components(spark, links.union(more)) if not more.isEmpty() else labels

@@ -71,3 +71,31 @@ def test_stage_is_brute_force_on_the_tables(spark):
     got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, DATA).collect()}
     assert got == kept_ids(rows, 80, 5)
     assert got < kept_ids(rows, 90, 3)
+
+
+def test_pairs_of_the_second_round_meet_once(spark, monkeypatch):
+    """Texts that share two thirds of their shingles share many signatures; the join of the second round makes each pair about once."""
+    rng = random.Random(9)
+    rows, families = [], 6
+    for f in range(families):
+        base = [f"f{f}w{k}" for k in range(1200)]
+        for k in range(6):  # 5 of 24 blocks are replaced, others in each text
+            own = list(base)
+            for block in rng.sample(range(24), 5):
+                own[50 * block : 50 * block + 50] = [f"t{f}x{k}b{block}w{j}" for j in range(50)]
+            rows.append((10 * f + k, " ".join(own)))
+        near = rows[-1][1].split(" ")  # linked with the last one, not with the others
+        near[600:640] = [f"n{f}w{j}" for j in range(40)]
+        rows.append((10 * f + 6, " ".join(near)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    counts, crossing = [], jaccard.JaccardJoin.crossing
+
+    def counted(self, index_rows):
+        found = crossing(self, index_rows)
+        counts.append((index_rows.count(), found.count(), found.distinct().count()))
+        return found
+
+    monkeypatch.setattr(jaccard.JaccardJoin, "crossing", counted)
+    assert {r.doc_id for r in jaccard.deduplicate(spark, df, 80, width=5).collect()} == kept_ids(rows, 80, 5)
+    ((_, made, pairs),) = counts
+    assert pairs > 60 and made <= 2 * pairs
