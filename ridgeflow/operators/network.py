@@ -1,8 +1,8 @@
 """Graph operators on ways, edges and half-edges.
 
 Half-edge ``2 e`` leaves the start node of edge e, ``2 e + 1`` its end node;
-twins differ in the last bit.  Chains, faces and cores are found in rounds
-whose tables are written to the shared scratch folder; pointer doubling stops
+twins differ in the last bit.  Chains of more than ``AT_ONCE`` half-edges,
+faces and cores are found in rounds whose tables are written to the shared scratch folder; pointer doubling stops
 after as many rounds as the logarithm of the longest chain or orbit, when a
 round changes nothing.  Peeling takes a round for each layer of leaves.
 """
@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 
 from .suppress import kept_table, replaced
 
+#: Up to so many half-edges (about 100 bytes each) are chained in one task, without rounds.
+AT_ONCE = 4_000_000
+
 
 def node_usage(nodes: DataFrame) -> DataFrame:
     """``(node_id, n)`` of way nodes ``(way_id, pos, node_id)``."""
@@ -216,17 +219,73 @@ def _ranked(step: DataFrame) -> DataFrame:
     return state
 
 
+def _ranked_at_once(succ: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What ``_ranked`` finds, of successors by place: ``(end, dist, low)``; the last of a list is its own successor."""
+    end, dist = succ, (succ != np.arange(len(succ))).astype(np.int64)
+    last = dist == 0
+    while True:
+        least = np.minimum(low, low[end])
+        moved = bool((least != low).any() or (dist[end][last[end[end]]] != 0).any())
+        end, dist, low = end[end], dist + dist[end], least
+        if not moved:
+            return end, dist, low
+
+
+def _chained_at_once(half: np.ndarray, following: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``(e, stroke, pos, forward, ring)`` of half-edges and what follows them, if ``known``."""
+    order = np.argsort(half, kind="stable")
+    half, following, known = half[order], following[order], known[order]
+    n = len(half)
+    # Place n stands for half-edges that aren't there: what leads to them drops out.
+    place = np.searchsorted(half, following)
+    there = half[np.minimum(place, max(n - 1, 0))] == following
+    own = np.arange(n + 1)
+    succ = np.append(np.where(known, np.where(there, place, n), own[:-1]), n)
+    edge = np.append(half >> 1, np.iinfo(np.int64).max)
+    end, dist, low = _ranked_at_once(succ, edge)
+    ring = (succ[end] != end) | np.append(known & (succ[:-1] == own[:-1]), False)
+    if ring.any():
+        first = np.append(half, -1)[succ] == low * 2
+        succ = np.where(ring & first, own, succ)
+        end, dist, _ = _ranked_at_once(succ, edge)
+    row = np.flatnonzero((succ[end] == end) & (end != n))
+    by_end = row[np.argsort(end[row], kind="stable")]
+    begin = np.flatnonzero(np.diff(end[by_end], prepend=-1))
+    count = np.diff(np.append(begin, len(by_end)))
+    stroke = np.repeat(np.minimum.reduceat(edge[by_end], begin), count) if len(by_end) else edge[by_end]
+    kept = np.zeros(n + 1, dtype=bool)
+    kept[end[by_end[half[by_end] == stroke * 2]]] = True
+    stay = kept[end[by_end]]
+    at = by_end[stay]
+    return edge[at], stroke[stay], np.repeat(count, count)[stay] - 1 - dist[at], half[at] % 2 == 0, ring[at]
+
+
 def chains(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """``(e, stroke, pos, forward, ring)``: edges ``(e)`` chained through paired half-edges ``(a, b)``.
 
     Entering an edge by a half-edge one leaves it by the twin, whose partner
     enters the next.  A stroke is named by its smallest edge and runs in the
-    direction in which that edge is forward; a ring starts there.
+    direction in which that edge is forward; a ring starts there.  Up to
+    ``AT_ONCE`` half-edges are chained in one task, more of them in rounds.
     """
-    partner = pairs.select("a", "b").union(pairs.select("b", "a")).toDF("t", "next")
-    half = edges.select(F.explode(F.array(F.col("e") * 2, F.col("e") * 2 + 1)).alias("h"))
-    step = half.withColumn("t", F.col("h").bitwiseXOR(F.lit(1).cast("bigint"))).join(partner, "t", "left").select("h", "next")
-    step = kept_table(step, "step")
+    kind, twin = edges.schema["e"].dataType, F.lit(1).cast("bigint")
+    # Both directions of a pair from one row: pairs are not found twice.
+    both = F.array(F.struct(F.col("a").alias("t"), F.col("b").alias("next")), F.struct(F.col("b").alias("t"), F.col("a").alias("next")))
+    partner = pairs.select(F.explode(both).alias("p")).select(F.col("p.t").bitwiseXOR(twin).alias("h"), "p.next")
+    e = F.col("e").cast("bigint")
+    half = edges.where("e IS NOT NULL").select(F.explode(F.array(e * 2, e * 2 + 1)).alias("h"))
+    step = kept_table(half.join(partner, "h", "left").select("h", F.col("next").cast("bigint").alias("next")), "step")
+    if step.count() <= AT_ONCE:
+        names = ["e", "stroke", "pos", "forward", "ring"]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(list(batches), pa.schema([("h", pa.int64()), ("next", pa.int64())]))
+            known = rows.column("next").is_valid().to_numpy()
+            found = _chained_at_once(rows.column("h").to_numpy(), rows.column("next").fill_null(-1).to_numpy(), known)
+            yield from pa.table([pa.array(c) for c in found], names).to_batches(100_000)
+
+        found = replaced(step.coalesce(1).mapInArrow(run, "e long, stroke long, pos long, forward boolean, ring boolean"), "list", step)
+        return found.select(F.col("e").cast(kind).alias("e"), F.col("stroke").cast(kind).alias("stroke"), "pos", "forward", "ring")
     first = _ranked(step)
     rings = first.where("NOT ends").select("h", "low")
     # A ring is cut before its smallest edge; the opposite direction stays uncut and drops out.
@@ -238,7 +297,8 @@ def chains(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     rows = paths.join(named, "end")
     kept = rows.where("h = stroke * 2").select("end")
     rows = rows.join(kept, "end", "left_semi")
-    return rows.select(F.shiftright("h", 1).alias("e"), "stroke", (F.col("n") - 1 - F.col("dist")).alias("pos"), (F.col("h") % 2 == 0).alias("forward"), "ring")
+    e, stroke = F.shiftright("h", 1).cast(kind).alias("e"), F.col("stroke").cast(kind).alias("stroke")
+    return rows.select(e, stroke, (F.col("n") - 1 - F.col("dist")).alias("pos"), (F.col("h") % 2 == 0).alias("forward"), "ring")
 
 
 def faces(half: DataFrame) -> DataFrame:

@@ -136,6 +136,40 @@ def test_rounds_of_a_chain_leave_one_table(spark):
     assert len(lists() - before) == 1
 
 
+def test_chains_find_pairs_once_and_need_no_rounds(spark, monkeypatch):
+    """A line of 600 edges: each pair is made once, and no round of pointer doubling is written."""
+    made, written, replaced = spark.sparkContext.accumulator(0), [], network.replaced
+    monkeypatch.setattr(network, "replaced", lambda *a: written.append(a[1]) or replaced(*a))
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    e = F.col("id")
+    pairs = spark.range(599).select((e * 2 + 1).alias("a"), (e * 2 + 2).alias("b")).mapInArrow(counted, "a long, b long")
+    chain = network.chains(spark.range(600).select(e.alias("e")), pairs)
+    assert [(r.e, r.stroke, r.pos, r.forward, r.ring) for r in chain.orderBy("e").collect()] == [(i, 0, i, True, False) for i in range(600)]
+    assert made.value == 599 and len(written) <= 1
+
+
+def test_chains_at_once_are_those_of_rounds(spark, monkeypatch):
+    """Lines, rings of one edge and more, an end paired with an edge that isn't there."""
+    rng = random.Random(3)
+    halves = [h for h in range(2, 400) if h % 17]
+    rng.shuffle(halves)
+    pairs = [*zip(halves[:300:2], halves[1:300:2], strict=True), (0, 1), (17, 9999)]
+    pairs = spark.createDataFrame(pairs, "a long, b long")
+    edges = spark.range(200).select(F.col("id").alias("e"))
+    found = []
+    for most in (network.AT_ONCE, 0):
+        monkeypatch.setattr(network, "AT_ONCE", most)
+        found.append(sorted(network.chains(edges, pairs).collect()))
+    assert found[0] == found[1] and len(found[0]) > 150 and any(r.ring for r in found[0])
+    monkeypatch.undo()
+    assert network.chains(edges.limit(0), pairs.limit(0)).count() == 0
+
+
 def test_pair_ends_is_the_sequential_greedy(spark):
     rng = random.Random(5)
     ends = [(h, h % 5, float(rng.randrange(0, 360, 5))) for h in range(30)]
