@@ -16,6 +16,9 @@ Every row is judged by its own text, whatever other rows share its identifier
 or have none; repeated rows have equal results.  Empty tables give an empty or
 an all-clean result.  Only the named columns are read, so others never clash.
 
+A pass over the texts finds both a row's matches and its number of words: a row
+without a match besides them, led to the join by a fingerprint that no n-gram has, stands for the row itself.
+
 Arrays are exploded by the outer form: for the inner one the optimiser infers
 a filter on the array's size and pushes it, with all that computes the array,
 into lambdas that then run once an element.
@@ -39,9 +42,10 @@ MAX_BROADCAST_IDS = 250_000
 SALTS = 8
 _CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: The low bits of a fingerprint are its position, the others the hash.
 _POSITION_BITS = 31
+#: Stands for a row itself; the hashes of n-grams have ``64 - _POSITION_BITS`` bits.
+_ROW = 1 << 40
 
 
 def words_of(text: Column) -> Column:
@@ -101,64 +105,86 @@ def item_fingerprints(items: DataFrame, span: int = SPAN, k: int = GRAM, short:
     return found.distinct()
 
 
-def _matched(docs: DataFrame, prints: DataFrame) -> DataFrame:
-    """``(key, words, p)`` of ``docs`` with the columns of ``prints`` for each fingerprint that has one."""
+def _matched(docs: DataFrame, prints: DataFrame, kept: tuple[str, ...] = ()) -> DataFrame:
+    """``(key, words, p)`` of ``docs`` with the columns of ``prints`` for each fingerprint that has one.
+
+    With columns ``kept`` these too, and one more row for each row of ``docs``, without ``p`` and what ``prints`` has.
+    """
     if prints.count() <= MAX_BROADCAST_ROWS:
-        return _unpacked(docs, "prints").join(F.broadcast(prints), "print")
+        if not kept:
+            return _unpacked(docs, "prints").join(F.broadcast(prints), "print")
+        rows = docs.withColumn("packed", F.explode_outer(F.expr("concat(prints, array(cast(null AS bigint)))"))).drop("prints")
+        # A null stays null in the position.
+        rows = rows.withColumns({"print": F.coalesce(F.shiftright("packed", _POSITION_BITS), F.lit(_ROW)), "p": F.expr(f"cast(packed & {(1 << _POSITION_BITS) - 1}L AS int)")})
+        own = prints.sparkSession.range(1).select(F.lit(_ROW).alias("print"))
+        return rows.drop("packed").join(F.broadcast(prints.unionByName(own, allowMissingColumns=True)), "print")
     slim = _unpacked(docs.select("key", "prints"), "prints").drop("prints")
     slim = slim.withColumn("salt", F.pmod(F.xxhash64("key", "p"), F.lit(SALTS)))
     salted = prints.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
     found = slim.join(salted, ["print", "salt"]).drop("print", "salt").distinct()
-    return docs.select("key", "words").join(found, "key")
+    found = docs.select("key", "words", *kept).join(found, "key")
+    return found.unionByName(docs.select("key", *kept), allowMissingColumns=True) if kept else found
 
 
-def hits(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int = GRAM) -> DataFrame:
-    """``(key, item, start, stop)``: stretches of words of ``docs(key, words)`` that lie in windows of ``items(item, words)``."""
+def hits(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int = GRAM, kept: tuple[str, ...] = ()) -> DataFrame:
+    """``(key, item, start, stop)``: stretches of words of ``docs(key, words)`` that lie in windows of ``items(item, words)``.
+
+    With columns ``kept`` of ``docs`` these too, and one more row for each row of ``docs``, without a stretch.
+    """
     sizes = items.select(F.size("words").alias("n")).where(f"n BETWEEN 1 AND {span - 1}").distinct()
     short = tuple(sorted(n for (n,) in sizes.collect()))  # at most span - 1 values
     docs = docs.withColumn("grams", F.expr(_grams("words", k)))
     every = ", ".join([_smallest("grams", span - k + 1), *(_grams("words", n) for n in short)])
-    found = _matched(docs.withColumn("prints", F.expr(f"concat({every})")), item_fingerprints(items, span, k, short))
+    docs = docs.withColumn("prints", F.expr(f"concat({every})")).drop("grams")
+    found = _matched(docs, item_fingerprints(items, span, k, short), kept)
+    row = "p IS NULL OR " if kept else ""
     # From here on a row has the words around its hit only, however long its text.
     reach = span - k
     found = found.selectExpr(
-        "key", "item", "near", "lead", "n", "least", "p",
+        "key", *kept, "item", "near", "lead", "n", "least", "p",
         f"slice(words, greatest(p - {reach}, 0) + 1, least(p, {reach}) + n + {reach}) AS around",
         f"least(p, {reach}) AS own",
     )
-    found = found.where("slice(around, own + 1, n) = slice(near, lead + 1, n)")
+    found = found.where(f"{row}slice(around, own + 1, n) = slice(near, lead + 1, n)")
     left = _count_true("least(lead, own)", "near[lead - o] = around[own - o]")
     right = _count_true("least(size(near) - lead, size(around) - own) - n", "near[lead + n - 1 + o] = around[own + n - 1 + o]")
     # Exploding keeps the test on what is computed here, with its lambdas, out of the join's condition.
-    found = found.select("key", "item", "least", F.explode_outer(F.expr(f"array(struct(p - {left} AS start, p + n + {right} AS stop))")).alias("x"))
-    return found.select("key", "item", "x.start", "x.stop", "least").where("stop - start >= least").drop("least")
+    found = found.select("key", *kept, "item", "least", F.explode_outer(F.expr(f"array(struct(p - {left} AS start, p + n + {right} AS stop))")).alias("x"))
+    row = "least IS NULL OR " if kept else ""
+    return found.select("key", *kept, "item", "x.start", "x.stop", "least").where(f"{row}stop - start >= least").drop("least")
 
 
 def contamination(df: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text", span: int = SPAN, k: int = GRAM) -> DataFrame:
     """For each row of ``df``: identifier, ``n_words``, ``n_hit``, ``n_items``, ``items`` (strings in order), ``contaminated``."""
     own, text = df[id_column], df[text_column]
-    found = _spans(df.select(row_key(own, text).alias("key"), words_of(text).alias("words")), benchmark, item_column, item_text_column, span, k)
-    found = found.select(
-        F.col("key").alias("hit_key"),
-        F.expr("size(array_distinct(flatten(transform(spans, s -> sequence(s.start, s.stop - 1)))))").cast("long").alias("n_hit"),
-        F.array_sort("items").alias("items"),
+    docs = df.select(own.alias("id"), row_key(own, text).alias("key"), words_of(text).alias("words")).withColumn("n_words", F.size("words").cast("long"))
+    found = hits(docs, _items(benchmark, item_column, item_text_column), span, k, ("id", "n_words")).groupBy("key").agg(
+        F.any_value("id").alias("id"),
+        F.any_value("n_words").alias("n_words"),
+        F.count_if(F.col("start").isNull()).alias("rows"),
+        F.collect_set("item").alias("items"),
+        F.collect_set(F.when(F.col("start").isNotNull(), F.struct("start", "stop"))).alias("spans"),
     )
-    n_words = F.regexp_count(F.coalesce(text, F.lit("")), F.lit(_WORD)).cast("long")
-    out = df.select(own.alias("id"), row_key(own, text).alias("key"), n_words.alias("n_words")).join(found, F.col("key") == F.col("hit_key"), "left")
-    return out.select(
+    # Rows of one key are equal in identifier and text.
+    found = found.withColumn("row", F.explode_outer(F.sequence(F.lit(1), F.col("rows"))))
+    n_hit = F.expr("size(array_distinct(flatten(transform(spans, s -> sequence(s.start, s.stop - 1)))))").cast("long")
+    return found.select(
         F.col("id").alias(id_column),
         "n_words",
-        F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
-        F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
-        (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+        n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.array_sort("items").alias("items"),
+        (n_hit > 0).alias("contaminated"),
     )
 
 
+def _items(benchmark: DataFrame, item_column: str, item_text_column: str) -> DataFrame:
+    return benchmark.select(benchmark[item_column].cast("string").alias("item"), words_of(benchmark[item_text_column]).alias("words"))
+
+
 def _spans(docs: DataFrame, benchmark: DataFrame, item_column: str, item_text_column: str, span: int, k: int) -> DataFrame:
     """``(key, items, spans)`` of the rows of ``docs(key, words)`` with a hit."""
-    items = benchmark.select(benchmark[item_column].cast("string").alias("item"), words_of(benchmark[item_text_column]).alias("words"))
-    return hits(docs, items, span, k).groupBy("key").agg(F.collect_set("item").alias("items"), F.collect_set(F.struct("start", "stop")).alias("spans"))
+    return hits(docs, _items(benchmark, item_column, item_text_column), span, k).groupBy("key").agg(F.collect_set("item").alias("items"), F.collect_set(F.struct("start", "stop")).alias("spans"))
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text", span: int = SPAN, k: int = GRAM) -> DataFrame:

@@ -33,3 +33,18 @@ def test_rows_of_one_identifier_are_judged_alone(spark, monkeypatch, limit):
     df = spark.createDataFrame([(1, item), (1, "w0 w1 w2")], "doc_id long, text string")
     assert sorted((r.n_words, r.n_hit) for r in winnow.contamination(df, bench).collect()) == [(3, 0), (12, 12)]
     assert [r.text for r in winnow.decontaminate(df, bench).collect()] == ["w0 w1 w2"]
+
+
+@pytest.mark.parametrize("limit", (200_000, 0))
+def test_texts_are_read_into_words_once(spark, monkeypatch, limit):
+    monkeypatch.setattr(winnow, "MAX_BROADCAST_ROWS", limit)
+    item = " ".join(f"w{i}" for i in range(12))
+    bench = spark.createDataFrame([(None, item), ("s", "a b")], "item_id string, text string")
+    df = spark.createDataFrame([("x", item), ("x", item), ("y", ""), ("y", ""), (None, None)], "doc_id string, text string")
+    found = winnow.contamination(df, bench)
+    got = sorted((r.doc_id or "", r.n_words, r.n_hit, r.n_items, r.contaminated) for r in found.collect())
+    assert got == [("", 0, 0, 0, False), ("x", 12, 12, 0, True), ("x", 12, 12, 0, True), ("y", 0, 0, 0, False), ("y", 0, 0, 0, False)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "REGEXP_EXTRACT_ALL" not in plan
+    if limit:
+        assert plan.count("LogicalRDD [doc_id") == 1
