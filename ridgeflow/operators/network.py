@@ -163,9 +163,13 @@ def _paired(batches: Iterator[pa.RecordBatch], most: float) -> Iterator[pa.Recor
         a, b = np.minimum(half[two], half[two + 1]), np.maximum(half[two], half[two + 1])
         pairs = [np.stack((a, b), axis=1)[a < b]]
         for i in np.flatnonzero(size > 2):
-            own = slice(edge[i], edge[i + 1])
-            known = np.isfinite(bearing[own])
-            pairs.append(np.array(best_first_ends(half[own][known], bearing[own][known], most), dtype=np.int64).reshape(-1, 2))
+            # A half-edge given twice would wait for a partner without end.
+            own = edge[i] + np.unique(half[edge[i] : edge[i + 1]], return_index=True)[1]
+            if len(own) == 2:
+                pairs.append(half[own].reshape(1, 2))
+                continue
+            own = own[np.isfinite(bearing[own])]
+            pairs.append(np.array(best_first_ends(half[own], bearing[own], most), dtype=np.int64).reshape(-1, 2))
         every = np.concatenate(pairs)
         return pa.RecordBatch.from_arrays([pa.array(every[:, 0].copy(), pa.int64()), pa.array(every[:, 1].copy(), pa.int64())], ["a", "b"])
 
@@ -189,7 +193,7 @@ def pair_ends(ends: DataFrame, barriers: DataFrame, max_deflection: float = 35.0
 
     No pair at barriers and dead ends; the two ends of a degree-two node
     always pair; elsewhere best first by deflection, then half-edge numbers.
-    The ends of a node are matched in one task without its pairs, so a node of
+    Repeated rows count once.  The ends of a node are matched in one task without its pairs, so a node of
     n ends takes about n log n steps.
     """
     rows = ends.where("half IS NOT NULL AND tail IS NOT NULL").join(barriers.select(F.col("node_id").alias("tail")), "tail", "left_anti")
@@ -220,15 +224,33 @@ def _ranked(step: DataFrame) -> DataFrame:
 
 
 def _ranked_at_once(succ: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """What ``_ranked`` finds, of successors by place: ``(end, dist, low)``; the last of a list is its own successor."""
-    end, dist = succ, (succ != np.arange(len(succ))).astype(np.int64)
-    last = dist == 0
-    while True:
-        least = np.minimum(low, low[end])
-        moved = bool((least != low).any() or (dist[end][last[end[end]]] != 0).any())
-        end, dist, low = end[end], dist + dist[end], least
-        if not moved:
-            return end, dist, low
+    """What ``_ranked`` finds, of successors by place: ``(end, dist, low)``, ``low`` on cycles alone; the last of a list is its own successor."""
+    end, low = succ.copy(), low.copy()
+    last = succ == np.arange(len(succ))
+    dist = (~last).astype(np.int64)
+    # Only what has not reached the end of its list moves on.
+    on = np.flatnonzero(~last[end])
+    while len(on):
+        ahead = end[on]
+        end2, least = end[ahead], np.minimum(low[on], low[ahead])
+        done, moved = last[end2], bool((least != low[on]).any())
+        end[on], dist[on], low[on] = end2, dist[on] + dist[ahead], least
+        if not moved and not done.any():
+            break
+        on = on[~done]
+    return end, dist, low
+
+
+def _followed(e: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The half-edges of edges, what follows each by the pairs ``(a, b)``, and whether anything does."""
+    half = np.repeat(np.unique(e) * 2, 2)
+    half[1::2] += 1
+    twin, following = np.concatenate((a, b)) ^ 1, np.concatenate((b, a))
+    order = np.lexsort((following, twin))
+    twin, following = np.append(twin[order], np.iinfo(np.int64).max), np.append(following[order], -1)
+    at = np.searchsorted(twin[:-1], half)
+    known = twin[at] == half
+    return half, np.where(known, following[at], -1), known
 
 
 def _chained_at_once(half: np.ndarray, following: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -269,23 +291,28 @@ def chains(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     ``AT_ONCE`` half-edges are chained in one task, more of them in rounds.
     """
     kind, twin = edges.schema["e"].dataType, F.lit(1).cast("bigint")
-    # Both directions of a pair from one row: pairs are not found twice.
-    both = F.array(F.struct(F.col("a").alias("t"), F.col("b").alias("next")), F.struct(F.col("b").alias("t"), F.col("a").alias("next")))
-    partner = pairs.select(F.explode(both).alias("p")).select(F.col("p.t").bitwiseXOR(twin).alias("h"), "p.next")
     e = F.col("e").cast("bigint")
-    half = edges.where("e IS NOT NULL").select(F.explode(F.array(e * 2, e * 2 + 1)).alias("h"))
-    step = kept_table(half.join(partner, "h", "left").select("h", F.col("next").cast("bigint").alias("next")), "step")
-    if step.count() <= AT_ONCE:
+    edges = edges.where("e IS NOT NULL")
+    if 2 * edges.count() <= AT_ONCE:
         names = ["e", "stroke", "pos", "forward", "ring"]
+        # Edges and pairs go to the task as they are; it finds what follows what.
+        rows = edges.select(e.alias("a"), F.lit(None).cast("bigint").alias("b")).union(pairs.where("a IS NOT NULL AND b IS NOT NULL").select(F.col("a").cast("bigint"), F.col("b").cast("bigint")))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rows = pa.Table.from_batches(list(batches), pa.schema([("h", pa.int64()), ("next", pa.int64())]))
-            known = rows.column("next").is_valid().to_numpy()
-            found = _chained_at_once(rows.column("h").to_numpy(), rows.column("next").fill_null(-1).to_numpy(), known)
+            held = list(batches)
+            rows = pa.Table.from_batches(held, held[0].schema if held else pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+            paired = rows.column("b").is_valid().to_numpy()
+            one, two = rows.column("a").to_numpy(), rows.column("b").fill_null(-1).to_numpy()
+            found = _chained_at_once(*_followed(one[~paired], one[paired], two[paired]))
             yield from pa.table([pa.array(c) for c in found], names).to_batches(100_000)
 
-        found = replaced(step.coalesce(1).mapInArrow(run, "e long, stroke long, pos long, forward boolean, ring boolean"), "list", step)
+        found = kept_table(rows.repartition(1).mapInArrow(run, "e long, stroke long, pos long, forward boolean, ring boolean"), "list")
         return found.select(F.col("e").cast(kind).alias("e"), F.col("stroke").cast(kind).alias("stroke"), "pos", "forward", "ring")
+    # Both directions of a pair from one row: pairs are not found twice.
+    both = F.array(F.struct(F.col("a").alias("t"), F.col("b").alias("next")), F.struct(F.col("b").alias("t"), F.col("a").alias("next")))
+    partner = pairs.select(F.explode(both).alias("p")).select(F.col("p.t").bitwiseXOR(twin).alias("h"), "p.next")
+    half = edges.select(F.explode(F.array(e * 2, e * 2 + 1)).alias("h")).distinct()
+    step = kept_table(half.join(partner, "h", "left").select("h", F.col("next").cast("bigint").alias("next")), "step")
     first = _ranked(step)
     rings = first.where("NOT ends").select("h", "low")
     # A ring is cut before its smallest edge; the opposite direction stays uncut and drops out.

@@ -170,6 +170,26 @@ def test_chains_at_once_are_those_of_rounds(spark, monkeypatch):
     assert network.chains(edges.limit(0), pairs.limit(0)).count() == 0
 
 
+def test_strokes_of_repeated_edges(spark, monkeypatch):
+    """Edges given twice are paired and chained once, and the half-edges of a line are joined with nothing on the way."""
+    line = [(i, i, i + 1) for i in range(30)] + [(100 + i, 10, 100 + i) for i in range(4)]
+    bearing = {10: {19: 180.0, 20: 0.0, 200: 90.0, 202: 270.0, 204: 45.0, 206: 230.0}}
+    found = []
+    for rows in (line, line + line[5:15] + line[-4:]):
+        edges = spark.createDataFrame(rows, "e long, start_node long, end_node long")
+        ends = [(r.half, r.tail, bearing.get(r.tail, {}).get(r.half, 0.0)) for r in network.half_edges(edges).collect()]
+        pairs = network.pair_ends(spark.createDataFrame(ends, "half long, tail long, bearing double"), spark.createDataFrame([(3,)], "node_id long"))
+        for most in (network.AT_ONCE, 0):
+            with monkeypatch.context() as m:
+                m.setattr(network, "AT_ONCE", most)
+                joins = []
+                m.setattr(network, "kept_table", lambda df, label, kept=network.kept_table: joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter")) or kept(df, label))
+                found.append(sorted(network.chains(edges, pairs).collect()))
+                assert most == 0 or joins == [0]
+    assert len(found[0]) == 34 and all(f == found[0] for f in found)
+    assert {r.stroke for r in found[0]} == {0, 3, 100, 102}
+
+
 def test_pair_ends_is_the_sequential_greedy(spark):
     rng = random.Random(5)
     ends = [(h, h % 5, float(rng.randrange(0, 360, 5))) for h in range(30)]
