@@ -10,14 +10,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import geo
 
-#: Sample points that are compared at once.
-POINTS = 200_000
+#: Lines of a block, and of them those whose boxes are compared at once; distances that are measured at once; rows that are returned at once.
+LINES, STRIP, POINTS, ROWS = 1024, 64, 1 << 15, 1 << 16
 
 
 def line_cells(lines: DataFrame, cell: float, margin: float) -> DataFrame:
@@ -44,63 +44,121 @@ def met(left: DataFrame, right: DataFrame, cell: float, *keys: str) -> DataFrame
     return both
 
 
-def _near_points(n: np.ndarray, a: list[np.ndarray], b: list[np.ndarray], most: float) -> np.ndarray:
-    """For each pair of straight lines ``x0 y0 x1 y1`` how many of the ``n + 1`` points along the first lie near the second."""
-    of = np.repeat(np.arange(len(n)), n + 1)
-    k = np.arange(len(of)) - np.repeat(np.cumsum(n + 1) - (n + 1), n + 1)
-    share = k / n[of]
-    px, py = (a[c][of] + (a[c + 2] - a[c])[of] * share for c in (0, 1))
-    x, y, dx, dy = (v[of] for v in (b[0], b[1], b[2] - b[0], b[3] - b[1]))
-    square = dx * dx + dy * dy
-    with np.errstate(divide="ignore", invalid="ignore"):
-        t = np.where(square > 0, np.clip(((px - x) * dx + (py - y) * dy) / square, 0.0, 1.0), 0.0)
-    dx, dy = px - x - t * dx, py - y - t * dy
-    return np.bincount(of[np.sqrt(dx * dx + dy * dy) <= most], minlength=len(n))
+def _blocks(lines: DataFrame, name: str, cell: float, margin: float) -> DataFrame:
+    """Lines as arrays ``name`` of at most ``LINES``, in order of their ends, by kind and by cell of the box around a line and a margin."""
+    ends = ["x0", "y0", "x1", "y1"]
+    rows = lines.select("id", "kind", *(F.col(c).cast("double").alias(c) for c in ends)).where("kind IS NOT NULL").dropna(subset=ends)
+    at = F.row_number().over(Window.partitionBy("kind", "cx", "cy").orderBy(*ends)) - 1
+    rows = line_cells(rows, cell, margin).withColumn("block", F.floor(at / LINES))
+    return rows.groupBy("kind", "cx", "cy", "block").agg(F.sort_array(F.collect_list(F.struct(*ends, "id"))).alias(name)).drop("block")
+
+
+class _Shapes:
+    """The different lines of a block, their boxes, and whether these begin in its cell."""
+
+    def __init__(self, rows: pa.StructArray, cell: float, at: tuple[int, int], margin: float):
+        self.ids = rows.field("id")
+        ends = np.stack([rows.field(c).to_numpy(zero_copy_only=False) for c in ("x0", "y0", "x1", "y1")])
+        new = np.concatenate(([True], (ends[:, 1:] != ends[:, :-1]).any(axis=0)))
+        self.first = np.append(np.flatnonzero(new), len(new))
+        self.of = np.cumsum(new) - 1
+        x0, y0, x1, y1 = ends = ends[:, new]
+        dx, dy = x1 - x0, y1 - y0
+        square = dx * dx + dy * dy
+        self.length = np.sqrt(square)
+        # A line without length: the nearest of its points is its first.
+        self.values = np.stack([x0, y0, dx, dy, np.where(square > 0, square, 1.0)])
+        self.low = [np.minimum(ends[c], ends[c + 2]) - margin for c in (0, 1)]
+        self.high = [np.maximum(ends[c], ends[c + 2]) + margin for c in (0, 1)]
+        self.begins = [np.floor(self.low[c] / cell) == at[c] for c in (0, 1)]
+
+    def meet(self, rows: slice, other: _Shapes) -> np.ndarray:
+        """Pairs of boxes that meet, each in the one cell where both begin."""
+        found = np.ones((len(self.length[rows]), len(other.length)), bool)
+        for c in (0, 1):
+            found &= self.begins[c][rows, None] | other.begins[c]
+            found &= self.low[c][rows, None] <= other.high[c]
+            found &= self.high[c][rows, None] >= other.low[c]
+        return found
+
+
+def _near_points(line: np.ndarray, n: int, others: np.ndarray, most: float) -> np.ndarray:
+    """For each of the ``others`` how many of the ``n + 1`` points along a line lie near it; lines are ``x0 y0 dx dy`` and the squared length."""
+    x, y, dx, dy, square = others
+    found = np.zeros(len(x), np.int64)
+    step = max(1, POINTS // max(1, len(x)))
+    for at in range(0, n + 1, step):
+        share = np.arange(at, min(at + step, n + 1)) / n
+        px, py = ((line[c] + line[c + 2] * share)[:, None] for c in (0, 1))
+        px, py = px - x, py - y
+        t = px * dx
+        t += py * dy
+        t /= square
+        np.minimum(np.maximum(t, 0.0, out=t), 1.0, out=t)
+        px -= t * dx
+        t *= dy
+        py -= t
+        px *= px
+        py *= py
+        px += py
+        found += np.count_nonzero(px <= most * most, axis=0)
+    return found
+
+
+def _shares(one: _Shapes, two: _Shapes, buffer_m: float, step: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """``(row of one, rows of two, shares)`` above 0."""
+    n = np.maximum(1, np.ceil(one.length / step - 1e-9)).astype(np.int64)
+    for at in range(0, len(n), STRIP):
+        meets = one.meet(slice(at, at + STRIP), two)
+        for i in range(at, at + len(meets)):
+            near = np.flatnonzero(meets[i - at])
+            if not len(near):
+                continue
+            count = np.zeros(len(two.length), np.int64)
+            count[near] = _near_points(one.values[:, i], int(n[i]), two.values[:, near], buffer_m)
+            count = count[two.of]
+            hit = np.flatnonzero(count)
+            share = count[hit] / (n[i] + 1.0)
+            for row in range(one.first[i], one.first[i + 1]):
+                yield row, hit, share
 
 
 def coverage(a: DataFrame, b: DataFrame, buffer_m: float, step: float, cell: float | None = None) -> DataFrame:
     """``(a, b, share)``: the share of sample points of each line of ``a`` within the buffer of a line of ``b`` of the same kind.
 
     Only pairs with a share above 0 are returned.  Both are ``(id, kind, x0, y0, x1, y1)``, one row a line.
-    Equal lines are compared once, by the smallest identifier; a pair comes from one cell, so no point or pair is shuffled.
+    Lines are compared block by block, as arrays: a pair becomes a row only as a result, in one cell, and is never shuffled or joined.
+    Pairs of blocks are dealt to the tasks one by one, whatever their kind and cell.  Equal lines of a block are compared once.
     """
     cell = cell or max(4 * buffer_m, 400.0)
-    ends = ["x0", "y0", "x1", "y1"]
-
-    def shapes(df: DataFrame) -> DataFrame:
-        return df.select("id", "kind", *(F.col(c).cast("double").alias(c) for c in ends)).groupBy("kind", *ends).agg(F.min("id").alias("id"))
-
-    def boxed(df: DataFrame, margin: float, *more: str) -> DataFrame:
-        sides = [f(F.col(f"{c}0"), F.col(f"{c}1")) + m for c in "xy" for f, m in ((F.least, -margin), (F.greatest, margin))]
-        return df.select("id", "kind", *more, F.array(*ends).alias("ends"), *(v.alias(n) for v, n in zip(sides, ("x0", "x1", "y0", "y1"), strict=True)))
-
-    length = geo.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
-    n = F.greatest(F.lit(1), F.ceil(length / step - 1e-9)).cast("int")
-    one, two = shapes(a), shapes(b)
     # A box a little wider than the buffer: rounding must not lose a point on its rim.
-    pairs = met(boxed(one.withColumn("n", n), 0.0, "n"), boxed(two, buffer_m + 1e-6 * buffer_m + 1e-6), cell, "kind")
-    pairs = pairs.select("a_id", "b_id", "a_n", *(F.col(f"{s}_ends")[i].alias(f"{s}{i}") for s in "ab" for i in range(4)))
-    schema = T.StructType([T.StructField("a_id", one.schema["id"].dataType), T.StructField("b_id", two.schema["id"].dataType), T.StructField("share", T.DoubleType())])
+    margin = buffer_m + 1e-6 * buffer_m + 1e-6
+    pairs = _blocks(a, "one", cell, 0.0).join(_blocks(b, "two", cell, margin), ["kind", "cx", "cy"]).select("one", "two", "cx", "cy")
+    pairs = pairs.repartition(8 * a.sparkSession.sparkContext.defaultParallelism)
+    schema = T.StructType([T.StructField("a", a.schema["id"].dataType), T.StructField("b", b.schema["id"].dataType), T.StructField("share", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, *values = (c.to_numpy() for c in batch.columns[2:])
-            # Long lines have many points: so many pairs at once that their points are few.
-            part = (np.cumsum(sizes + 1) // POINTS).astype(np.int64)
-            edges = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True]))) if len(part) else []
-            for i, j in zip(edges, edges[1:], strict=False):
-                own = [v[i:j] for v in values]
-                count = _near_points(sizes[i:j].astype(np.int64), own[:4], own[4:], buffer_m)
-                hit = np.flatnonzero(count)
-                ids = [batch.column(c).slice(i, j - i).take(pa.array(hit)) for c in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*ids, pa.array(count[hit] / (sizes[i:j][hit] + 1.0))], schema.names)
-
-    found = pairs.mapInArrow(run, schema)
-    for side, name, df, few in (("a", "a_id", a, one), ("b", "b_id", b, two)):
-        members = df.select(F.col("id").alias(side), "kind", *(F.col(c).cast("double").alias(c) for c in ends))
-        members = members.join(few.withColumnRenamed("id", name), ["kind", *ends]).select(side, name)
-        found = found.join(members, name)
-    return found.select("a", "b", "share")
+            for one, two, *at in zip(*batch.columns, strict=True):
+                at = tuple(v.as_py() for v in at)
+                one, two = _Shapes(one.values, cell, at, 0.0), _Shapes(two.values, cell, at, margin)
+                found, held = [], 0
+
+                def made(found: list, one=one, two=two) -> pa.RecordBatch:
+                    rows, hits, shares = zip(*found, strict=True)
+                    rows = np.repeat(rows, [len(hit) for hit in hits])
+                    return pa.RecordBatch.from_arrays([one.ids.take(pa.array(rows)), two.ids.take(pa.array(np.concatenate(hits))), pa.array(np.concatenate(shares))], schema.names)
+
+                for row in _shares(one, two, buffer_m, step):
+                    found.append(row)
+                    held += len(row[1])
+                    if held >= ROWS:
+                        yield made(found)
+                        found, held = [], 0
+                if held:
+                    yield made(found)
+
+    return pairs.mapInArrow(run, schema)
 
 
 def inside_ring(points: DataFrame, rings: DataFrame, cell: float) -> DataFrame:
