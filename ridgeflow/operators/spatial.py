@@ -16,8 +16,8 @@ from pyspark.sql import types as T
 
 from ..functions import geo
 
-#: Lines of a block, and of them those whose boxes are compared at once; distances that are measured at once; rows that are returned at once.
-LINES, STRIP, POINTS, ROWS = 1024, 64, 1 << 15, 1 << 16
+#: Lines of a block, pairs of blocks that are read at once, and pairs of lines that are measured at once.
+LINES, BLOCKS, PAIRS = 1024, 64, 1 << 15
 
 
 def line_cells(lines: DataFrame, cell: float, margin: float) -> DataFrame:
@@ -45,82 +45,131 @@ def met(left: DataFrame, right: DataFrame, cell: float, *keys: str) -> DataFrame
 
 
 def _blocks(lines: DataFrame, name: str, cell: float, margin: float) -> DataFrame:
-    """Lines as arrays ``name`` of at most ``LINES``, in order of their ends, by kind and by cell of the box around a line and a margin."""
-    ends = ["x0", "y0", "x1", "y1"]
+    """Lines as arrays ``name`` of at most ``LINES``, in order of their ends, by kind, by cell of the box around a line and a margin, and by whether the box begins there."""
+    ends, keys = ["x0", "y0", "x1", "y1"], ["kind", "cx", "cy", f"{name}_x", f"{name}_y"]
     rows = lines.select("id", "kind", *(F.col(c).cast("double").alias(c) for c in ends)).where("kind IS NOT NULL").dropna(subset=ends)
-    at = F.row_number().over(Window.partitionBy("kind", "cx", "cy").orderBy(*ends)) - 1
-    rows = line_cells(rows, cell, margin).withColumn("block", F.floor(at / LINES))
-    return rows.groupBy("kind", "cx", "cy", "block").agg(F.sort_array(F.collect_list(F.struct(*ends, "id"))).alias(name)).drop("block")
+    rows = line_cells(rows, cell, margin)
+    for c in "xy":
+        rows = rows.withColumn(f"{name}_{c}", F.col(f"c{c}") == F.floor((F.least(f"{c}0", f"{c}1") - margin) / cell))
+    rows = rows.withColumn("block", F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy(*ends)) - 1) / LINES))
+    return rows.groupBy(*keys, "block").agg(F.sort_array(F.collect_list(F.struct(*ends, "id"))).alias(name)).drop("block")
 
 
-class _Shapes:
-    """The different lines of a block, their boxes, and whether these begin in its cell."""
+class _Lines:
+    """The different lines of blocks: ``values`` are x, y, direction and length; ``first`` and ``times`` are the rows of a line, ``starts`` the lines of a block."""
 
-    def __init__(self, rows: pa.StructArray, cell: float, at: tuple[int, int], margin: float):
+    def __init__(self, blocks: pa.ListArray, margin: float):
+        rows, self.sizes = blocks.flatten(), blocks.value_lengths().to_numpy().astype(np.int64)
         self.ids = rows.field("id")
         ends = np.stack([rows.field(c).to_numpy(zero_copy_only=False) for c in ("x0", "y0", "x1", "y1")])
         new = np.concatenate(([True], (ends[:, 1:] != ends[:, :-1]).any(axis=0)))
-        self.first = np.append(np.flatnonzero(new), len(new))
-        self.of = np.cumsum(new) - 1
-        x0, y0, x1, y1 = ends = ends[:, new]
-        dx, dy = x1 - x0, y1 - y0
+        new[np.cumsum(self.sizes) - self.sizes] = True
+        self.first = np.flatnonzero(new)
+        self.times = np.diff(self.first, append=len(new))
+        self.block = np.repeat(np.arange(len(self.sizes)), self.sizes)[new]
+        self.starts = np.searchsorted(self.block, np.arange(len(self.sizes) + 1))
+        x, y, x1, y1 = self.ends = ends[:, new]
+        length = np.sqrt((x1 - x) * (x1 - x) + (y1 - y) * (y1 - y))
+        some = length > 0
+        unit = [np.divide(d, length, out=np.full(len(x), other), where=some) for d, other in ((x1 - x, 1.0), (y1 - y, 0.0))]
+        self.values = np.stack([x, y, *unit, length])
+        self.boxes = np.stack([np.minimum(x, x1) - margin, np.maximum(x, x1) + margin, np.minimum(y, y1) - margin, np.maximum(y, y1) + margin])
+
+
+def _each_point(n: np.ndarray, a: np.ndarray, b: np.ndarray, most: float) -> np.ndarray:
+    """For each pair of straight lines ``x0 y0 x1 y1`` how many of the ``n + 1`` points along the first lie near the second, point by point."""
+    found = np.zeros(len(n), np.int64)
+    part = np.cumsum(n + 1) // PAIRS
+    edges = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
+    for i, j in zip(edges, edges[1:], strict=False):
+        size = n[i:j] + 1
+        of = np.repeat(np.arange(i, j), size)
+        k = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+        share = k / n[of]
+        px, py = (a[c][of] + (a[c + 2] - a[c])[of] * share for c in (0, 1))
+        x, y, dx, dy = (v[of] for v in (b[0], b[1], b[2] - b[0], b[3] - b[1]))
         square = dx * dx + dy * dy
-        self.length = np.sqrt(square)
-        # A line without length: the nearest of its points is its first.
-        self.values = np.stack([x0, y0, dx, dy, np.where(square > 0, square, 1.0)])
-        self.low = [np.minimum(ends[c], ends[c + 2]) - margin for c in (0, 1)]
-        self.high = [np.maximum(ends[c], ends[c + 2]) + margin for c in (0, 1)]
-        self.begins = [np.floor(self.low[c] / cell) == at[c] for c in (0, 1)]
-
-    def meet(self, rows: slice, other: _Shapes) -> np.ndarray:
-        """Pairs of boxes that meet, each in the one cell where both begin."""
-        found = np.ones((len(self.length[rows]), len(other.length)), bool)
-        for c in (0, 1):
-            found &= self.begins[c][rows, None] | other.begins[c]
-            found &= self.low[c][rows, None] <= other.high[c]
-            found &= self.high[c][rows, None] >= other.low[c]
-        return found
-
-
-def _near_points(line: np.ndarray, n: int, others: np.ndarray, most: float) -> np.ndarray:
-    """For each of the ``others`` how many of the ``n + 1`` points along a line lie near it; lines are ``x0 y0 dx dy`` and the squared length."""
-    x, y, dx, dy, square = others
-    found = np.zeros(len(x), np.int64)
-    step = max(1, POINTS // max(1, len(x)))
-    for at in range(0, n + 1, step):
-        share = np.arange(at, min(at + step, n + 1)) / n
-        px, py = ((line[c] + line[c + 2] * share)[:, None] for c in (0, 1))
-        px, py = px - x, py - y
-        t = px * dx
-        t += py * dy
-        t /= square
-        np.minimum(np.maximum(t, 0.0, out=t), 1.0, out=t)
-        px -= t * dx
-        t *= dy
-        py -= t
-        px *= px
-        py *= py
-        px += py
-        found += np.count_nonzero(px <= most * most, axis=0)
+        t = np.clip(((px - x) * dx + (py - y) * dy) / np.where(square > 0, square, 1.0), 0.0, 1.0)
+        dx, dy = px - x - t * dx, py - y - t * dy
+        found[i:j] = np.bincount((of - i)[dx * dx + dy * dy <= most * most], minlength=j - i)
+    return found
+
+
+def _near_points(one: _Lines, i: np.ndarray, two: _Lines, j: np.ndarray, n: np.ndarray, most: float) -> np.ndarray:
+    """For each pair of lines how many of the ``n + 1`` points along the first lie near the second.
+
+    The points near a line are one stretch: from the first to the last end of those within two circles and a
+    rectangle.  It is taken for a distance a little less and a little more; where the counts differ, rounding
+    could decide, and these pairs go point by point.
+    """
+    ax, ay, ux, uy, whole = (v[i] for v in one.values)
+    bx, by, ex, ey, length = (v[j] for v in two.values)
+    px, py = ax - bx, ay - by
+    sin, cos = ex * uy - ey * ux, ex * ux + ey * uy
+    z1, o1 = -(px * ux + py * uy), px * uy - py * ux
+    z2, o2 = z1 + length * cos, o1 - length * sin
+    o1 *= o1
+    o2 *= o2
+    # Parallel or upright lines: all or nothing lies between the sides.
+    sin[np.abs(sin) < 1e-200] = 1e-200
+    cos[np.abs(cos) < 1e-200] = 1e-200
+    middle, along = (ey * px - ex * py) / sin, ex * px + ey * py
+    np.abs(sin, out=sin)
+    from_, to = -along / cos, (length - along) / cos
+    from_, to = np.minimum(from_, to), np.maximum(from_, to)
+    with np.errstate(divide="ignore"):
+        per = np.where(whole > 0, n / whole, 0.0)
+
+    def count(most: float) -> np.ndarray:
+        half = most / sin
+        low, high = np.maximum(middle - half, from_), np.minimum(middle + half, to)
+        none = low > high
+        low[none], high[none] = np.inf, -np.inf
+        for z, o in ((z1, o1), (z2, o2)):
+            o = most * most - o
+            none = o < 0
+            o[none] = 0.0
+            half = np.sqrt(o)
+            half[none] = -np.inf
+            np.minimum(low, z - half, out=low)
+            np.maximum(high, z + half, out=high)
+        with np.errstate(invalid="ignore"):
+            low, high = np.ceil(low * per), np.floor(high * per)
+        return np.maximum(np.minimum(high, n) - np.maximum(low, 0.0) + 1.0, 0.0)
+
+    rim = 1e-6 * most + 1e-12 * max(np.abs(v).max(initial=0.0) for v in (one.ends, two.ends))
+    found = count(most + rim)
+    sure = count(most - rim) if most > rim else np.zeros(len(found))
+    odd = np.flatnonzero((found != sure) | (whole == 0))
+    found = np.nan_to_num(found).astype(np.int64)
+    found[odd] = _each_point(n[odd], one.ends[:, i[odd]], two.ends[:, j[odd]], most)
     return found
 
 
-def _shares(one: _Shapes, two: _Shapes, buffer_m: float, step: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """``(row of one, rows of two, shares)`` above 0."""
-    n = np.maximum(1, np.ceil(one.length / step - 1e-9)).astype(np.int64)
-    for at in range(0, len(n), STRIP):
-        meets = one.meet(slice(at, at + STRIP), two)
-        for i in range(at, at + len(meets)):
-            near = np.flatnonzero(meets[i - at])
-            if not len(near):
-                continue
-            count = np.zeros(len(two.length), np.int64)
-            count[near] = _near_points(one.values[:, i], int(n[i]), two.values[:, near], buffer_m)
-            count = count[two.of]
-            hit = np.flatnonzero(count)
-            share = count[hit] / (n[i] + 1.0)
-            for row in range(one.first[i], one.first[i + 1]):
-                yield row, hit, share
+def _shares(one: _Lines, two: _Lines, buffer_m: float, step: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``(rows of one, rows of two, shares)`` above 0, of blocks side by side."""
+    n = np.maximum(1, np.ceil(one.values[4] / step - 1e-9)).astype(np.int64)
+    others, begins = np.diff(two.starts)[one.block], two.starts[one.block]
+    # So many lines at once that their pairs, copies included, are few.
+    part = np.cumsum(one.times * two.sizes[one.block]) // PAIRS
+    edges = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
+    for s, e in zip(edges, edges[1:], strict=False):
+        many = others[s:e]
+        i = np.repeat(np.arange(s, e), many)
+        j = np.arange(len(i)) + np.repeat(begins[s:e] - np.cumsum(many) + many, many)
+        for c in (0, 2):
+            meet = np.flatnonzero((one.boxes[c][i] <= two.boxes[c + 1][j]) & (two.boxes[c][j] <= one.boxes[c + 1][i]))
+            i, j = i[meet], j[meet]
+        count = _near_points(one, i, two, j, n[i], buffer_m)
+        hit = np.flatnonzero(count)
+        i, j, share = i[hit], j[hit], count[hit] / (n[i[hit]] + 1.0)
+        times = one.times[i] * two.times[j]
+        a, b = one.first[i], two.first[j]
+        if len(times) and times.max() > 1:
+            k = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            copies = np.repeat(two.times[j], times)
+            a, b, share = np.repeat(a, times) + k // copies, np.repeat(b, times) + k % copies, np.repeat(share, times)
+        yield a, b, share
 
 
 def coverage(a: DataFrame, b: DataFrame, buffer_m: float, step: float, cell: float | None = None) -> DataFrame:
@@ -133,30 +182,19 @@ def coverage(a: DataFrame, b: DataFrame, buffer_m: float, step: float, cell: flo
     cell = cell or max(4 * buffer_m, 400.0)
     # A box a little wider than the buffer: rounding must not lose a point on its rim.
     margin = buffer_m + 1e-6 * buffer_m + 1e-6
-    pairs = _blocks(a, "one", cell, 0.0).join(_blocks(b, "two", cell, margin), ["kind", "cx", "cy"]).select("one", "two", "cx", "cy")
+    pairs = _blocks(a, "one", cell, 0.0).join(_blocks(b, "two", cell, margin), ["kind", "cx", "cy"])
+    # A pair of boxes counts in the one cell where both begin.
+    pairs = pairs.where("(one_x OR two_x) AND (one_y OR two_y)").select("one", "two")
     pairs = pairs.repartition(8 * a.sparkSession.sparkContext.defaultParallelism)
     schema = T.StructType([T.StructField("a", a.schema["id"].dataType), T.StructField("b", b.schema["id"].dataType), T.StructField("share", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for one, two, *at in zip(*batch.columns, strict=True):
-                at = tuple(v.as_py() for v in at)
-                one, two = _Shapes(one.values, cell, at, 0.0), _Shapes(two.values, cell, at, margin)
-                found, held = [], 0
-
-                def made(found: list, one=one, two=two) -> pa.RecordBatch:
-                    rows, hits, shares = zip(*found, strict=True)
-                    rows = np.repeat(rows, [len(hit) for hit in hits])
-                    return pa.RecordBatch.from_arrays([one.ids.take(pa.array(rows)), two.ids.take(pa.array(np.concatenate(hits))), pa.array(np.concatenate(shares))], schema.names)
-
-                for row in _shares(one, two, buffer_m, step):
-                    found.append(row)
-                    held += len(row[1])
-                    if held >= ROWS:
-                        yield made(found)
-                        found, held = [], 0
-                if held:
-                    yield made(found)
+            # Some blocks at once, so that their copies for work are few.
+            for at in range(0, batch.num_rows, BLOCKS):
+                one, two = (_Lines(batch.column(c).slice(at, BLOCKS), m) for c, m in ((0, 0.0), (1, margin)))
+                for i, j, share in _shares(one, two, buffer_m, step):
+                    yield pa.RecordBatch.from_arrays([one.ids.take(pa.array(i)), two.ids.take(pa.array(j)), pa.array(share)], schema.names)
 
     return pairs.mapInArrow(run, schema)
 

@@ -56,16 +56,32 @@ def test_coverage_of_several_blocks(spark, monkeypatch):
         assert {(r.a, r.b): r.share for r in found} == model(one, two, 30.0, 20.0) and len({(r.a, r.b) for r in found}) == len(found)
 
 
-def test_few_points_and_rows_at_once(monkeypatch):
-    rows = sorted(((*r[:2], *(v + 500 for v in r[2:])) for r in some_lines(random.Random(3), 40)), key=lambda r: r[2:])
-    block = pa.array([dict(zip(("id", "x0", "y0", "x1", "y1"), (r[0], *r[2:]), strict=True)) for r in rows])
-    shapes = spatial._Shapes(block, 1e6, (0, 0), 31.0)
-    whole = [(i, hit.tolist(), share.tolist()) for i, hit, share in spatial._shares(shapes, shapes, 30.0, 20.0)]
-    monkeypatch.setattr(spatial, "POINTS", 90)
-    monkeypatch.setattr(spatial, "STRIP", 3)
-    assert whole and whole == [(i, hit.tolist(), share.tolist()) for i, hit, share in spatial._shares(shapes, shapes, 30.0, 20.0)]
-    expected = model([(r[0], 0, *r[2:]) for r in rows], [(r[0], 0, *r[2:]) for r in rows], 30.0, 20.0)
-    assert {(rows[i][0], rows[j][0]): s for i, hit, share in whole for j, s in zip(hit, share, strict=True)} == expected
+def test_few_pairs_at_once(monkeypatch):
+    rows = sorted(some_lines(random.Random(3), 40), key=lambda r: r[2:])
+    block = pa.array([[dict(zip(("id", "x0", "y0", "x1", "y1"), (r[0], *r[2:]), strict=True)) for r in rows[s:e]] for s, e in ((0, 30), (30, len(rows)))])
+    one, two = spatial._Lines(block, 0.0), spatial._Lines(block, 31.0)
+    both = lambda: {(rows[i][0], rows[j][0]): s for found in spatial._shares(one, two, 30.0, 20.0) for i, j, s in zip(*found, strict=True)}
+    of = [(r[0], int(k >= 30), *r[2:]) for k, r in enumerate(rows)]
+    expected = model(of, of, 30.0, 20.0)
+    assert both() == expected
+    monkeypatch.setattr(spatial, "PAIRS", 9)
+    assert both() == expected
+
+
+def test_points_by_stretches_are_those_point_by_point():
+    """Any scale, also on whole numbers where many points lie on the rim, and lines without length."""
+    rng = np.random.default_rng(5)
+    for size, most, step in ((9, 3.0, 1.0), (30, 5.0, 2.0), (400, 60.0, 20.0), (5000, 60.0, 20.0), (40, 0.0, 1.0)):
+        for shift, whole in ((0.0, True), (5e6, True), (5e6, False)):
+            ends = [rng.uniform(-size, size, (4, 3000)) + shift for _ in range(2)]
+            ends = [np.floor(v) if whole else v for v in ends]
+            ends[0][2:, :50] = ends[0][:2, :50]
+            ends[1][2:, 30:80] = ends[1][:2, 30:80]
+            ends[1][3, 100:900], ends[0][3, 100:900] = ends[1][1, 100:900], ends[0][1, 100:900]
+            one, two = (spatial._Lines(pa.array([[dict(zip(("x0", "y0", "x1", "y1", "id"), (*v, 0), strict=True))] for v in e.T.tolist()]), 0.0) for e in ends)
+            n = np.maximum(1, np.ceil(one.values[4] / step - 1e-9)).astype(np.int64)
+            at = np.arange(3000)
+            assert (spatial._near_points(one, at, two, at, n, most) == spatial._each_point(n, one.ends, two.ends, most)).all()
 
 
 def test_parallel_lines_at_the_distance(spark):
@@ -83,4 +99,3 @@ def test_parallel_lines_at_the_distance(spark):
 def test_no_lines(spark):
     df = spark.createDataFrame([], _LINE)
     assert spatial.coverage(df, df, 60.0, 20.0).collect() == []
-    assert not len(spatial._near_points(np.array([0.0, 0.0, 1.0, 0.0, 1.0]), 3, np.zeros((5, 0)), 1.0))
