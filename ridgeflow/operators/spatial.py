@@ -117,31 +117,28 @@ def _near_points(one: _Lines, i: np.ndarray, two: _Lines, j: np.ndarray, n: np.n
     np.abs(sin, out=sin)
     from_, to = -along / cos, (length - along) / cos
     from_, to = np.minimum(from_, to), np.maximum(from_, to)
-    with np.errstate(divide="ignore"):
-        per = np.where(whole > 0, n / whole, 0.0)
+    with np.errstate(divide="ignore"):  # a line without length has all its points in one place
+        last = n.astype(float)
+        per = np.where(whole > 0, last / whole, 0.0)
 
     def count(most: float) -> np.ndarray:
         half = most / sin
         low, high = np.maximum(middle - half, from_), np.minimum(middle + half, to)
-        none = low > high
-        low[none], high[none] = np.inf, -np.inf
-        for z, o in ((z1, o1), (z2, o2)):
-            o = most * most - o
-            none = o < 0
-            o[none] = 0.0
-            half = np.sqrt(o)
-            half[none] = -np.inf
-            np.minimum(low, z - half, out=low)
-            np.maximum(high, z + half, out=high)
+        # What is empty is no number; fmin and fmax take the other.
+        some = low <= high
+        low, high = np.where(some, low, np.nan), np.where(some, high, np.nan)
         with np.errstate(invalid="ignore"):
+            for z, o in ((z1, o1), (z2, o2)):
+                half = np.sqrt(most * most - o)
+                low, high = np.fmin(low, z - half), np.fmax(high, z + half)
             low, high = np.ceil(low * per), np.floor(high * per)
-        return np.maximum(np.minimum(high, n) - np.maximum(low, 0.0) + 1.0, 0.0)
+        return np.fmax(np.minimum(high, last) - np.maximum(low, 0.0) + 1.0, 0.0)
 
     rim = 1e-6 * most + 1e-12 * max(np.abs(v).max(initial=0.0) for v in (one.ends, two.ends))
     found = count(most + rim)
     sure = count(most - rim) if most > rim else np.zeros(len(found))
     odd = np.flatnonzero((found != sure) | (whole == 0))
-    found = np.nan_to_num(found).astype(np.int64)
+    found = found.astype(np.int64)
     found[odd] = _each_point(n[odd], one.ends[:, i[odd]], two.ends[:, j[odd]], most)
     return found
 
