@@ -18,6 +18,8 @@ from ..functions import geo
 
 #: Lines of a block, pairs of blocks that are read at once, and pairs of lines that are measured at once.
 LINES, BLOCKS, PAIRS = 1024, 64, 1 << 15
+#: The sine of an angle below which lines count as nearly parallel.
+SLOPE = 1e-4
 
 
 def line_cells(lines: DataFrame, cell: float, margin: float) -> DataFrame:
@@ -99,8 +101,8 @@ def _near_points(one: _Lines, i: np.ndarray, two: _Lines, j: np.ndarray, n: np.n
     """For each pair of lines how many of the ``n + 1`` points along the first lie near the second.
 
     The points near a line are one stretch: from the first to the last end of those within two circles and a
-    rectangle.  It is taken for a distance a little less and a little more; where the counts differ, rounding
-    could decide, and these pairs go point by point.
+    rectangle.  It is taken for a distance a little more and, where an end is close to a point, a little less too;
+    where the counts differ, rounding could decide, and these pairs go point by point.
     """
     ax, ay, ux, uy, whole = (v[i] for v in one.values)
     bx, by, ex, ey, length = (v[j] for v in two.values)
@@ -121,28 +123,37 @@ def _near_points(one: _Lines, i: np.ndarray, two: _Lines, j: np.ndarray, n: np.n
         last = n.astype(float)
         per = np.where(whole > 0, last / whole, 0.0)
 
-    def count(most: float) -> np.ndarray:
-        half = most / sin
-        low, high = np.maximum(middle - half, from_), np.minimum(middle + half, to)
-        # What is empty is no number; fmin and fmax take the other.
-        some = low <= high
-        low, high = np.where(some, low, np.nan), np.where(some, high, np.nan)
-        with np.errstate(invalid="ignore"):
-            for z, o in ((z1, o1), (z2, o2)):
-                half = np.sqrt(most * most - o)
-                low, high = np.fmin(low, z - half), np.fmax(high, z + half)
-            low, high = np.ceil(low * per), np.floor(high * per)
-        return np.fmax(np.minimum(high, last) - np.maximum(low, 0.0) + 1.0, 0.0)
-
-    rim = 1e-6 * most + 1e-12 * max(np.abs(v).max(initial=0.0) for v in (one.ends, two.ends))
-    found = count(most + rim)
-    sure = count(most - rim) if most > rim else np.zeros(len(found))
-    odd = np.flatnonzero((found != sure) | (whole == 0))
+    parts = (middle, sin, from_, to, z1, o1, z2, o2, per)
+    rim = 1e-9 * most + 1e-12 * max(np.abs(v).max(initial=0.0) for v in (one.ends, two.ends))
+    low, high = _stretch(most + rim, *parts)
+    count = lambda low, high, last: np.fmax(np.minimum(np.floor(high), last) - np.maximum(np.ceil(low), 0.0) + 1.0, 0.0)
+    found = count(low, high, last)
+    # So far the ends move at most between the two distances, unless the lines are nearly parallel.
+    least = max(most - rim, 0.0)
+    shift = (np.sqrt((most + rim) ** 2 - least**2) + 2 * rim / SLOPE) * per
+    close = (np.abs(low - np.rint(low)) <= shift) | (np.abs(high - np.rint(high)) <= shift)
+    close = np.flatnonzero((close | (sin < SLOPE) | (whole == 0)) & (found > 0))
+    sure = count(*_stretch(least, *(v[close] for v in parts)), last[close]) if most > rim else np.zeros(len(close))
+    odd = close[(found[close] != sure) | (whole[close] == 0)]
     found = found.astype(np.int64)
     found[odd] = _each_point(n[odd], one.ends[:, i[odd]], two.ends[:, j[odd]], most)
     return found
 
 
+def _stretch(most: float, middle, sin, from_, to, z1, o1, z2, o2, per) -> tuple[np.ndarray, np.ndarray]:
+    """Where a line comes near another and where it leaves it, counted in its points."""
+    half = most / sin
+    low, high = np.maximum(middle - half, from_), np.minimum(middle + half, to)
+    # What is empty is no number; fmin and fmax take the other.
+    some = low <= high
+    low, high = np.where(some, low, np.nan), np.where(some, high, np.nan)
+    with np.errstate(invalid="ignore"):
+        for z, o in ((z1, o1), (z2, o2)):
+            half = np.sqrt(most * most - o)
+            low, high = np.fmin(low, z - half), np.fmax(high, z + half)
+        return low * per, high * per
+
+
 def _shares(one: _Lines, two: _Lines, buffer_m: float, step: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """``(rows of one, rows of two, shares)`` above 0, of blocks side by side."""
     n = np.maximum(1, np.ceil(one.values[4] / step - 1e-9)).astype(np.int64)
